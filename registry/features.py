@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from registry.sql import HOURLY, QUOTES, cumulative, div, filled, lag, over, pick, recur, roll, trailing, with_
 from tickloom.functions import micro, momentum, price, signals, trend, volatility, volume
 from tickloom.functions.core import Family, compute
+from tickloom.session import cut_lineage
 from tickloom.sources.tables import bars, quotes
 
 QUERIES = {}
@@ -29,7 +30,9 @@ def without_bar(df: DataFrame) -> DataFrame:
 
 def add(name: str, families: Callable[[], list[Family]], sql: str, digits: int = 6, source=bars, keep: list[str] | None = None) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        out = without_bar(compute(source(spark, sf_dir), *families()))
+        wanted = families()
+        cut = cut_lineage if any(f.scans for f in wanted) else None
+        out = without_bar(compute(source(spark, sf_dir), *wanted, cut=cut))
         return rounded(out.select("symbol", "ts", *keep) if keep else out, digits)
 
     QUERIES[name] = run

@@ -71,6 +71,7 @@ def compute(
     """
     cut = cut or (lambda d: d)
     out = df
+    rounds = max((len(f.scans) for f in families), default=0)
     depth = max((len(f.levels) for f in families), default=0)
     if depth:
         def level(i: int) -> Level:
@@ -82,11 +83,12 @@ def compute(
                 return columns
             return build
 
-        out = cut(rolling(out, [level(i) for i in range(depth)], back=max(f.back for f in families), keys=keys, order=order, chunk_rows=chunk_rows))
+        out = rolling(out, [level(i) for i in range(depth)], back=max(f.back for f in families), keys=keys, order=order, chunk_rows=chunk_rows)
     totals = {n: t for f in families for n, t in f.totals.items()}
     if totals:
-        out = cut(running(out, totals, keys, order))
-    rounds = max((len(f.scans) for f in families), default=0)
+        out = running(out, totals, keys, order)
+    if rounds and (depth or totals):
+        out = cut(out)
     for r in range(rounds):
         scans = _by_name([s for f in families if r < len(f.scans) for s in f.scans[r]])
         out = scan(out, scans, keys, order)

@@ -12,12 +12,14 @@ from tickloom.config import KEYS, TS, timeframe_seconds
 from tickloom.operators.series import epoch_seconds
 
 
-def floor_ts(ts: str | Column, seconds: int) -> Column:
+def from_epoch(seconds: Column) -> Column:
+    """Zone-free timestamp from seconds since 1970-01-01."""
+    return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(secs=seconds)
+
+
+def floor_ts(ts: str, seconds: int) -> Column:
     """Start of the epoch-aligned interval of ``seconds`` that holds ``ts``."""
-    c = F.col(ts) if isinstance(ts, str) else ts
-    origin = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
-    start = F.floor(epoch_seconds(c) / seconds) * seconds
-    return origin + F.make_dt_interval(secs=start)
+    return from_epoch(F.floor(epoch_seconds(ts) / seconds) * seconds)
 
 
 def ticks_to_bars(ticks: DataFrame, timeframe: str, ties: Sequence[str] = ()) -> DataFrame:
@@ -69,14 +71,13 @@ def bar_grid(bars: DataFrame, timeframe: str, keys: Sequence[str] = KEYS) -> Dat
     seconds = timeframe_seconds(timeframe)
     block = max(86400, seconds) if 86400 % seconds == 0 or seconds % 86400 == 0 else seconds
     start, stop = F.col("_lo"), F.col("_hi")
-    origin = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
     ends = bars.groupBy(*keys).agg(F.min(epoch_seconds(TS)).alias("_lo"), F.max(epoch_seconds(TS)).alias("_hi"))
     first_block = F.floor(start / block) * block
     blocks = ends.select(*keys, "_lo", "_hi", F.explode(F.sequence(first_block, stop, F.lit(block).cast("long"))).alias("_b"))
     slots = blocks.repartition(*keys, "_b").select(
         *keys, "_lo", "_hi", F.explode(F.sequence(F.col("_b"), F.col("_b") + F.lit(block - seconds).cast("long"), F.lit(seconds).cast("long"))).alias("_s")
     )
-    return slots.filter((F.col("_s") >= start) & (F.col("_s") <= stop)).select(*keys, (origin + F.make_dt_interval(secs=F.col("_s"))).alias(TS))
+    return slots.filter((F.col("_s") >= start) & (F.col("_s") <= stop)).select(*keys, from_epoch(F.col("_s")).alias(TS))
 
 
 def with_gap_rows(bars: DataFrame, timeframe: str, keys: Sequence[str] = KEYS) -> DataFrame:

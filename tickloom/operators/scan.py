@@ -1,9 +1,9 @@
 """Exponential recurrences of any length: y[t] = (1-alpha) * y[t-1] + alpha * x[t].
 
-The recurrence is affine, so it composes. Within a block of 256 rows it has the closed form
-``a^k * sum(alpha * x[i] * a^-k[i])``; a block is then summarised by the number of values it holds
-and its closing value. Summaries are composed block -> bucket -> series on tables 256 and 16384
-times smaller than the data, and each block's carry joins back to its rows:
+The recurrence is affine, so it composes. Within a block of at most 256 grid slots it has the closed
+form ``a^k * sum(alpha * x[i] * a^-k[i])``; a block is then summarised by the number of values it
+holds and its closing value. Summaries are composed block -> group of 256 blocks -> series, on tables
+256 and 65536 times smaller than the data, and each block's carry joins back to its rows:
 
     y = local + a^k * carry
 
@@ -15,13 +15,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.config import KEYS, TS
-from tickloom.operators.series import BUCKET, time_bucket
+from tickloom.operators.series import time_bucket
 
-BLOCK = "_block"
 BLOCK_ROWS = 256
 
 
@@ -50,149 +49,98 @@ def wilder(name: str, value: Column, window: int) -> Scan:
     return Scan(name, value, 1.0 / window, "mean", window)
 
 
-def _fold(items: Column, start: Column, a: Column) -> Column:
-    """Array of the value carried into each item, followed by the value after the last one."""
-    step = F.aggregate(
-        items,
-        F.array(start),
-        lambda acc, s: F.concat(acc, F.array(F.element_at(acc, -1) * F.pow(a, s["n"]) + s["b"])),
-    )
-    return step
+def _fold(items: str, start: str) -> str:
+    """SQL: the value carried into each item, followed by the value after the last one."""
+    return f"aggregate({items}, array({start}), (acc, s) -> concat(acc, array(element_at(acc, -1) * pow(a, s.n) + s.b)))"
 
 
-def _counts(items: Column) -> Column:
-    return F.aggregate(
-        items,
-        F.array(F.lit(0).cast("long")),
-        lambda acc, s: F.concat(acc, F.array(F.element_at(acc, -1) + s["n"])),
-    )
+def _counts(items: str) -> str:
+    return f"aggregate({items}, array(0L), (acc, s) -> concat(acc, array(element_at(acc, -1) + s.n)))"
+
+
+def _first(items: str) -> str:
+    return f"try_element_at(filter(transform({items}, s -> s.f), v -> v IS NOT NULL), 1)"
 
 
-def _seed(first: Column, heads: Column, sid: Column, scans: Sequence[Scan]) -> Column:
-    """Value in force before the first row, chosen so that the recurrence starts as asked."""
-    out = F.lit(None).cast("double")
+def _heads(items: str) -> str:
+    return f"slice(flatten(transform({items}, s -> s.h)), 1, w)"
+
+
+def _seed(scans: Sequence[Scan]) -> str:
+    """SQL: the value in force before the first row, so that the recurrence starts as asked."""
+    cases = []
     for i, s in enumerate(scans):
         if s.adjusted:
-            start = F.lit(0.0)
+            start = "0D"
         elif s.seed == "first":
-            start = first
+            start = "f"
         else:
-            a, w = 1.0 - s.alpha, s.warmup
-            weighted = F.aggregate(
-                F.zip_with(heads, F.sequence(F.lit(1), F.greatest(F.size(heads), F.lit(1))), lambda x, k: x * (F.lit(a ** -w) - F.pow(F.lit(a), -k))),
-                F.lit(0.0),
-                lambda acc, v: acc + F.coalesce(v, F.lit(0.0)),
-            )
-            start = F.when(F.size(heads) >= w, weighted / w).otherwise(0.0)
-        out = F.when(sid == i, start).otherwise(out)
-    return F.coalesce(out, F.lit(0.0))
-
-
-def scan(df: DataFrame, scans: Sequence[Scan], keys: Sequence[str] = KEYS, order: str = TS, bucket: Column | None = None) -> DataFrame:
-    """Add one column per recurrence, all in one pass over the rows."""
+            weighted = "zip_with(h, sequence(1, greatest(size(h), 1)), (x, k) -> x * (pow(a, -w) - pow(a, -k)))"
+            start = f"CASE WHEN size(h) >= w THEN aggregate({weighted}, 0D, (acc, v) -> acc + coalesce(v, 0D)) / w END"
+        cases.append(f"WHEN {i} THEN {start}")
+    return f"coalesce(CASE sid {' '.join(cases)} END, 0D)"
+
+
+def scan(df: DataFrame, scans: Sequence[Scan], keys: Sequence[str] = KEYS, order: str = TS, block: Column | None = None) -> DataFrame:
+    """Add one column per recurrence, all in one pass over the rows.
+
+    ``block`` numbers blocks of at most 256 rows, rising with ``order``.
+    """
     for s in scans:
         if not 0.0 < s.alpha < 1.0:
             raise ValueError(f"{s.name}: alpha must lie strictly between 0 and 1, got {s.alpha}")
     keys = list(keys)
     ids = range(len(scans))
-    a = [1.0 - s.alpha for s in scans]
-    in_bucket = Window.partitionBy(*keys, BUCKET).orderBy(order)
-    in_block = Window.partitionBy(*keys, BUCKET, BLOCK).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-
-    rows = df.withColumn(BUCKET, time_bucket(df, order) if bucket is None else bucket)
-    rows = rows.withColumns({f"_x{i}": scans[i].value.cast("double") for i in ids})
-    rows = rows.withColumn("_row", F.row_number().over(in_bucket))
-    rows = rows.withColumn(BLOCK, F.floor((F.col("_row") - 1) / BLOCK_ROWS))
-    rows = rows.withColumns({f"_k{i}": F.count(f"_x{i}").over(in_block) for i in ids})
-    rows = rows.withColumns({f"_s{i}": F.sum(F.col(f"_x{i}") * F.pow(F.lit(a[i]), -F.col(f"_k{i}"))).over(in_block) for i in ids})
-    rows = rows.withColumns({f"_z{i}": F.coalesce(F.col(f"_s{i}") * F.pow(F.lit(a[i]), F.col(f"_k{i}")) * scans[i].alpha, F.lit(0.0)) for i in ids})
-    rows = rows.drop(*[f"_s{i}" for i in ids])
-
-    # One row per block and scan. Only mean-seeded scans need their first values kept.
-    def head(i: int) -> Column:
-        if scans[i].seed != "mean":
-            return F.array().cast("array<double>")
-        x, k = F.col(f"_x{i}"), F.col(f"_k{i}")
-        kept = F.collect_list(F.when(x.isNotNull() & (k <= scans[i].warmup), F.struct(k.alias("k"), x.alias("x"))))
-        return F.transform(F.array_sort(kept), lambda e: e["x"])
-
-    sized = []
-    for i in ids:
-        x = F.col(f"_x{i}")
-        sized += [
-            F.max(f"_k{i}").alias(f"_n{i}"),
-            F.max_by(f"_z{i}", "_row").alias(f"_b{i}"),
-            F.min_by(x, F.when(x.isNotNull(), F.col("_row"))).alias(f"_f{i}"),
-            head(i).alias(f"_h{i}"),
-        ]
-    blocks = rows.groupBy(*keys, BUCKET, BLOCK).agg(*sized)
-    per_scan = F.array(
-        *[
-            F.struct(F.lit(i).alias("sid"), F.lit(a[i]).alias("a"), F.lit(scans[i].warmup).alias("w"), F.col(f"_n{i}").alias("n"), F.col(f"_b{i}").alias("b"), F.col(f"_f{i}").alias("f"), F.col(f"_h{i}").alias("h"))
-            for i in ids
-        ]
+    a = [f"{1.0 - s.alpha!r}D" for s in scans]
+    over = f"OVER (PARTITION BY {', '.join([*keys, '_block'])} ORDER BY {order} ROWS UNBOUNDED PRECEDING)"
+
+    rows = df.withColumns(
+        {"_block": time_bucket(df, order, BLOCK_ROWS) if block is None else block, **{f"_x{i}": scans[i].value.cast("double") for i in ids}}
     )
-    long = blocks.select(*keys, BUCKET, BLOCK, F.explode(per_scan).alias("e")).select(*keys, BUCKET, BLOCK, "e.*")
-
-    def heads(items: Column) -> Column:
-        return F.slice(F.flatten(F.transform(items, lambda s: s["h"])), F.lit(1), F.col("w"))
-
-    def first_value(items: Column) -> Column:
-        return F.try_element_at(F.filter(F.transform(items, lambda s: s["f"]), lambda v: v.isNotNull()), F.lit(1))
-
-    ordered = F.array_sort(F.collect_list(F.struct(F.col(BLOCK).alias("i"), "n", "b", "f", "h")))
-    buckets = long.groupBy(*keys, BUCKET, "sid", "a", "w").agg(ordered.alias("blocks"))
-    summary = buckets.select(
-        *keys,
-        "sid",
-        "a",
-        "w",
-        F.struct(
-            F.col(BUCKET).alias("i"),
-            F.aggregate("blocks", F.lit(0).cast("long"), lambda acc, s: acc + s["n"]).alias("n"),
-            F.element_at(_fold(F.col("blocks"), F.lit(0.0), F.col("a")), -1).alias("b"),
-            first_value(F.col("blocks")).alias("f"),
-            heads(F.col("blocks")).alias("h"),
-        ).alias("t"),
+    rows = rows.selectExpr("*", *[f"count(_x{i}) {over} AS _k{i}" for i in ids])
+    rows = rows.selectExpr(
+        "*", *[f"coalesce(sum(_x{i} * pow({a[i]}, -_k{i})) {over} * pow({a[i]}, _k{i}) * {scans[i].alpha!r}D, 0D) AS _z{i}" for i in ids]
     )
-    series = summary.groupBy(*keys, "sid", "a", "w").agg(F.array_sort(F.collect_list("t")).alias("ts"))
-    series = series.select(
-        *keys,
-        "sid",
-        F.explode(
-            F.arrays_zip(
-                F.transform("ts", lambda s: s["i"]).alias("i"),
-                F.slice(_counts(F.col("ts")), F.lit(1), F.size("ts")).alias("n"),
-                F.slice(_fold(F.col("ts"), _seed(first_value(F.col("ts")), heads(F.col("ts")), F.col("sid"), scans), F.col("a")), F.lit(1), F.size("ts")).alias("c"),
-            )
-        ).alias("e"),
-    ).select(*keys, "sid", F.col("e.i").alias(BUCKET), F.col("e.n").alias("n0"), F.col("e.c").alias("c0"))
-    carried = buckets.select(*keys, BUCKET, "sid", "a", "blocks").join(series, [*keys, BUCKET, "sid"])
-    carried = carried.select(
-        *keys,
-        BUCKET,
-        "sid",
-        F.explode(
-            F.arrays_zip(
-                F.transform("blocks", lambda s: s["i"]).alias("i"),
-                F.slice(_counts(F.col("blocks")), F.lit(1), F.size("blocks")).alias("n"),
-                F.slice(_fold(F.col("blocks"), F.col("c0"), F.col("a")), F.lit(1), F.size("blocks")).alias("c"),
-            )
-        ).alias("e"),
-        "n0",
-    ).select(*keys, BUCKET, F.col("e.i").alias(BLOCK), "sid", (F.col("n0") + F.col("e.n")).alias("n"), F.col("e.c").alias("c"))
-    carries = carried.groupBy(*keys, BUCKET, BLOCK).agg(
-        *[F.max(F.when(F.col("sid") == i, F.col("n"))).alias(f"_n{i}") for i in ids],
-        *[F.max(F.when(F.col("sid") == i, F.col("c"))).alias(f"_c{i}") for i in ids],
+
+    # One summary per block and scan; only mean-seeded scans need their first values kept.
+    def summary(i: int) -> str:
+        head = "CAST(array() AS array<double>)"
+        if scans[i].seed == "mean":
+            head = f"transform(array_sort(collect_list(CASE WHEN _x{i} IS NOT NULL AND _k{i} <= {scans[i].warmup} THEN struct(_k{i} AS k, _x{i} AS x) END)), e -> e.x)"
+        return (
+            f"struct({i} AS sid, {a[i]} AS a, {scans[i].warmup} AS w, max(_k{i}) AS n, max_by(_z{i}, {order}) AS b, "
+            f"min_by(_x{i}, CASE WHEN _x{i} IS NOT NULL THEN {order} END) AS f, {head} AS h)"
+        )
+
+    blocks = rows.groupBy(*keys, "_block").agg(F.expr(f"array({', '.join(summary(i) for i in ids)}) AS s")).selectExpr(*keys, "_block", "inline(s)")
+    groups = (
+        blocks.groupBy(*keys, "sid", "a", "w", F.expr(f"_block div {BLOCK_ROWS} AS _group"))
+        .agg(F.expr("array_sort(collect_list(struct(_block AS i, n, b, f, h))) AS bs"))
+        .selectExpr("*", f"struct(_group AS i, aggregate(bs, 0L, (acc, s) -> acc + s.n) AS n, element_at({_fold('bs', '0D')}, -1) AS b, {_first('bs')} AS f, {_heads('bs')} AS h) AS t")
     )
-    out = rows.join(carries, [*keys, BUCKET, BLOCK])
-    results = {}
-    for i in ids:
-        s = scans[i]
-        seen = F.col(f"_n{i}") + F.col(f"_k{i}")
-        value = F.col(f"_z{i}") + F.pow(F.lit(a[i]), F.col(f"_k{i}")) * F.col(f"_c{i}")
+    series = (
+        groups.groupBy(*keys, "sid", "a", "w")
+        .agg(F.expr("array_sort(collect_list(t)) AS gs"))
+        .selectExpr("*", f"{_first('gs')} AS f", f"{_heads('gs')} AS h")
+        .selectExpr(*keys, "sid", "transform(gs, s -> s.i) AS _group", f"{_counts('gs')} AS n0", f"{_fold('gs', _seed(scans))} AS c0")
+        .selectExpr(*keys, "sid", "inline(arrays_zip(_group, n0, c0))")
+        .filter("_group IS NOT NULL")
+    )
+    carries = (
+        groups.select(*keys, "_group", "sid", "a", "bs")
+        .join(series, [*keys, "_group", "sid"])
+        .selectExpr(*keys, "sid", "n0", "transform(bs, s -> s.i) AS _block", f"{_counts('bs')} AS n", f"{_fold('bs', 'c0')} AS c")
+        .selectExpr(*keys, "sid", "n0", "inline(arrays_zip(_block, n, c))")
+        .filter("_block IS NOT NULL")
+        .groupBy(*keys, "_block")
+        .agg(F.expr("map_from_entries(collect_list(struct(sid, struct(n0 + n AS n, c)))) AS _carry"))
+    )
+    results = []
+    for i, s in enumerate(scans):
+        seen = f"(_carry[{i}].n + _k{i})"
+        value = f"(_z{i} + pow({a[i]}, _k{i}) * _carry[{i}].c)"
         if s.adjusted:
-            value = value / (1.0 - F.pow(F.lit(a[i]), seen))
-        results[s.name] = F.when(seen >= F.greatest(F.lit(s.warmup), F.lit(1)), value)
-    temp = [f"_{p}{i}" for i in ids for p in ("x", "k", "z", "n", "c")]
-    return out.withColumns(results).drop(*temp, "_row", BLOCK, BUCKET)
+            value = f"{value} / (1D - pow({a[i]}, {seen}))"
+        results.append(f"CASE WHEN {seen} >= {max(s.warmup, 1)} THEN {value} END AS {s.name}")
+    joined = rows.join(carries, [*keys, "_block"])
+    return joined.selectExpr(*[f"`{c}`" for c in df.columns], *results)

@@ -32,27 +32,22 @@ CHUNK_ROWS = 16384
 Level = Callable[[WindowSpec], Mapping[str, Column]]
 
 
-def epoch_seconds(ts: str | Column) -> Column:
+def epoch_seconds(ts: str) -> Column:
     """Seconds since 1970-01-01 of a zone-free timestamp, independent of the session zone."""
-    c = F.col(ts) if isinstance(ts, str) else ts
-    days = F.datediff(c, F.lit("1970-01-01").cast("date")).cast("long")
-    clock = F.hour(c) * 3600 + F.minute(c) * 60 + F.second(c)
-    return days * 86400 + clock.cast("long")
+    return F.expr(f"(CAST(datediff({ts}, DATE'1970-01-01') AS BIGINT) * 86400 + hour({ts}) * 3600 + minute({ts}) * 60 + second({ts}))")
 
 
 def bar_seconds(df: DataFrame, default: int = 60) -> Column:
     """Length of each row's bar, from its ``timeframe`` column when there is one."""
     if "timeframe" not in df.columns:
         return F.lit(default)
-    out = F.lit(default)
-    for name, seconds in TIMEFRAME_SECONDS.items():
-        out = F.when(F.col("timeframe") == name, seconds).otherwise(out)
-    return out
+    cases = " ".join(f"WHEN '{name}' THEN {seconds}" for name, seconds in TIMEFRAME_SECONDS.items())
+    return F.expr(f"CASE timeframe {cases} ELSE {default} END")
 
 
 def time_bucket(df: DataFrame, order: str = TS, rows: int = BUCKET_ROWS) -> Column:
     """Bucket number that holds at most ``rows`` grid slots of the row's own bar size."""
-    return F.floor(epoch_seconds(order) / (bar_seconds(df) * rows)).cast("long")
+    return F.floor(epoch_seconds(order) / (bar_seconds(df) * rows))
 
 
 def _total(kind: str, value: Column, order: Column) -> Column:
@@ -152,7 +147,7 @@ def rolling(
     had_pos = POS in df.columns
     src = df if had_pos else positions(df, keys, order)
     size = max(chunk_rows, back, ahead, 1)
-    own = F.floor(F.col(POS) / size).cast("long")
+    own = F.expr(f"{POS} div {size}")
     copies = [own]
     if back:
         copies.append(F.when(F.col(POS) % size >= size - back, own + 1))
