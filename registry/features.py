@@ -7,8 +7,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from registry.common import rounded
 from registry.sql import HOURLY, QUOTES, cumulative, div, filled, lag, over, pick, recur, roll, trailing, with_
 from tickloom.functions import micro, momentum, price, signals, trend, volatility, volume
 from tickloom.functions.core import Family, compute
@@ -19,11 +19,6 @@ QUERIES = {}
 SQL = {}
 
 
-def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Round every fractional column; the nudge keeps exact halves from falling either way."""
-    return df.select(*[F.round(F.col(f.name) + 10.0 ** -(digits + 3), digits).alias(f.name) if isinstance(f.dataType, (T.DoubleType, T.FloatType)) else F.col(f.name) for f in df.schema.fields])
-
-
 def without_bar(df: DataFrame) -> DataFrame:
     return df.drop("timeframe", "open", "high", "low", "close", "volume", "bid", "ask", "bid_volume", "ask_volume", "trade_direction")
 

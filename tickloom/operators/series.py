@@ -137,6 +137,8 @@ def rolling(
     drop: Sequence[str] = (),
     keep_pos: bool = False,
     chunk_rows: int = CHUNK_ROWS,
+    ties: Sequence[str] = (),
+    bucket: Column | None = None,
 ) -> DataFrame:
     """Add window columns level by level.
 
@@ -145,7 +147,7 @@ def rolling(
     """
     keys = list(keys)
     had_pos = POS in df.columns
-    src = df if had_pos else positions(df, keys, order)
+    src = df if had_pos else positions(df, keys, order, ties=ties, bucket=bucket)
     size = max(chunk_rows, back, ahead, 1)
     own = F.expr(f"{POS} div {size}")
     copies = [own]
