@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.operators.series import running
@@ -17,15 +17,15 @@ from tickloom.operators.series import running
 EDGES = 64
 
 
-def value_counts(df: DataFrame, groups: Sequence[str], value: str, edges: int = EDGES) -> DataFrame:
+def value_counts(df: DataFrame, groups: Sequence[str], value: str, edges: int = EDGES, extra: Sequence[Column] = ()) -> DataFrame:
     """Per group and distinct value: ``_cnt`` rows, ``_cum`` rows up to and including it, ``_dense``
-    rank from 0 and ``_n`` rows of the group.
+    rank from 0 and ``_n`` rows of the group; ``extra`` are further aggregates per value.
 
     The edge table holds ``edges`` numbers per group. Groups are feature or model names, so it is
     small by construction and is broadcast.
     """
     groups = list(groups)
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count(F.lit(1)).alias("_cnt"))
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count(F.lit(1)).alias("_cnt"), *extra)
     cuts = ", ".join(f"{i / edges!r}D" for i in range(1, edges))
     stats = counts.groupBy(*groups).agg(
         F.expr(f"approx_percentile({value}, array({cuts}), 1000)").alias("_edges"), F.sum("_cnt").alias("_n")

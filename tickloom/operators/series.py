@@ -110,7 +110,8 @@ def running(
         local = Window.partitionBy(*keys, BUCKET).orderBy(*by)
     before = outer.rowsBetween(Window.unboundedPreceding, -1)
     inside = local.rowsBetween(Window.unboundedPreceding, -1 if exclusive else Window.currentRow)
-    carry = totals.select(*keys, BUCKET, *[_over(k, F.col(f"_t_{n}"), before).alias(f"_c_{n}") for n, (k, _) in specs.items()])
+    # Counts of buckets add up; every other kind combines with itself.
+    carry = totals.select(*keys, BUCKET, *[_over("sum" if k == "count" else k, F.col(f"_t_{n}"), before).alias(f"_c_{n}") for n, (k, _) in specs.items()])
     rows = src.withColumns({f"_l_{n}": _over(k, F.col(f"_v_{n}"), inside) for n, (k, _) in specs.items()})
     joined = rows.join(carry, [*keys, BUCKET], "left")
     temp = [f"_{p}_{n}" for n in specs for p in ("v", "l", "c")]
