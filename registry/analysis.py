@@ -9,6 +9,7 @@ from registry.common import rounded
 from registry.sql import HOURLY, div, lag, over, pick, recur, rnd, roll, trailing, with_
 from tickloom.operators import blend, metrics, select, split, strategy
 from tickloom.operators.series import rolling, trailing as last_rows
+from tickloom.session import cut_lineage
 from tickloom.sources.tables import bars, table
 
 QUERIES = {}
@@ -68,9 +69,9 @@ def corr_matrix(spark, d):
     return select.correlations(matrix(spark, d), X)
 
 
-@query(with_(*MATRIX, f"c AS ({PEARSON})") + pick({"r": "r"}, keys="a, b") + " FROM c WHERE abs(r) > 0.3")
+@query(with_(*MATRIX, f"c AS ({PEARSON})") + pick({"r": "r"}, keys="a, b") + " FROM c WHERE abs(r) > 0.02")
 def corr_pairs(spark, d):
-    return select.strong_pairs(select.correlations(matrix(spark, d), X), 0.3)
+    return select.strong_pairs(select.correlations(matrix(spark, d), X), 0.02)
 
 
 RANKS = "rk AS (SELECT " + ", ".join(f"rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0 AS {c}" for c in X) + " FROM m)"
@@ -97,9 +98,13 @@ def kendall_pair(spark, d):
     return select.kendall(bars(spark, d).select(F.col("volume").alias("x"), F.round("close").alias("y")), "x", "y")
 
 
-@query()
+@query(
+    with_(*MATRIX, f"c AS ({PEARSON})", "l AS (SELECT a, b FROM c WHERE abs(r) > 0.02 UNION SELECT b, a FROM c WHERE abs(r) > 0.02)",
+          "t AS (SELECT a AS feature, a AS g FROM l UNION SELECT l.b, t.g FROM t JOIN l ON l.a = t.feature)", recursive=True)
+    + 'SELECT feature, min(g) AS "group" FROM t GROUP BY 1'
+)
 def correlated_groups(spark, d):
-    return select.correlated_groups(select.correlations(matrix(spark, d), X), 0.3)
+    return select.correlated_groups(select.correlations(matrix(spark, d), X), 0.02)
 
 
 @query(with_(*MATRIX) + union(f"SELECT '{c}' AS feature, {rnd(f'corr({c}, y)')} AS r FROM m" for c in X))
@@ -131,11 +136,11 @@ MI = (
 
 @query(with_(*MATRIX, *MI) + pick({"score": "score"}, keys="feature, method") + " FROM mi")
 def mi_scores(spark, d):
-    return select.mutual_information(matrix(spark, d), X, "y")
+    return select.mutual_information(cut_lineage(matrix(spark, d)), X, "y")
 
 
 def scores(spark, d):
-    m = matrix(spark, d)
+    m = cut_lineage(matrix(spark, d))
     absolute = select.target_correlations(m, X, "y").select("feature", F.lit("abs_corr").alias("method"), F.abs("r").alias("score"))
     return select.f_scores(m, X, "y").unionByName(select.mutual_information(m, X, "y")).unionByName(absolute)
 
