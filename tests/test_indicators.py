@@ -5,7 +5,7 @@ from conftest import bar_frame, ordered, to_bars, walk
 from pyspark.sql import functions as F
 
 from tickloom.config import FeatureConfig
-from tickloom.functions import micro, momentum, price, trend, volatility, volume
+from tickloom.functions import core, micro, momentum, price, trend, volatility, volume
 from tickloom.functions.core import compute
 from tickloom.plans.features import compute_features, indicators
 
@@ -94,3 +94,17 @@ def test_quote_groups_need_quote_columns(spark):
     assert {"spread", "amihud_ratio_5", "order_flow_5"} <= set(compute_features(quoted, config).columns)
     plain = compute_features(df, config).columns
     assert "spread" not in plain and "range_liquidity_5" in plain and "inferred_flow_5" in plain
+
+
+def test_long_windows_equal_sliding_frames(spark, monkeypatch):
+    pdf = bar_frame(walk(420, 6), volumes=np.random.default_rng(3).integers(0, 50, 420))
+    pdf.loc[100:260, ["open", "high", "low", "close"]] = 90.0
+    df = to_bars(spark, pdf, bar_frame(walk(120, 8), "B"))
+    quoted = df.withColumns({"bid": F.col("low") - 0.5, "ask": F.col("high"), "bid_volume": F.col("volume") + 2, "ask_volume": F.lit(1.0), "trade_direction": F.signum(F.col("close") - F.col("open"))})
+    sizes = (5, 100, 130)
+    fam = lambda: (trend.sma(sizes), micro.order_flow(sizes), micro.inferred_flow(sizes), micro.quote_liquidity(sizes), micro.range_liquidity(sizes), micro.volatility_clustering(sizes), micro.price_impact(sizes))
+    fast = compute(quoted, *fam(), chunk_rows=150).orderBy("symbol", "ts").toPandas()
+    monkeypatch.setattr(core, "LONG_ROWS", 10**9)
+    slow = compute(quoted, *fam()).orderBy("symbol", "ts").toPandas()
+    pd.testing.assert_frame_equal(slow, fast[slow.columns], check_exact=False, rtol=1e-8, atol=1e-12)
+    assert slow["volatility_clustering_100"].notna().any() and slow["price_impact_coef_130"].notna().any()

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tickloom.functions.core import Family, correlation, div, filled, roll
+from tickloom.functions import core
+from tickloom.functions.core import Family, Long, correlation, div, filled, roll
 from tickloom.functions.volatility import returns
-from tickloom.operators.series import POS, trailing
+from tickloom.operators.series import POS
 
 DEFAULT = (5, 10, 20, 50)
 
@@ -33,39 +34,53 @@ def quote_prices() -> Family:
     return Family(levels=(lambda w: {k: v for k, v in full(w).items() if "volume" not in k},))
 
 
-def order_flow(windows: tuple[int, ...] = DEFAULT) -> Family:
-    v = F.col("volume")
+def _split(windows: tuple[int, ...]) -> tuple[list[int], list[int]]:
+    return [n for n in windows if n < core.LONG_ROWS], [n for n in windows if n >= core.LONG_ROWS]
 
-    def first(w):
-        return {"order_flow_indicator": v * F.col("trade_direction")}
+
+def _flow(source: str, names: tuple[str, str], windows: tuple[int, ...], first, reach: int, total: str) -> Family:
+    """Sums of a signed volume and their share of all volume."""
+    short, long = _split(windows)
+    flow, share = names
 
     def second(w):
-        out = {}
-        for n in windows:
-            flow = roll(F.sum, F.col("order_flow_indicator"), w, n)
-            out[f"order_flow_{n}"] = flow
-            out[f"normalized_order_flow_{n}"] = div(flow, roll(F.sum, v, w, n))
-        return out
+        return {
+            **{f"{flow}_{n}": roll(F.sum, F.col(source), w, n) for n in short},
+            **{f"_{flow}_v_{n}": roll(F.sum, F.col("volume"), w, n) for n in short},
+        }
 
-    return Family(levels=(first, second), back=max(windows), totals={"cumulative_order_flow": ("sum", F.col("order_flow_indicator"))})
+    return Family(
+        levels=(first, second),
+        back=max(windows) + reach,
+        long=tuple(r for n in long for r in (Long(f"{flow}_{n}", "sum", source, n), Long(f"_{flow}_v_{n}", "sum", "volume", n))),
+        totals={total: ("sum", F.col(source))},
+        final=lambda: {f"{share}_{n}": div(F.col(f"{flow}_{n}"), F.col(f"_{flow}_v_{n}")) for n in windows},
+        temp=tuple(f"_{flow}_v_{n}" for n in windows),
+    )
 
 
-def inferred_flow(windows: tuple[int, ...] = DEFAULT) -> Family:
-    c, v = F.col("close"), F.col("volume")
+def order_flow(windows: tuple[int, ...] = DEFAULT) -> Family:
+    first = lambda w: {"order_flow_indicator": F.col("volume") * F.col("trade_direction")}
+    return _flow("order_flow_indicator", ("order_flow", "normalized_order_flow"), windows, first, 0, "cumulative_order_flow")
 
+
+def inferred_flow(windows: tuple[int, ...] = DEFAULT) -> Family:
     def first(w):
-        direction = F.signum(c - F.lag(c).over(w))
-        return {"inferred_direction": direction, "inferred_order_flow": v * direction}
+        direction = F.signum(F.col("close") - F.lag("close").over(w))
+        return {"inferred_direction": direction, "inferred_order_flow": F.col("volume") * direction}
 
-    def second(w):
-        out = {}
-        for n in windows:
-            flow = roll(F.sum, F.col("inferred_order_flow"), w, n)
-            out[f"inferred_flow_{n}"] = flow
-            out[f"norm_inferred_flow_{n}"] = div(flow, roll(F.sum, v, w, n))
-        return out
+    return _flow("inferred_order_flow", ("inferred_flow", "norm_inferred_flow"), windows, first, 1, "cumulative_inferred_flow")
 
-    return Family(levels=(first, second), back=max(windows) + 1, totals={"cumulative_inferred_flow": ("sum", F.col("inferred_order_flow"))})
+
+def _means(inputs: dict[str, str], windows: tuple[int, ...], levels: tuple, reach: int) -> Family:
+    """Rolling means named ``{name}_{window}`` of temporary columns."""
+    short, long = _split(windows)
+    return Family(
+        levels=(*levels, lambda w: {f"{name}_{n}": roll(F.avg, F.col(c), w, n) for name, c in inputs.items() for n in short}),
+        back=max(windows) + reach,
+        long=tuple(Long(f"{name}_{n}", "mean", c, n) for name, c in inputs.items() for n in long),
+        temp=tuple(inputs.values()),
+    )
 
 
 def quote_liquidity(windows: tuple[int, ...] = DEFAULT) -> Family:
@@ -73,46 +88,34 @@ def quote_liquidity(windows: tuple[int, ...] = DEFAULT) -> Family:
 
     def first(w):
         mid = (a + b) / 2
-        return {"mid_price_change": F.abs(div(mid, F.lag(mid).over(w)) - 1)}
+        return {"mid_price_change": F.abs(div(mid, F.lag(mid).over(w)) - 1), "_liq_spread": div(v, a - b), "_depth": bv + av}
 
     def second(w):
         move = F.col("mid_price_change")
-        imbalance = F.abs(div(bv - av, bv + av))
-        out = {}
-        for n in windows:
-            out[f"amihud_ratio_{n}"] = roll(F.avg, div(move, v), w, n)
-            out[f"liquidity_ratio_{n}"] = roll(F.avg, div(v, a - b), w, n)
-            out[f"market_depth_{n}"] = roll(F.avg, bv + av, w, n)
-            out[f"market_resiliency_{n}"] = roll(F.avg, div(move, imbalance), w, n)
-        return out
+        return {"_amihud": div(move, v), "_resilient": div(move, F.abs(div(bv - av, bv + av)))}
 
-    return Family(levels=(first, second), back=max(windows) + 1)
+    inputs = {"amihud_ratio": "_amihud", "liquidity_ratio": "_liq_spread", "market_depth": "_depth", "market_resiliency": "_resilient"}
+    return _means(inputs, windows, (first, second), 1)
 
 
 def range_liquidity(windows: tuple[int, ...] = DEFAULT) -> Family:
     """Liquidity from prices and volume alone."""
     v = F.col("volume")
-
-    def first(w):
-        return {"abs_price_change": F.abs(returns(w))}
-
-    def second(w):
-        out = {}
-        for n in windows:
-            out[f"simple_amihud_{n}"] = roll(F.avg, div(F.col("abs_price_change"), v), w, n)
-            out[f"range_liquidity_{n}"] = roll(F.avg, div(v, F.col("high") - F.col("low")), w, n)
-        return out
-
-    return Family(levels=(first, second), back=max(windows) + 1)
+    first = lambda w: {"abs_price_change": F.abs(returns(w)), "_range_liq": div(v, F.col("high") - F.col("low"))}
+    second = lambda w: {"_plain_amihud": div(F.col("abs_price_change"), v)}
+    return _means({"simple_amihud": "_plain_amihud", "range_liquidity": "_range_liq"}, windows, (first, second), 1)
 
 
 def volatility_clustering(windows: tuple[int, ...] = DEFAULT) -> Family:
     """Lag-1 autocorrelation of absolute (clustering) and squared (arch) returns.
 
-    The clustering value of a series starts at its 2w-th row, the arch value with w returns.
+    The clustering value of a series starts at its 2w-th row, the arch value with w returns; a
+    constant window gives NULL.
     """
+    short, long = _split(windows)
+
     def first(w):
-        return {"returns": returns(w)}
+        return {"returns": returns(w), "_at": F.col(POS)}
 
     def second(w):
         r = F.col("returns")
@@ -124,30 +127,40 @@ def volatility_clustering(windows: tuple[int, ...] = DEFAULT) -> Family:
     def fourth(w):
         out = {}
         x, y = F.col("abs_returns"), F.col("_sq_returns")
-        for n in windows:
+        for n in short:
             pairs = w.rowsBetween(-(n - 2), 0)
-            varied = F.stddev_samp(x).over(trailing(w, n)) > 0
-            out[f"volatility_clustering_{n}"] = F.when((F.col(POS) >= 2 * n - 1) & varied, correlation(x, F.col("_abs_before"), pairs))
+            out[f"volatility_clustering_{n}"] = F.when(F.col("_at") >= 2 * n - 1, correlation(x, F.col("_abs_before"), pairs))
             out[f"arch_effect_{n}"] = F.when(filled(y, w, n), correlation(y, F.col("_sq_before"), pairs))
         return out
 
-    return Family(levels=(first, second, third, fourth), back=max(windows) + 2, temp=("_sq_returns", "_abs_before", "_sq_before"))
+    requests = []
+    for n in long:
+        requests.append(Long(f"volatility_clustering_{n}", "corr", "abs_returns", n - 1, "_abs_before", ready=F.col("_at") >= 2 * n - 1))
+        requests.append(Long(f"arch_effect_{n}", "corr", "_sq_returns", n - 1, "_sq_before"))
+    return Family(
+        levels=(first, second, third, fourth), back=max(windows) + 2, long=tuple(requests), temp=("_at", "_sq_returns", "_abs_before", "_sq_before")
+    )
 
 
 def price_impact(windows: tuple[int, ...] = DEFAULT) -> Family:
+    """Mean return per volume, and the slope of return on volume over the rows before."""
     v = F.col("volume")
+    short, long = _split(windows)
+    first = lambda w: {"price_change": returns(w)}
+    second = lambda w: {"_impact": div(F.col("price_change"), v)}
 
-    def first(w):
-        return {"price_change": returns(w)}
-
-    def second(w):
+    def third(w):
         r = F.col("price_change")
         out = {}
-        for n in windows:
-            out[f"price_impact_{n}"] = roll(F.avg, div(r, v), w, n)
+        for n in short:
+            out[f"price_impact_{n}"] = roll(F.avg, F.col("_impact"), w, n)
             before = w.rowsBetween(-n, -1)
             complete = F.count(F.when(r.isNotNull() & v.isNotNull(), 1)).over(before) == n
             out[f"price_impact_coef_{n}"] = F.when(complete, F.regr_slope(r, v).over(before))
         return out
 
-    return Family(levels=(first, second), back=max(windows) + 1)
+    requests = []
+    for n in long:
+        requests.append(Long(f"price_impact_{n}", "mean", "_impact", n))
+        requests.append(Long(f"price_impact_coef_{n}", "slope", "volume", n, "price_change", end=-1))
+    return Family(levels=(first, second, third), back=max(windows) + 1, long=tuple(requests), temp=("_impact",))

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tickloom.functions.core import Family, div, roll
+from tickloom.functions import core
+from tickloom.functions.core import Family, Long, div, roll
 from tickloom.functions.volatility import linear_wma, true_range
 from tickloom.operators.scan import ema, wilder
 
@@ -13,15 +14,14 @@ def sma(windows: tuple[int, ...] = (5, 10, 20, 50, 100, 200), prefix: str = "sma
     c = F.col("close")
 
     def first(w):
-        out = {}
-        for n in windows:
-            mean = roll(F.avg, c, w, n)
-            out[f"{prefix}_{n}"] = mean
-            if relative:
-                out[f"price_rel_{prefix}_{n}"] = div(c, mean)
-        return out
+        return {f"{prefix}_{n}": roll(F.avg, c, w, n) for n in windows if n < core.LONG_ROWS}
 
-    return Family(levels=(first,), back=max(windows))
+    return Family(
+        levels=(first,),
+        back=max(windows),
+        long=tuple(Long(f"{prefix}_{n}", "mean", "close", n) for n in windows if n >= core.LONG_ROWS),
+        final=lambda: {f"price_rel_{prefix}_{n}": div(c, F.col(f"{prefix}_{n}")) for n in windows} if relative else {},
+    )
 
 
 def ema_family(windows: tuple[int, ...] = (5, 10, 20, 50, 100, 200), prefix: str = "ema", relative: bool = True) -> Family:

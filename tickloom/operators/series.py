@@ -26,6 +26,8 @@ POS = "_pos"
 CHUNK = "_chunk"
 BUCKET = "_bucket"
 HALO = "_halo"
+PHASE = "_phase"
+STRIDE = 25
 BUCKET_ROWS = 16384
 CHUNK_ROWS = 16384
 
@@ -140,11 +142,13 @@ def rolling(
     chunk_rows: int = CHUNK_ROWS,
     ties: Sequence[str] = (),
     bucket: Column | None = None,
+    strided: Level | None = None,
 ) -> DataFrame:
     """Add window columns level by level.
 
     Each level maps a window spec to new columns and may use the columns of earlier levels.
     ``back`` and ``ahead`` are the total number of rows a result can depend on, over all levels.
+    ``strided`` runs last, on windows that step over ``STRIDE`` rows at a time.
     """
     keys = list(keys)
     had_pos = POS in df.columns
@@ -166,6 +170,9 @@ def rolling(
         columns = dict(level(w))
         if columns:
             src = src.withColumns(columns)
+    if strided is not None:
+        src = src.withColumn(PHASE, F.expr(f"{POS} % {STRIDE}"))
+        src = src.withColumns(dict(strided(Window.partitionBy(*keys, CHUNK, PHASE).orderBy(POS)))).drop(PHASE)
     out = src.filter(~F.col(HALO)).drop(HALO, CHUNK, *drop)
     return out if keep_pos or had_pos else out.drop(POS)
 
