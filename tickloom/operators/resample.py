@@ -12,14 +12,22 @@ from tickloom.config import KEYS, TS, timeframe_seconds
 from tickloom.operators.series import epoch_seconds
 
 
-def from_epoch(seconds: Column) -> Column:
-    """Zone-free timestamp from seconds since 1970-01-01."""
-    return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(secs=seconds)
+ORIGIN = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
+
+
+def from_epoch(seconds: str, unit: str = "SECOND") -> Column:
+    """Zone-free timestamp from a whole number of seconds (or of ``unit``) since 1970-01-01."""
+    return F.expr(f"{ORIGIN} + ({seconds}) * INTERVAL '1' {unit}")
+
+
+def slot(ts: str, seconds: int) -> Column:
+    """Number of the epoch-aligned interval of ``seconds`` that holds ``ts``."""
+    return F.floor(epoch_seconds(ts) / seconds)
 
 
 def floor_ts(ts: str, seconds: int) -> Column:
     """Start of the epoch-aligned interval of ``seconds`` that holds ``ts``."""
-    return from_epoch(F.floor(epoch_seconds(ts) / seconds) * seconds)
+    return F.expr(f"{ORIGIN} + floor(CAST(CAST({ts} - {ORIGIN} AS INTERVAL SECOND) AS BIGINT) / {seconds}) * INTERVAL '{seconds}' SECOND")
 
 
 def ticks_to_bars(ticks: DataFrame, timeframe: str, ties: Sequence[str] = ()) -> DataFrame:
@@ -28,11 +36,11 @@ def ticks_to_bars(ticks: DataFrame, timeframe: str, ties: Sequence[str] = ()) ->
     Every aggregate combines before the shuffle, so a symbol with a third of all ticks costs each
     task one partial row per bar.
     """
-    when = F.struct(TS, *ties) if ties else F.col(TS)
-    bar_ts = floor_ts(TS, timeframe_seconds(timeframe))
+    seconds = timeframe_seconds(timeframe)
+    at = F.struct(TS, *ties) if ties else F.col(TS)
     return (
-        ticks.select("symbol", "price", "size", bar_ts.alias("bar_ts"), when.alias("at"))
-        .groupBy("symbol", "bar_ts")
+        ticks.select("symbol", "price", "size", slot(TS, seconds).alias("_slot"), at.alias("at"))
+        .groupBy("symbol", "_slot")
         .agg(
             F.min_by("price", "at").alias("open"),
             F.max("price").alias("high"),
@@ -40,16 +48,16 @@ def ticks_to_bars(ticks: DataFrame, timeframe: str, ties: Sequence[str] = ()) ->
             F.max_by("price", "at").alias("close"),
             F.sum("size").alias("volume"),
         )
-        .select("symbol", F.lit(timeframe).alias("timeframe"), F.col("bar_ts").alias(TS), "open", "high", "low", "close", "volume")
+        .select("symbol", F.lit(timeframe).alias("timeframe"), from_epoch(f"_slot * {seconds}").alias(TS), "open", "high", "low", "close", "volume")
     )
 
 
 def resample(bars: DataFrame, timeframe: str, fill_gaps: bool = False) -> DataFrame:
     """Coarser OHLCV bars. Null prices are skipped and a null volume counts as zero."""
-    bar_ts = floor_ts(TS, timeframe_seconds(timeframe))
+    seconds = timeframe_seconds(timeframe)
     out = (
-        bars.select("symbol", bar_ts.alias("bar_ts"), TS, "open", "high", "low", "close", "volume")
-        .groupBy("symbol", "bar_ts")
+        bars.select("symbol", slot(TS, seconds).alias("_slot"), TS, "open", "high", "low", "close", "volume")
+        .groupBy("symbol", "_slot")
         .agg(
             F.min_by("open", F.when(F.col("open").isNotNull(), F.col(TS))).alias("open"),
             F.max("high").alias("high"),
@@ -57,7 +65,7 @@ def resample(bars: DataFrame, timeframe: str, fill_gaps: bool = False) -> DataFr
             F.max_by("close", F.when(F.col("close").isNotNull(), F.col(TS))).alias("close"),
             F.coalesce(F.sum("volume"), F.lit(0.0)).alias("volume"),
         )
-        .select("symbol", F.lit(timeframe).alias("timeframe"), F.col("bar_ts").alias(TS), "open", "high", "low", "close", "volume")
+        .select("symbol", F.lit(timeframe).alias("timeframe"), from_epoch(f"_slot * {seconds}").alias(TS), "open", "high", "low", "close", "volume")
     )
     return with_gap_rows(out, timeframe) if fill_gaps else out
 
@@ -77,7 +85,7 @@ def bar_grid(bars: DataFrame, timeframe: str, keys: Sequence[str] = KEYS) -> Dat
     slots = blocks.repartition(*keys, "_b").select(
         *keys, "_lo", "_hi", F.explode(F.sequence(F.col("_b"), F.col("_b") + F.lit(block - seconds).cast("long"), F.lit(seconds).cast("long"))).alias("_s")
     )
-    return slots.filter((F.col("_s") >= start) & (F.col("_s") <= stop)).select(*keys, from_epoch(F.col("_s")).alias(TS))
+    return slots.filter((F.col("_s") >= start) & (F.col("_s") <= stop)).select(*keys, from_epoch("_s").alias(TS))
 
 
 def with_gap_rows(bars: DataFrame, timeframe: str, keys: Sequence[str] = KEYS) -> DataFrame:

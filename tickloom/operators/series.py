@@ -35,8 +35,8 @@ Level = Callable[[WindowSpec], Mapping[str, Column]]
 
 
 def epoch_seconds(ts: str) -> Column:
-    """Seconds since 1970-01-01 of a zone-free timestamp, independent of the session zone."""
-    return F.expr(f"(CAST(datediff({ts}, DATE'1970-01-01') AS BIGINT) * 86400 + hour({ts}) * 3600 + minute({ts}) * 60 + second({ts}))")
+    """Whole seconds since 1970-01-01 of a zone-free timestamp, independent of the session zone."""
+    return F.expr(f"CAST(CAST({ts} - TIMESTAMP_NTZ'1970-01-01 00:00:00' AS INTERVAL SECOND) AS BIGINT)")
 
 
 def bar_seconds(df: DataFrame, default: int = 60) -> Column:
@@ -96,7 +96,7 @@ def running(
     src = df.withColumns(
         {BUCKET: time_bucket(df, order) if bucket is None else bucket, **{f"_v_{n}": v for n, (_, v) in specs.items()}}
     )
-    rank = F.struct(*by)
+    rank = F.struct(*by) if ties else F.col(order)
     if descending:
         totals = src.groupBy(*keys, BUCKET).agg(
             *[

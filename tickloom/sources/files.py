@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tickloom.config import KEYS, TS
-from tickloom.operators.resample import from_epoch
 
 BARS = T.StructType(
     [T.StructField(TS, T.TimestampNTZType())] + [T.StructField(c, T.DoubleType()) for c in ("open", "high", "low", "close", "volume")]
@@ -42,10 +41,9 @@ def file_part(group: int) -> Column:
     return F.when(part != "", part)
 
 
-def epoch_ms(ms: str | Column) -> Column:
+def epoch_ms(ms: str) -> Column:
     """Zone-free timestamp of an epoch in milliseconds."""
-    c = F.col(ms) if isinstance(ms, str) else ms
-    return from_epoch(c.cast("decimal(20,3)") / 1000)
+    return F.expr(f"TIMESTAMP_NTZ'1970-01-01 00:00:00' + CAST({ms} AS BIGINT) * INTERVAL '0.001' SECOND")
 
 
 def read_bars_csv(spark: SparkSession, path: str | Sequence[str], header_time: str = "timestamp") -> DataFrame:
@@ -75,7 +73,7 @@ def parse_ohlcv_arrays(df: DataFrame, column: str, keep: Sequence[str] = KEYS) -
     """Rows from a JSON array of ``[epoch ms, open, high, low, close, volume]`` lists."""
     rows = df.select(*keep, F.explode(F.from_json(column, "array<array<double>>")).alias("_r"))
     cells = [F.element_at("_r", i + 2).alias(c) for i, c in enumerate(("open", "high", "low", "close", "volume"))]
-    return rows.select(*keep, epoch_ms(F.element_at("_r", 1)).alias(TS), *cells)
+    return rows.select(*keep, epoch_ms("element_at(_r, 1)").alias(TS), *cells)
 
 
 def read_table(spark: SparkSession, path: str, symbols: Sequence[str] | None = None, timeframe: str | None = None) -> DataFrame:
