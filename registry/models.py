@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,8 +14,9 @@ from registry.sql import HOURLY, cumulative, div, lag, pick, recur, rnd, roll, w
 from tickloom.operators import split
 from tickloom.operators.metrics import regression
 from tickloom.plans import features, models, selection
-from tickloom.session import cut_lineage
+from tickloom.session import cut_lineage, shared_folder
 from tickloom.sources.tables import bars, table
+from tickloom.streaming.bars import replay_bars
 
 QUERIES = {}
 SQL = {}
@@ -254,3 +257,25 @@ def retrain_selected(spark, d):
 )
 def evaluate_ignoring_invalid(spark, d):
     return regression(predictions(spark, d).filter("model = 'last'"), by=["symbol"]).select("symbol", "rows", "mae")
+
+
+@query()
+def elimination_curve(spark, d):
+    return selection.elimination_with_folds(split.time_folds(matrix(spark, d), 2), X, "y", "linear")[1]
+
+
+# --- streaming ---------------------------------------------------------------------------------
+@query(
+    with_(*HOURLY)
+    + pick({c: c for c in ("open", "high", "low", "close", "volume")})
+    + " FROM bars_1h WHERE ts + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE"
+)
+def stream_bars(spark, d):
+    """Bars the stream has closed once every event was read."""
+    schema = table(spark, d, "events").schema
+    events = spark.readStream.schema(schema).parquet(f"{d}/events.parquet*")
+    ticks = events.select(
+        F.col("event_type").alias("symbol"), "ts", F.col("value").alias("price"), F.get_json_object("props", "$.k").cast("double").alias("size"), "event_id"
+    )
+    out = replay_bars(ticks, "1h", f"{shared_folder(spark)}/{uuid.uuid4().hex}", ties=["event_id"])
+    return out.drop("timeframe")

@@ -14,28 +14,35 @@ from pyspark.sql import functions as F
 
 from tickloom.operators.series import running
 
-EDGES = 64
+# Range buckets per group. A bucket is one task's work, so a group of n distinct values wants about
+# n / 10 million of them.
+EDGES = 256
+STEP = 16
 
 
 def value_counts(df: DataFrame, groups: Sequence[str], value: str, edges: int = EDGES, extra: Sequence[Column] = ()) -> DataFrame:
     """Per group and distinct value: ``_cnt`` rows, ``_cum`` rows up to and including it, ``_dense``
     rank from 0 and ``_n`` rows of the group; ``extra`` are further aggregates per value.
 
-    The edge table holds ``edges`` numbers per group. Groups are feature or model names, so it is
-    small by construction and is broadcast.
+    The edge table holds ``edges`` numbers per group. It is broadcast only when groups are column
+    names, whose number the schema bounds; otherwise Spark chooses the join from measured sizes.
     """
     groups = list(groups)
     counts = df.filter(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count(F.lit(1)).alias("_cnt"), *extra)
     cuts = ", ".join(f"{i / edges!r}D" for i in range(1, edges))
     stats = counts.groupBy(*groups).agg(
-        F.expr(f"approx_percentile({value}, array({cuts}), 1000)").alias("_edges"), F.sum("_cnt").alias("_n")
+        F.expr(f"approx_percentile({value}, array({cuts}), {max(1000, 8 * edges)})").alias("_edges"), F.sum("_cnt").alias("_n")
     )
+    # Every STEP-th edge narrows the search, so a lookup compares with few of them.
+    stats = stats.withColumn("_coarse", F.expr(f"filter(_edges, (e, i) -> i % {STEP} = {STEP - 1})"))
     if groups:
-        placed = counts.join(F.broadcast(stats), groups)
+        placed = counts.join(F.broadcast(stats) if groups == ["feature"] else stats, groups)
     else:
-        edge = stats.select(F.struct("_edges", "_n")).scalar()
-        placed = counts.withColumn("_s", edge).withColumns({"_edges": F.col("_s._edges"), "_n": F.col("_s._n")}).drop("_s")
-    placed = placed.withColumn("_slot", F.expr(f"CAST(size(filter(_edges, e -> e < {value})) AS BIGINT)")).drop("_edges")
+        edge = stats.select(F.struct("_edges", "_coarse", "_n")).scalar()
+        placed = counts.withColumn("_s", edge).select("*", "_s.*").drop("_s")
+    placed = placed.withColumn("_major", F.expr(f"size(filter(_coarse, e -> e < {value})) * {STEP}"))
+    minor = f"size(filter(slice(_edges, _major + 1, {STEP}), e -> e < {value}))"
+    placed = placed.withColumn("_slot", F.expr(f"CAST(_major + {minor} AS BIGINT)")).drop("_edges", "_coarse", "_major")
     out = running(placed, {"_cum": ("sum", F.col("_cnt")), "_dense": ("count", F.lit(1))}, groups, value, bucket=F.col("_slot"))
     return out.withColumn("_dense", F.col("_dense") - 1).drop("_slot")
 

@@ -104,29 +104,26 @@ def pca(df: DataFrame, cols: Sequence[str], k: int, keep: Sequence[str] = ("symb
 def least_squares(df: DataFrame, cols: Sequence[str], label: str, by: Sequence[str] = ("symbol",), ridge: float = 0.0) -> DataFrame:
     """(by..., term, coefficient) from the normal equations of each key.
 
-    The rows reduce to (columns + 2) squared sums per key before the shuffle; only those are solved
-    in Python, one small system per key.
+    The rows reduce to means and covariances per key before the shuffle, so a key with a large
+    share of the rows costs no more than another; one small system per key is then solved in Python.
     """
     names = [*cols, "intercept"]
-    terms = [F.col(c).cast("double") for c in cols] + [F.lit(1.0)]
+    x = [F.col(c).cast("double") for c in cols]
     y = F.col(label).cast("double")
     rows = df.dropna(subset=[*cols, label])
-    sums = [F.sum(a * b) for a in terms for b in terms] + [F.sum(a * y) for a in terms]
-    # Sums of products of values far from zero lose digits, so columns are centred per key first.
-    centre = rows.groupBy(*by).agg(*[F.avg(c).alias(f"_m_{c}") for c in [*cols, label]])
-    moved = rows.join(centre, list(by)).withColumns({c: F.col(c) - F.col(f"_m_{c}") for c in [*cols, label]})
-    packed = moved.groupBy(*by).agg(F.array(*sums).alias("_s"), F.array(*[F.first(f"_m_{c}") for c in [*cols, label]]).alias("_m"))
-    n = len(names)
+    cov = F.array(*[F.covar_pop(a, b) for a in x for b in x], *[F.covar_pop(a, y) for a in x])
+    packed = rows.groupBy(*by).agg(F.count(F.lit(1)).cast("double").alias("_n"), cov.alias("_s"), F.array(*[F.avg(c) for c in [*x, y]]).alias("_m"))
+    p = len(cols)
 
     def solve(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
         for pdf in batches:
             out = []
             for row in pdf.itertuples(index=False):
-                s, m = np.asarray(row[-2], float), np.asarray(row[-1], float)
-                gram, moment = s[: n * n].reshape(n, n), s[n * n :]
-                beta = np.linalg.lstsq(gram + ridge * np.diag([1.0] * (n - 1) + [0.0]), moment, rcond=None)[0]
-                beta[-1] += m[-1] - float(beta[:-1] @ m[:-1])
-                out += [(*row[: len(by)], t, float(b)) for t, b in zip(names, beta)]
+                n, s, m = float(row[-3]), np.asarray(row[-2], float), np.asarray(row[-1], float)
+                gram, moment = s[: p * p].reshape(p, p) * n, s[p * p :] * n
+                beta = np.linalg.lstsq(gram + ridge * np.eye(p), moment, rcond=None)[0]
+                full = [*beta, m[-1] - float(beta @ m[:-1])]
+                out += [(*row[: len(by)], t, float(b)) for t, b in zip(names, full)]
             yield pd.DataFrame(out, columns=[*by, "term", "coefficient"])
 
     types = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in by)

@@ -26,7 +26,7 @@ def shuffled_column(df: DataFrame, column: str, seed: int, key: Sequence[str] =
 
     def numbered(rows: DataFrame, salt: int) -> DataFrame:
         hashed = rows.withColumn("_h", F.xxhash64(*key, F.lit(salt)))
-        return positions(hashed, [], "_h", name="_i", ties=list(key), bucket=F.shiftright("_h", 52)).drop("_h")
+        return positions(hashed, [], "_h", name="_i", ties=list(key), bucket=F.shiftright("_h", 46)).drop("_h")
 
     left = numbered(df.drop(column), 2 * seed)
     right = numbered(df.select(*key, column), 2 * seed + 1).select("_i", column)

@@ -24,19 +24,26 @@ def local_session(cpus: str = "*", app: str = "tickloom", shuffle_partitions: in
     )
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the shared checkpoint folder so later branches do not recompute it.
+def shared_folder(spark: SparkSession) -> str | None:
+    """The checkpoint folder every executor reaches, or None.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``. It is set here only for a
-    local master that names none; any other session without a folder keeps its full lineage.
+    It is the one the cluster names in ``spark.checkpoint.dir``. A folder is made here only for a
+    local master that names none.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        shared = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-        if shared is None and context.master.startswith("local"):
-            shared = tempfile.mkdtemp(prefix="tickloom-checkpoint-")
-        if shared is None:
-            return df
-        context.setCheckpointDir(shared)
-    return df.checkpoint(eager=True)
+        named = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and context.master.startswith("local"):
+            named = tempfile.mkdtemp(prefix="tickloom-checkpoint-")
+        if named is None:
+            return None
+        context.setCheckpointDir(named)
+    return context.getCheckpointDir()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write ``df`` once to the shared folder so that later branches do not recompute it.
+
+    Without a shared folder the full lineage is kept.
+    """
+    return df.checkpoint(eager=True) if shared_folder(df.sparkSession) else df

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
@@ -19,12 +19,24 @@ def read_ticks(spark: SparkSession, path: str, schema: StructType, files_per_bat
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
+def instant(ts: str) -> Column:
+    """Zone-free time read as UTC: watermarks need an instant, whatever the session zone."""
+    seconds = f"CAST(CAST({ts} - TIMESTAMP_NTZ'1970-01-01 00:00:00' AS INTERVAL SECOND) AS BIGINT)"
+    return F.expr(f"timestamp_micros({seconds} * 1000000 + CAST(extract(SECOND FROM {ts}) % 1 * 1000000 AS BIGINT))")
+
+
+def wall_clock(ts: str) -> Column:
+    return F.expr(f"TIMESTAMP_NTZ'1970-01-01 00:00:00' + unix_micros({ts}) * INTERVAL '0.000001' SECOND")
+
+
 def stream_bars(ticks: DataFrame, timeframe: str, late: str = "10 minutes", ties: Sequence[str] = ()) -> DataFrame:
     """Closed bars from ``symbol, ts, price, size``; in append mode a bar appears once it can no
     longer change. Ticks later than ``late`` are dropped. State is one partial row per open bar.
     """
     seconds = timeframe_seconds(timeframe)
     at = F.struct(TS, *ties) if ties else F.col(TS)
+    if ticks.schema[TS].dataType.typeName() == "timestamp_ntz":
+        ticks = ticks.withColumn(TS, instant(TS))
     return (
         ticks.withWatermark(TS, late)
         .groupBy("symbol", F.window(TS, f"{seconds} seconds").alias("w"))
@@ -35,10 +47,18 @@ def stream_bars(ticks: DataFrame, timeframe: str, late: str = "10 minutes", ties
             F.max_by("price", at).alias("close"),
             F.sum("size").alias("volume"),
         )
-        .select("symbol", F.lit(timeframe).alias("timeframe"), F.col("w.start").alias(TS), "open", "high", "low", "close", "volume")
+        .select("symbol", F.lit(timeframe).alias("timeframe"), wall_clock("w.start").alias(TS), "open", "high", "low", "close", "volume")
     )
 
 
+def replay_bars(ticks: DataFrame, timeframe: str, path: str, late: str = "10 minutes", ties: Sequence[str] = ()) -> DataFrame:
+    """Run a tick stream over all input there is, into files under ``path``, and read the bars."""
+    out = stream_bars(ticks, timeframe, late, ties)
+    run = out.writeStream.format("parquet").option("path", f"{path}/bars").option("checkpointLocation", f"{path}/state").outputMode("append").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return ticks.sparkSession.read.schema(out.schema).parquet(f"{path}/bars")
+
+
 def snapshot_bars(snapshots: DataFrame, timeframe: str) -> DataFrame:
     """Ticker snapshots as flat bars on the bar grid: every price the last one, no volume."""
     last = F.col("last_price")
