@@ -20,7 +20,7 @@ def test_linear_price(spark):
 
 def test_constant_price_gives_nulls_not_errors(spark):
     df = to_bars(spark, bar_frame([5.0] * 60, spread=0.0, volumes=[0.0] * 60))
-    out = compute(df, price.price(), volume.volume(), volume.cumulative(), volatility.volatility(), momentum.rsi(), momentum.stochastic(), momentum.cci(), momentum.mfi(), momentum.ultimate(), momentum.tsi(), micro.volatility_clustering(), micro.price_impact(), micro.range_liquidity(), trend.adx())
+    out = compute(df, price.price((5,)), volume.volume((5,), (10,)), volume.cumulative(), momentum.rsi((14,)), momentum.stochastic(), momentum.cci((14,)), momentum.mfi((14,)), momentum.ultimate(), momentum.tsi({"tsi": (25, 13)}), micro.volatility_clustering((5,)), micro.price_impact((5,)), micro.range_liquidity((5,)), trend.adx((14,)))
     got = ordered(out, "price_change_pct", "price_volatility", "rel_volume_5", "price_volume_corr_10", "rsi_14", "stoch_k", "cci_14", "mfi_14", "ultimate_osc", "tsi", "volatility_clustering_5", "price_impact_coef_5", "simple_amihud_5", "adx_14", "vwap")
     assert (got["price_change_pct"].dropna() == 0).all()
     for c in ("rel_volume_5", "price_volume_corr_10", "rsi_14", "stoch_k", "cci_14", "mfi_14", "ultimate_osc", "tsi", "volatility_clustering_5", "price_impact_coef_5", "simple_amihud_5", "adx_14", "vwap"):

@@ -33,10 +33,10 @@ def test_regressors_beat_the_mean(planted, kind, params):
     assert regression(scored, "y").first()["r2"] > 0.6
 
 
-@pytest.mark.parametrize("kind", ["logistic", "forest_classifier", "gbt_classifier", "linear_svm"])
-def test_classifiers_beat_chance(planted, kind):
+@pytest.mark.parametrize("kind,params", [("logistic", {"maxIter": 10}), ("forest_classifier", {"numTrees": 10}), ("gbt_classifier", {"maxIter": 5}), ("linear_svm", {"maxIter": 5})])
+def test_classifiers_beat_chance(planted, kind, params):
     rows = planted.withColumn("up", (F.col("y") > 0).cast("double"))
-    out = models.predict(models.fit(rows, COLS, "up", kind), rows)
+    out = models.predict(models.fit(rows, COLS, "up", kind, **params), rows)
     assert out.agg(F.avg((F.col("up") == F.col("prediction")).cast("double"))).first()[0] > 0.85
 
 
