@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, WindowSpec
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tickloom.config import KEYS, TS
 from tickloom.operators.scan import Scan, scan
-from tickloom.operators.series import CHUNK_ROWS, STRIDE, Level, rolling, running, trailing
+from tickloom.operators.series import CHUNK_ROWS, POS, STRIDE, Level, rolling, running, trailing
 
 # Windows of at least this many rows are built from partial aggregates (see Long).
 LONG_ROWS = 100
@@ -22,8 +22,13 @@ def div(a: Column, b: Column) -> Column:
 
 
 def filled(value: Column, w: WindowSpec, rows: int) -> Column:
-    """True once the trailing ``rows`` all hold a value."""
-    return F.count(value).over(trailing(w, rows)) == rows
+    """True once the trailing ``rows`` all hold a value.
+
+    The position of the last missing value is a growing frame, one step per row; counting the
+    values of a sliding frame would cost the frame's length again.
+    """
+    missing = F.max(F.when(value.isNull(), F.col(POS))).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return F.col(POS) - F.coalesce(missing, F.lit(-1)) >= rows
 
 
 def roll(fn: Callable[[Column], Column], value: Column, w: WindowSpec, rows: int) -> Column:

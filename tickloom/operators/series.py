@@ -180,9 +180,3 @@ def rolling(
 def trailing(w: WindowSpec, rows: int) -> WindowSpec:
     """The last ``rows`` rows including the current one."""
     return w.rowsBetween(-(rows - 1), Window.currentRow)
-
-
-def full(agg: Column, value: Column, w: WindowSpec, rows: int) -> Column:
-    """``agg`` over the trailing ``rows``, NULL until all of them hold a value."""
-    frame = trailing(w, rows)
-    return F.when(F.count(value).over(frame) == rows, agg.over(frame))
