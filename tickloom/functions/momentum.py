@@ -15,7 +15,7 @@ def price_change(steps: tuple[int, ...] = (1, 5, 10, 20, 50, 100)) -> Family:
 
 
 def roc(windows: tuple[int, ...] = (10, 20, 50), prefix: str = "roc", momentum: tuple[int, ...] = (10, 20)) -> Family:
-    """Percent rate of change; ``momentum_*`` is 100 times the percentage, as the name is used upstream."""
+    """Percent rate of change; ``momentum_*`` is 100 times the percentage."""
     c = F.col("close")
 
     def first(w):
