@@ -2,18 +2,30 @@
 
 from __future__ import annotations
 
-from tickloom.llm import bpe_automaton, token_blocks
+from tickloom.llm import bpe_automaton, fertility, license_templates, longest_match, token_blocks
 from tickloom.llm.common import documents
 
 
+def op2_fertility(spark, sf_dir):
+    return fertility.quality_rules(documents(spark, sf_dir))
+
+
 def op5_token_blocks(spark, sf_dir):
     return token_blocks.token_files(documents(spark, sf_dir))
 
 
+def op7_license_templates(spark, sf_dir):
+    return license_templates.scan_licenses(documents(spark, sf_dir)).drop("spans")
+
+
 def op8_bpe_automaton(spark, sf_dir):
     return bpe_automaton.token_digests(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op5_token_blocks, op8_bpe_automaton)}
+def op10_longest_match(spark, sf_dir):
+    return longest_match.count_tokens(documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op2_fertility, op5_token_blocks, op7_license_templates, op8_bpe_automaton, op10_longest_match)}
 
 SQL: dict[str, str] = {}
