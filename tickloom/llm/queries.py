@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tickloom.llm import bpe_automaton, fertility, license_templates, longest_match, token_blocks
+from tickloom.llm import bag_minhash, bpe_automaton, fertility, license_templates, longest_match, token_blocks
 from tickloom.llm.common import documents
 
 
@@ -10,6 +10,10 @@ def op2_fertility(spark, sf_dir):
     return fertility.quality_rules(documents(spark, sf_dir))
 
 
+def op4_bag_minhash(spark, sf_dir):
+    return bag_minhash.near_duplicates(documents(spark, sf_dir))
+
+
 def op5_token_blocks(spark, sf_dir):
     return token_blocks.token_files(documents(spark, sf_dir))
 
@@ -26,6 +30,6 @@ def op10_longest_match(spark, sf_dir):
     return longest_match.count_tokens(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op2_fertility, op5_token_blocks, op7_license_templates, op8_bpe_automaton, op10_longest_match)}
+QUERIES = {f.__name__: f for f in (op2_fertility, op4_bag_minhash, op5_token_blocks, op7_license_templates, op8_bpe_automaton, op10_longest_match)}
 
 SQL: dict[str, str] = {}
