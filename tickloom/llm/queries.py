@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
-from tickloom.llm import bag_minhash, bpe_automaton, fertility, license_templates, longest_match, token_blocks
+from tickloom.llm import bag_minhash, bpe_automaton, fertility, gated_toxicity, license_templates, longest_match, pairwise_quality, token_blocks
 from tickloom.llm.common import documents
 
 
+def op1_gated_toxicity(spark, sf_dir):
+    return gated_toxicity.score_toxicity(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))
+
+
 def op2_fertility(spark, sf_dir):
     return fertility.quality_rules(documents(spark, sf_dir))
 
 
+def op3_pairwise_quality(spark, sf_dir):
+    return pairwise_quality.score_quality(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))
+
+
 def op4_bag_minhash(spark, sf_dir):
     return bag_minhash.near_duplicates(documents(spark, sf_dir))
 
@@ -30,6 +38,6 @@ def op10_longest_match(spark, sf_dir):
     return longest_match.count_tokens(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op2_fertility, op4_bag_minhash, op5_token_blocks, op7_license_templates, op8_bpe_automaton, op10_longest_match)}
+QUERIES = {f.__name__: f for f in (op1_gated_toxicity, op2_fertility, op3_pairwise_quality, op4_bag_minhash, op5_token_blocks, op7_license_templates, op8_bpe_automaton, op10_longest_match)}
 
 SQL: dict[str, str] = {}
