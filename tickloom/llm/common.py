@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from tickloom.session import cut_lineage
+from tickloom.session import shared_folder
 
 #: Rows and bytes of text that one call of a row function gets at most; a single longer row is passed alone.
 PIECE_ROWS, PIECE_BYTES = 2000, 8 << 20
@@ -92,5 +93,7 @@ def row_key(doc_id: Column, text: Column) -> list[Column]:
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """``df`` written once to the shared checkpoint folder and read from there."""
-    return cut_lineage(df)
+    """``df`` written once as Parquet to the shared folder and read from there, so no lost executor brings back the work before it."""
+    folder = f"{shared_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)

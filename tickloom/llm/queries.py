@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tickloom.llm import bag_minhash, bpe_automaton, fertility, gated_toxicity, license_templates, longest_match, pairwise_quality, token_blocks
+from tickloom.llm import bag_minhash, bpe_automaton, fertility, gated_toxicity, license_templates, longest_match, pairwise_quality, suffix_repeats, token_blocks
 from tickloom.llm.common import documents
 
 
@@ -26,6 +26,10 @@ def op5_token_blocks(spark, sf_dir):
     return token_blocks.token_files(documents(spark, sf_dir))
 
 
+def op6_suffix_repeats(spark, sf_dir):
+    return suffix_repeats.removal_digests(documents(spark, sf_dir))
+
+
 def op7_license_templates(spark, sf_dir):
     return license_templates.scan_licenses(documents(spark, sf_dir)).drop("spans")
 
@@ -38,6 +42,6 @@ def op10_longest_match(spark, sf_dir):
     return longest_match.count_tokens(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_gated_toxicity, op2_fertility, op3_pairwise_quality, op4_bag_minhash, op5_token_blocks, op7_license_templates, op8_bpe_automaton, op10_longest_match)}
+QUERIES = {f.__name__: f for f in (op1_gated_toxicity, op2_fertility, op3_pairwise_quality, op4_bag_minhash, op5_token_blocks, op6_suffix_repeats, op7_license_templates, op8_bpe_automaton, op10_longest_match)}
 
 SQL: dict[str, str] = {}
