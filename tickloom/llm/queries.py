@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from tickloom.llm import bag_minhash, bpe_automaton, fertility, gated_toxicity, license_templates, longest_match, pairwise_quality, suffix_repeats, token_blocks
+import corpus_pipeline
+from tickloom.llm import bag_minhash, bpe_automaton, decontamination, fertility, gated_toxicity, license_templates, longest_match, pairwise_quality, suffix_repeats, token_blocks
 from tickloom.llm.common import documents
 
 
@@ -38,10 +39,21 @@ def op8_bpe_automaton(spark, sf_dir):
     return bpe_automaton.token_digests(documents(spark, sf_dir))
 
 
+def op9_decontamination(spark, sf_dir):
+    return decontamination.leaked_items(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"))
+
+
 def op10_longest_match(spark, sf_dir):
     return longest_match.count_tokens(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_gated_toxicity, op2_fertility, op3_pairwise_quality, op4_bag_minhash, op5_token_blocks, op6_suffix_repeats, op7_license_templates, op8_bpe_automaton, op10_longest_match)}
+def pipeline(spark, sf_dir):
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+OPERATORS = (
+    op1_gated_toxicity, op2_fertility, op3_pairwise_quality, op4_bag_minhash, op5_token_blocks, op6_suffix_repeats, op7_license_templates, op8_bpe_automaton, op9_decontamination, op10_longest_match, pipeline,
+)
+QUERIES = {f.__name__: f for f in OPERATORS}
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {} if corpus_pipeline.ORACLE_SQL is None else {"pipeline": corpus_pipeline.ORACLE_SQL}
