@@ -18,7 +18,7 @@ from tickloom.session import shared_folder
 PIECE_ROWS, PIECE_BYTES = 2000, 8 << 20
 
 #: Words that a worker remembers before it starts anew.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 600_000
 
 
 def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:

@@ -26,35 +26,36 @@ class TextEncoder:
 
     def __init__(self, encode_pieces: Callable[[list[str]], list[bytes]], special: dict[str, bytes], most: int = CACHE_WORDS):
         self.encode_pieces, self.special, self.most = encode_pieces, special, most
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}  # pieces, after a space
+        self.heads: dict[str, bytes] = {}  # first pieces of texts
         self.marks = dict(zip(MARKS, encode_pieces(list(MARKS)), strict=True))
         self.at_special = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
 
-    def learn(self, pieces: set[str]) -> None:
-        """Encode the pieces not known yet in one go; the memory is emptied first if it holds too many."""
-        if len(self.known) > self.most:
-            self.known.clear()
-        new = [p for p in pieces.difference(self.known) if p and not p[0].isspace()]
-        ended = {p for p in new if p[-1] in self.marks and p[-2:-1].isalpha()}  # the pattern always cuts after a letter that a mark follows
-        whole = list({p for p in new if p not in ended} | {p[:-1] for p in ended}.difference(self.known))
+    def learn(self, pieces: set[str]) -> set[str]:
+        """Encode the pieces not known yet in one go; returns those that are empty or start with a space, which are no pieces."""
+        new = pieces.difference(self.known)
+        odd = {p for p in new if not p or p[0].isspace()}
+        ended = {p for p in new if p[-1:] in self.marks and p[-2:-1].isalpha()}  # the pattern always cuts after a letter that a mark follows
+        whole = list((new - odd - ended).union({p[:-1] for p in ended}.difference(self.known)))
         self.known.update(zip(whole, self.encode_pieces([" " + p for p in whole]), strict=True))
         self.known.update({p: self.known[p[:-1]] + self.marks[p[-1]] for p in ended})
-
-    def _cut(self, text: str) -> list[str]:
-        """The first piece, then each piece after a space that stands before a non-space."""
-        parts = text.split(" ")
-        if all(parts[1:]) and not any(p[0].isspace() for p in set(parts[1:])):
-            return parts
-        return _CUT.split(text)
+        return odd
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """The ids of each text."""
-        cut: list[list[bytes | list[str]]] = []
-        for text in texts:
-            parts = self.at_special.split(text) if self.at_special and self.at_special.search(text) else [text]
-            cut.append([self.special.get(p) or self._cut(p) for p in parts if p])
-        plain = [p for parts in cut for p in parts if isinstance(p, list)]
-        self.learn({piece for p in plain for piece in p[1:]})
-        first = dict(zip(heads := list({p[0] for p in plain if p[0]}), self.encode_pieces(heads), strict=True)) | {"": b""}
-        at = self.known.__getitem__
-        return [b"".join(p if isinstance(p, bytes) else first[p[0]] + b"".join(map(at, p[1:])) for p in parts) for parts in cut]
+        if len(self.known) + len(self.heads) > self.most:
+            self.known.clear()
+            self.heads.clear()
+        cut = [[p for p in self.at_special.split(t) if p] if self.at_special and self.at_special.search(t) else [t] for t in texts]
+        plain = [p for parts in cut for p in parts if p not in self.special]
+        pieces = [p.split(" ") for p in plain]
+        heads = [p.pop(0) for p in pieces]
+        if odd := self.learn(set().union(*pieces)):
+            for i, p in enumerate(pieces):
+                if not odd.isdisjoint(p):
+                    heads[i], *pieces[i] = _CUT.split(plain[i])
+                    self.learn(set(pieces[i]))
+        new = list({h for h in heads if h and h not in self.heads})
+        self.heads.update(zip(new, self.encode_pieces(new), strict=True), **{"": b""})
+        at, done = self.known.__getitem__, iter(zip(heads, pieces, strict=True))
+        return [b"".join(self.special[p] if p in self.special else self.heads[(h := next(done))[0]] + b"".join(map(at, h[1])) for p in parts) for parts in cut]
