@@ -419,6 +419,20 @@ smoothing(
 )
 
 
+def ewm_on_ticks(spark: SparkSession, d: str) -> DataFrame:
+    """Every event by time, so a minute holds any number of rows."""
+    ticks = table(spark, d, "events").select(F.col("event_type").alias("symbol"), "ts", F.col("value").alias("prediction"))
+    return rounded(blend.smooth_ewm(ticks, 9)).select("symbol", "ts", "smoothed")
+
+
+QUERIES["ewm_on_ticks"] = ewm_on_ticks
+SQL["ewm_on_ticks"] = (
+    with_("t AS (SELECT event_type AS symbol, ts, value AS x FROM events)", *recur("e", "t", [("s", "x", 0.2, 1, 1)]), recursive=True)
+    + pick({"smoothed": "e.s"}, keys="e.symbol, e.ts")
+    + " FROM e"
+)
+
+
 # --- strategy ----------------------------------------------------------------------------------
 def paced(spark: SparkSession, d: str) -> DataFrame:
     """Twenty-bar mean price and its percent change as the prediction."""

@@ -98,3 +98,21 @@ def test_analysis_run(spark, planted, tmp_path):
     tables = analysis.run(planted, COLS, "y", str(tmp_path), threshold=0.5)
     assert [r["feature"] for r in tables["selected"].orderBy("rank").collect()][:2] == ["a", "b"]
     assert spark.read.parquet(str(tmp_path / "profile")).count() == 3
+
+
+def test_predict_keeps_all_rows(spark):
+    from tickloom.plans.models import fit, predict
+
+    rows = [(float(i), float(i * 2), float(3 * i)) for i in range(50)]
+    df = spark.createDataFrame(rows + [(None, 1.0, 1.0), (float("nan"), 2.0, 2.0)], "a double, b double, y double")
+    for kind in ("linear", "forest"):
+        got = predict(fit(df, ["a", "b"], "y", kind), df).collect()
+        assert len(got) == 52 and sum(r.prediction is None for r in got) == 2
+
+
+def test_nearest_far_from_zero_and_with_ties(spark):
+    from tickloom.plans.models import nearest
+
+    train = spark.createDataFrame([(i, 1e8 + v, 0.0, float(i)) for i, v in enumerate([0.0, 0.5, 1.0, 0.5, 0.5])], "id int, x double, z double, y double")
+    got = nearest(train, train.filter("id = 0"), ["x", "z"], "y", "id", 3).first().neighbours
+    assert [(n.near, n.dist) for n in got] == [(0, 0.0), (1, 0.5), (3, 0.5)]

@@ -133,3 +133,20 @@ def test_scan_over_many_blocks_and_groups(spark):
 def test_scan_rejects_a_factor_without_memory(two_series):
     with pytest.raises(ValueError):
         scan(two_series[0], [Scan("x", F.col("close"), 1.0)])
+
+
+@pytest.mark.parametrize("alpha", [0.5, 0.97, 0.9999])
+def test_scan_on_dense_rows(spark, alpha):
+    """Many more rows than a bucket has slots, and factors that overflow within 256 rows."""
+    x = walk(3000, 3)
+    out = scan(to_bars(spark, bar_frame(x, freq="10s")), [Scan("e", F.col("close"), alpha), wilder("w", F.col("close"), 20)], keys=["symbol"])
+    got = ordered(out, "e", "w").astype(float)
+    np.testing.assert_allclose(got["e"], pd.Series(x).ewm(alpha=alpha, adjust=False).mean(), rtol=1e-9)
+    np.testing.assert_allclose(got["w"], np.array(wilder_loop(x, 20), float), rtol=1e-9)
+
+
+def test_scan_with_equal_times(spark):
+    frame = bar_frame(np.full(600, 7.0))
+    frame["ts"] = frame["ts"].iloc[0]
+    got = scan(to_bars(spark, frame), [Scan("e", F.col("close"), 0.3)], keys=["symbol"]).select("e").distinct().collect()
+    assert {round(r.e, 9) for r in got} == {7.0}

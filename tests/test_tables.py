@@ -216,3 +216,31 @@ def test_tied_ticks_use_the_tie_columns(spark):
     ticks = spark.createDataFrame([("A", t, 1.0, 1.0, 1), ("A", t, 2.0, 1.0, 2), ("A", t, 3.0, 1.0, 0)], "symbol string, ts timestamp_ntz, price double, size double, id int")
     bar = ticks_to_bars(ticks, "1h", ["id"]).first()
     assert (bar["open"], bar["close"]) == (3.0, 2.0)
+
+
+def test_a_long_chain_is_one_group(spark):
+    from tickloom.operators.select import correlated_groups
+
+    links = [(f"f{i:03d}", f"f{i + 1:03d}", 0.9) for i in range(100)] + [("x", "y", -0.8), ("x", "z", 0.1)]
+    got = {r.feature: r.group for r in correlated_groups(spark.createDataFrame(links, "a string, b string, r double")).collect()}
+    assert got == {f"f{i:03d}": "f000" for i in range(101)} | {"x": "x", "y": "x"}
+
+
+def test_wide_correlations(spark):
+    import numpy as np
+    import pandas as pd
+
+    from tickloom.operators.select import correlations
+
+    rng = np.random.default_rng(0)
+    data = pd.DataFrame(rng.normal(size=(400, 60)) @ rng.normal(size=(60, 60)) + 1e6, columns=[f"c{i}" for i in range(60)])
+    data["c5"] = 0.1
+    data = data.mask(rng.random(data.shape) < 0.1)
+    df = spark.createDataFrame([tuple(None if np.isnan(v) else float(v) for v in r) for r in data.to_numpy()], ", ".join(f"{c} double" for c in data.columns)).repartition(5)
+    got = {(r.a, r.b): r.r for r in correlations(df, list(data.columns)).collect()}
+    want = data.corr()
+    assert len(got) == 60 * 59 // 2 and all(got[k] is None for k in got if "c5" in k)
+    assert all(abs(v - want.loc[k]) < 1e-9 for k, v in got.items() if v is not None)
+    full, some = data.drop(columns="c5").round(0).dropna(subset=["c0", "c1", "c2", "c3"]), ["c0", "c1", "c2", "c3"]
+    ranks = {(r.a, r.b): r.r for r in correlations(df.select([F.round(c, 0).alias(c) for c in some]), some, "spearman").collect()}
+    assert all(abs(v - full[list(k)].corr("spearman").iloc[0, 1]) < 1e-9 for k, v in ranks.items()) and len(ranks) == 6

@@ -1,9 +1,10 @@
 """Exponential recurrences of any length: y[t] = (1-alpha) * y[t-1] + alpha * x[t].
 
-The recurrence is affine, so it composes. Within a block of at most 256 grid slots it has the closed
-form ``a^k * sum(alpha * x[i] * a^-k[i])``; a block is then summarised by the number of values it
-holds and its closing value. Summaries are composed block -> group of 256 blocks -> series, on tables
-256 and 65536 times smaller than the data, and each block's carry joins back to its rows:
+The recurrence is affine, so it composes. Within a block of rows it has the closed form
+``a^k * sum(alpha * x[i] * a^-k[i])``; a block is then summarised by the number of values it
+holds and its closing value. Blocks are cut by row number inside a bucket of time, however many rows
+a bucket holds, at 256 rows or fewer where a^-rows would come near the largest number. Summaries are composed
+block -> group of 256 buckets -> series, on ever smaller tables, and each block's carry joins back to its rows:
 
     y = local + a^k * carry
 
@@ -12,6 +13,7 @@ Everything is built-in Spark expressions; no series is ever held by one task.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -23,6 +25,9 @@ from tickloom.operators.series import time_bucket
 
 BLOCK_ROWS = 256
 
+#: Largest exponent of e that a^-rows may reach, well below the 709 at which doubles end.
+LARGEST_EXPONENT = 600.0
+
 
 @dataclass(frozen=True)
 class Scan:
@@ -81,10 +86,16 @@ def _seed(scans: Sequence[Scan]) -> str:
     return f"coalesce(CASE sid {' '.join(cases)} END, 0D)"
 
 
+def block_rows(scans: Sequence[Scan]) -> int:
+    """Rows of a block for which the closed form of all scans stays finite."""
+    return max(1, min(BLOCK_ROWS, *(int(LARGEST_EXPONENT / -math.log(1.0 - s.alpha)) for s in scans)))
+
+
 def scan(df: DataFrame, scans: Sequence[Scan], keys: Sequence[str] = KEYS, order: str = TS, block: Column | None = None) -> DataFrame:
     """Add one column per recurrence, all in one pass over the rows.
 
-    ``block`` numbers blocks of at most 256 rows, rising with ``order``.
+    ``block`` numbers buckets of rows, rising with ``order``; the default is time. Rows of one series with
+    equal ``order`` are taken in any order, one after the other.
     """
     for s in scans:
         if not 0.0 < s.alpha < 1.0:
@@ -92,11 +103,13 @@ def scan(df: DataFrame, scans: Sequence[Scan], keys: Sequence[str] = KEYS, order
     keys = list(keys)
     ids = range(len(scans))
     a = [f"{1.0 - s.alpha!r}D" for s in scans]
-    over = f"OVER (PARTITION BY {', '.join([*keys, '_block'])} ORDER BY {order} ROWS UNBOUNDED PRECEDING)"
+    over = f"OVER (PARTITION BY {', '.join([*keys, '_block', '_sub'])} ORDER BY _rn ROWS UNBOUNDED PRECEDING)"
 
     rows = df.withColumns(
         {"_block": time_bucket(df, order, BLOCK_ROWS) if block is None else block, **{f"_x{i}": scans[i].value.cast("double") for i in ids}}
     )
+    rows = rows.selectExpr("*", f"row_number() OVER (PARTITION BY {', '.join([*keys, '_block'])} ORDER BY {order}) AS _rn")
+    rows = rows.selectExpr("*", f"(_rn - 1) div {block_rows(scans)} AS _sub")
     rows = rows.selectExpr("*", *[f"count(_x{i}) {over} AS _k{i}" for i in ids])
     rows = rows.selectExpr(
         "*", *[f"coalesce(sum(_x{i} * pow({a[i]}, -_k{i})) {over} * pow({a[i]}, _k{i}) * {scans[i].alpha!r}D, 0D) AS _z{i}" for i in ids]
@@ -108,14 +121,14 @@ def scan(df: DataFrame, scans: Sequence[Scan], keys: Sequence[str] = KEYS, order
         if scans[i].seed == "mean":
             head = f"transform(array_sort(collect_list(CASE WHEN _x{i} IS NOT NULL AND _k{i} <= {scans[i].warmup} THEN struct(_k{i} AS k, _x{i} AS x) END)), e -> e.x)"
         return (
-            f"struct({i} AS sid, {a[i]} AS a, {scans[i].warmup} AS w, max(_k{i}) AS n, max_by(_z{i}, {order}) AS b, "
-            f"min_by(_x{i}, CASE WHEN _x{i} IS NOT NULL THEN {order} END) AS f, {head} AS h)"
+            f"struct({i} AS sid, {a[i]} AS a, {scans[i].warmup} AS w, max(_k{i}) AS n, max_by(_z{i}, _rn) AS b, "
+            f"min_by(_x{i}, CASE WHEN _x{i} IS NOT NULL THEN _rn END) AS f, {head} AS h)"
         )
 
-    blocks = rows.groupBy(*keys, "_block").agg(F.expr(f"array({', '.join(summary(i) for i in ids)}) AS s")).selectExpr(*keys, "_block", "inline(s)")
+    blocks = rows.groupBy(*keys, "_block", "_sub").agg(F.expr(f"array({', '.join(summary(i) for i in ids)}) AS s")).selectExpr(*keys, "_block", "_sub", "inline(s)")
     groups = (
         blocks.groupBy(*keys, "sid", "a", "w", F.expr(f"_block div {BLOCK_ROWS} AS _group"))
-        .agg(F.expr("array_sort(collect_list(struct(_block AS i, n, b, f, h))) AS bs"))
+        .agg(F.expr("array_sort(collect_list(struct(_block AS i, _sub AS j, n, b, f, h))) AS bs"))
         .selectExpr("*", f"struct(_group AS i, aggregate(bs, 0L, (acc, s) -> acc + s.n) AS n, element_at({_fold('bs', '0D')}, -1) AS b, {_first('bs')} AS f, {_heads('bs')} AS h) AS t")
     )
     series = (
@@ -129,10 +142,10 @@ def scan(df: DataFrame, scans: Sequence[Scan], keys: Sequence[str] = KEYS, order
     carries = (
         groups.select(*keys, "_group", "sid", "a", "bs")
         .join(series, [*keys, "_group", "sid"])
-        .selectExpr(*keys, "sid", "n0", "transform(bs, s -> s.i) AS _block", f"{_counts('bs')} AS n", f"{_fold('bs', 'c0')} AS c")
-        .selectExpr(*keys, "sid", "n0", "inline(arrays_zip(_block, n, c))")
+        .selectExpr(*keys, "sid", "n0", "transform(bs, s -> s.i) AS _block", "transform(bs, s -> s.j) AS _sub", f"{_counts('bs')} AS n", f"{_fold('bs', 'c0')} AS c")
+        .selectExpr(*keys, "sid", "n0", "inline(arrays_zip(_block, _sub, n, c))")
         .filter("_block IS NOT NULL")
-        .groupBy(*keys, "_block")
+        .groupBy(*keys, "_block", "_sub")
         .agg(F.expr("map_from_entries(collect_list(struct(sid, struct(n0 + n AS n, c)))) AS _carry"))
     )
     results = []
@@ -142,5 +155,5 @@ def scan(df: DataFrame, scans: Sequence[Scan], keys: Sequence[str] = KEYS, order
         if s.adjusted:
             value = f"{value} / (1D - pow({a[i]}, {seen}))"
         results.append(f"CASE WHEN {seen} >= {max(s.warmup, 1)} THEN {value} END AS {s.name}")
-    joined = rows.join(carries, [*keys, "_block"])
+    joined = rows.join(carries, [*keys, "_block", "_sub"])
     return joined.selectExpr(*[f"`{c}`" for c in df.columns], *results)

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,13 +24,53 @@ def _pearson(a: str, b: str) -> Column:
     return F.try_divide(F.covar_samp(x, y), F.stddev_samp(x) * F.stddev_samp(y))
 
 
+def _pair_sums(rows: DataFrame, p: int) -> DataFrame:
+    """(i, j, n, sx, sy, sxx, syy, sxy) for i before j, from an array column ``v`` of p centred values with NULL for missing.
+
+    Each task adds up the products of its rows as p x p matrices; the sums of tasks add up by pair.
+    """
+    names = ("i", "j", "n", "sx", "sy", "sxx", "syy", "sxy")
+    i, j = np.triu_indices(p, 1)
+
+    def run(batches):
+        total = np.zeros((4, p, p))
+        for batch in batches:
+            values = batch.column(0)
+            flat = values.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, p)
+            have = ~np.isnan(flat)
+            x, m = np.where(have, flat, 0.0), have.astype(float)
+            total += m.T @ m, x.T @ m, (x * x).T @ m, x.T @ x
+        n, s, q, c = total
+        columns = [i, j, n[i, j], s[i, j], s[j, i], q[i, j], q[j, i], c[i, j]]
+        yield pa.RecordBatch.from_arrays([pa.array(v, pa.int32() if k < 2 else pa.float64()) for k, v in enumerate(columns)], names=list(names))
+
+    parts = rows.mapInArrow(run, "i int, j int, n double, sx double, sy double, sxx double, syy double, sxy double")
+    return parts.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in names[2:]])
+
+
+def _correlated(rows: DataFrame, cols: Sequence[str], size: Sequence[float]) -> DataFrame:
+    """(a, b, r) from arrays of centred values. A spread that is rounding noise of a column of that ``size`` counts as none."""
+    sums, name = _pair_sums(rows, len(cols)), F.array(*[F.lit(c) for c in cols])
+    square = F.array(*[F.lit(float(s) ** 2) for s in size])
+
+    def spread(q: str, s: str, k: str) -> Column:
+        v = F.col(q) - F.col(s) * F.try_divide(F.col(s), F.col("n"))
+        return F.when(v > 1e-24 * (F.col(q) + F.col("n") * square[F.col(k)]), v)
+
+    together = F.col("sxy") - F.col("sx") * F.try_divide(F.col("sy"), F.col("n"))
+    r = together / (F.sqrt(spread("sxx", "sx", "i")) * F.sqrt(spread("syy", "sy", "j")))
+    return sums.select(name[F.col("i")].alias("a"), name[F.col("j")].alias("b"), F.when(F.col("n") > 1, r).alias("r"))
+
+
 def correlations(df: DataFrame, cols: Sequence[str], method: str = "pearson") -> DataFrame:
-    """(a, b, r) for every pair a before b. Pearson skips rows where either side is missing."""
+    """(a, b, r) for every pair a before b. Pearson skips rows where either side is missing (NULL or NaN)."""
+    cols = list(cols)
     if method == "pearson":
-        pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1 :]]
-        wide = df.agg(*[_pearson(a, b).alias(f"r{k}") for k, (a, b) in enumerate(pairs)])
-        rows = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"r{k}").alias("r")) for k, (a, b) in enumerate(pairs)]
-        return wide.select(F.explode(F.array(*rows)).alias("e")).select("e.*")
+        if len(cols) < 2:
+            return df.sparkSession.createDataFrame([], "a string, b string, r double")
+        value = {c: F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")) for c in cols}
+        centre = [m or 0.0 for m in df.agg(*[F.avg(value[c]) for c in cols]).first()]
+        return _correlated(df.select(F.array(*[value[c] - m for c, m in zip(cols, centre, strict=True)]).alias("v")), cols, centre)
     if method == "spearman":
         return rank_correlations(df, cols)
     if method == "kendall":
@@ -43,30 +85,20 @@ def correlations(df: DataFrame, cols: Sequence[str], method: str = "pearson") ->
 
 def rank_correlations(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Spearman: Pearson of average ranks. Ranks are looked up by value after equal values combined."""
-    rows = cut_lineage(df.dropna(subset=list(cols)).select(*cols))
-    ranked = rows.groupBy(*cols).agg(F.count(F.lit(1)).alias("_w"))
+    cols = list(cols)
+    rows = cut_lineage(df.dropna(subset=cols).select(*[F.col(c).cast("double").alias(c) for c in cols]).withColumn("_id", F.monotonically_increasing_id()))
+    if len(cols) < 2:
+        return df.sparkSession.createDataFrame([], "a string, b string, r double")
     counts = value_counts(long_form(rows, cols), ["feature"], "value")
-    ranks = counts.select("feature", "value", (F.col("_cum") - (F.col("_cnt") - 1) / 2.0).alias("_rank"))
-    for c in cols:
-        side = ranks.filter(F.col("feature") == c).select(F.col("value").alias("_v"), F.col("_rank").alias(f"_r_{c}"))
-        ranked = ranked.join(side, F.col(c).cast("double") == F.col("_v")).drop("_v")
-    w = F.col("_w")
-    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1 :]]
-    # The mean of average ranks is (n + 1) / 2 whatever the ties, so centred sums need one pass.
-    total = rows.agg(F.count(F.lit(1)).alias("n")).select("n").scalar()
-    centred = ranked.withColumn("_n", total).withColumns({f"_d_{c}": F.col(f"_r_{c}") - (F.col("_n") + 1) / 2.0 for c in cols})
-    wide = centred.agg(
-        *[F.sum(w * F.col(f"_d_{a}") * F.col(f"_d_{b}")).alias(f"c{k}") for k, (a, b) in enumerate(pairs)],
-        *[F.sum(w * F.pow(F.col(f"_d_{c}"), 2)).alias(f"s_{c}") for c in cols],
-    )
-    cells = [
-        F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.try_divide(F.col(f"c{k}"), F.sqrt(F.col(f"s_{a}") * F.col(f"s_{b}"))).alias("r"))
-        for k, (a, b) in enumerate(pairs)
-    ]
-    return wide.select(F.explode(F.array(*cells)).alias("e")).select("e.*")
+    ranks = counts.select("feature", "value", (F.col("_cum") - (F.col("_cnt") - 1) / 2.0 - (F.col("_n") + 1) / 2.0).alias("_rank"))
+    places = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(c).alias("feature"), F.col(c).alias("value")) for k, c in enumerate(cols)])).alias("e")
+    ranked = rows.select("_id", places).select("_id", "e.*").join(ranks, ["feature", "value"])
+    # The mean of average ranks is (n + 1) / 2 whatever the ties, so they come centred.
+    wide = ranked.groupBy("_id").agg(F.array_sort(F.collect_list(F.struct("k", "_rank"))).alias("e"))
+    return _correlated(wide.select(F.transform("e", lambda x: x["_rank"]).alias("v")), cols, [0.0] * len(cols))
 
 
-def kendall(df: DataFrame, a: str, b: str, bits: int = 42) -> DataFrame:
+def kendall(df: DataFrame, a: str, b: str) -> DataFrame:
     """Exact tau-b of one pair without comparing rows pairwise.
 
     Two rows with different ranks of ``a`` first differ at exactly one bit, reading from the top.
@@ -83,7 +115,7 @@ def kendall(df: DataFrame, a: str, b: str, bits: int = 42) -> DataFrame:
     top = xs.agg(F.max("rx").alias("m")).select("m").scalar()
     used = F.greatest(F.ceil(F.log2(top + 1.0)), F.lit(1)).cast("int")
     levels = F.expr("sequence(0, _used - 1)")
-    spread = ranked.withColumn("_used", F.least(used, F.lit(bits))).withColumn("bit", F.explode(levels))
+    spread = ranked.withColumn("_used", used).withColumn("bit", F.explode(levels))
     split = spread.select("bit", F.expr("shiftright(rx, bit + 1)").alias("prefix"), F.expr("shiftright(rx, bit) & 1").alias("side"), "ry", "c")
     cells = split.groupBy("bit", "prefix", "ry").agg(F.sum(F.when(F.col("side") == 0, F.col("c")).otherwise(0)).alias("c0"), F.sum(F.when(F.col("side") == 1, F.col("c")).otherwise(0)).alias("c1"))
     above = running(cells, {"_above": ("sum", F.col("c0"))}, ["bit", "prefix"], "ry", bucket=F.expr("ry div 16384"), exclusive=True, descending=True)
@@ -105,26 +137,25 @@ def strong_pairs(corr: DataFrame, threshold: float = 0.7) -> DataFrame:
     return corr.filter(F.abs("r") > threshold).orderBy(F.abs("r").desc(), "a", "b")
 
 
-def correlated_groups(corr: DataFrame, threshold: float = 0.7, rounds: int = 32) -> DataFrame:
+def correlated_groups(corr: DataFrame, threshold: float = 0.7) -> DataFrame:
     """(feature, group): features linked by correlations above the threshold share a group label.
 
-    The smallest label spreads along links until nothing changes. The table has one row per
-    feature, so a round is a small join.
+    The smallest label spreads along links, and each label is replaced by its own label, until nothing changes;
+    the second step halves the length of chains. The table has one row per feature, so a round is a few small joins.
     """
     links = corr.filter(F.abs("r") > threshold).select("a", "b")
     both = cut_lineage(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = both.select(F.col("a").alias("feature")).distinct().withColumn("group", F.col("feature"))
-    for _ in range(rounds):
+    while True:
         near = both.join(labels.select(F.col("feature").alias("b"), F.col("group").alias("_g")), "b").groupBy(F.col("a").alias("feature")).agg(F.min("_g").alias("_g"))
-        step = labels.join(near, "feature").select("feature", F.least("group", "_g").alias("group"), (F.col("_g") < F.col("group")).alias("_moved"))
-        step = cut_lineage(step)
-        labels = step.drop("_moved")
+        step = cut_lineage(labels.join(near, "feature").select("feature", F.least("group", "_g").alias("group"), (F.col("_g") < F.col("group")).alias("_moved")))
         if step.filter("_moved").isEmpty():
-            break
-    return labels
+            return step.drop("_moved")
+        above = step.select(F.col("feature").alias("group"), F.col("group").alias("_g"))
+        labels = cut_lineage(step.join(above, "group").select("feature", F.col("_g").alias("group")))
 
 
-def greedy_uncorrelated(scores: DataFrame, corr: DataFrame, limit: int = 50, threshold: float = 0.7) -> list[str]:
+def greedy_uncorrelated(scores: DataFrame, corr: DataFrame, limit: int | None = None, threshold: float = 0.7) -> list[str]:
     """Best features first, skipping any correlated with one already taken.
 
     Both inputs have at most features**2 rows.

@@ -14,7 +14,7 @@ from tickloom.session import cut_lineage
 from tickloom.sources.files import write_result, write_table
 
 
-def analyse(df: DataFrame, cols: Sequence[str], label: str, threshold: float = 0.7, limit: int = 50) -> dict[str, DataFrame]:
+def analyse(df: DataFrame, cols: Sequence[str], label: str, threshold: float = 0.7, limit: int | None = None) -> dict[str, DataFrame]:
     """Tables of the analysis by name; ``selected`` lists the chosen columns in order."""
     rows = cut_lineage(df.select(*[k for k in (*KEYS, TS) if k in df.columns], *cols, label))
     corr = cut_lineage(correlations(rows, cols))

@@ -6,6 +6,7 @@ import itertools
 import json
 import random
 from collections.abc import Iterable, Sequence
+from functools import reduce
 from multiprocessing.pool import ThreadPool
 
 import numpy as np
@@ -52,11 +53,14 @@ def fit_with_early_stop(df: DataFrame, cols: Sequence[str], label: str, held_out
 
 
 def predict(model: PipelineModel, df: DataFrame, name: str = "prediction") -> DataFrame:
-    """Rows with ``prediction`` and, for classifiers that give it, the probability of class 1."""
-    out = model.transform(df)
-    keep = [F.col(c) for c in df.columns] + [F.col("prediction").alias(name)]
+    """All rows with ``prediction`` and, for classifiers that give it, the probability of class 1; both are NULL where an input is missing."""
+    assembler, out = model.stages[0].copy().setHandleInvalid("keep"), df
+    for stage in (assembler, *model.stages[1:]):
+        out = stage.transform(out)
+    whole = reduce(lambda a, b: a & b, [F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) for c in assembler.getInputCols()])
+    keep = [F.col(c) for c in df.columns] + [F.when(whole, F.col("prediction")).alias(name)]
     if "probability" in out.columns:
-        keep.append(vector_to_array("probability")[1].alias("probability"))
+        keep.append(F.when(whole, vector_to_array("probability")[1]).alias("probability"))
     return out.select(*keep)
 
 
@@ -157,15 +161,18 @@ def nearest(train: DataFrame, query: DataFrame, cols: Sequence[str], label: str,
     def match(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
             return pd.DataFrame({"_id": [], "dist": [], "near": [], "_label": []})
+        right = right.sort_values("_id")
         a, b = np.stack(left["_x"].to_numpy()), np.stack(right["_x"].to_numpy())
-        ids, labels = right["_id"].to_numpy(), right["_label"].to_numpy()
-        bb, take, out = (b * b).sum(1), min(k, len(b)), []
-        for s in range(0, len(a), 512):
-            part = a[s : s + 512]
-            d2 = np.maximum((part * part).sum(1)[:, None] + bb[None, :] - 2.0 * part @ b.T, 0.0)
-            best = np.argpartition(d2, take - 1, axis=1)[:, :take]
-            rows = np.arange(len(part))[:, None]
-            out.append(pd.DataFrame({"_id": np.repeat(left["_id"].to_numpy()[s : s + 512], take), "dist": np.sqrt(d2[rows, best]).ravel(), "near": ids[best].ravel(), "_label": labels[best].ravel()}))
+        ids, labels, take, out = right["_id"].to_numpy(), right["_label"].to_numpy(), min(k, len(b)), []
+        a, b = a - b.mean(0), b - b.mean(0)
+        aa, bb = (a * a).sum(1), (b * b).sum(1)
+        for s in range(len(a)):
+            about = aa[s] + bb - 2.0 * (b @ a[s])  # only tells which rows are worth an exact distance
+            slack = 1e-12 * (aa[s] + bb.max())
+            close = np.flatnonzero(about <= np.partition(about, take - 1)[take - 1] + 2 * slack)
+            exact = np.sqrt(((b[close] - a[s]) ** 2).sum(1))
+            best = np.argsort(exact, kind="stable")[:take]  # rows are in order of id, which decides ties
+            out.append(pd.DataFrame({"_id": [left["_id"].iloc[s]] * take, "dist": exact[best], "near": ids[close][best], "_label": labels[close][best]}))
         return pd.concat(out)
 
     kind = train.schema[key].dataType.simpleString()

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tickloom.config import TS
 from tickloom.operators.metrics import regression
 from tickloom.operators.series import positions
-from tickloom.plans.models import cross_validate, fit, importance, predict
+from tickloom.plans.models import cross_validate, fit, fold_numbers, importance, predict
 from tickloom.session import cut_lineage
 
 KEY = ("symbol", TS)
@@ -74,15 +74,27 @@ def subset_curve(folded: DataFrame, order: Sequence[str], label: str, sizes: Seq
 
 
 def elimination_with_folds(folded: DataFrame, cols: Sequence[str], label: str, kind: str = "forest", metric: str = "rmse", **params) -> tuple[list[str], DataFrame]:
-    """Columns of the best-scoring elimination step, and the whole curve."""
-    every = folded.select(*cols, label).distinct()
-    ranks = {r["feature"]: r["rank"] for r in recursive_elimination(every, cols, label, 1, kind, **params).collect()}
-    order = sorted(cols, key=lambda c: (ranks[c], c))
-    curve = subset_curve(folded, order, label, range(1, len(cols) + 1), kind, **params)
+    """Columns of the best number of features, and the whole curve.
+
+    Each fold eliminates on its own training rows, so its test rows have no part in the order they judge. The number
+    with the best mean is then taken from an elimination over all rows of the last fold.
+    """
+    folded, curve = cut_lineage(folded), None
+
+    def order_on(rows: DataFrame) -> list[str]:
+        ranks = {r["feature"]: r["rank"] for r in recursive_elimination(rows, cols, label, 1, kind, **params).collect()}
+        return sorted(cols, key=lambda c: (ranks[c], c))
+
+    numbers = fold_numbers(folded)
+    for fold in numbers:
+        own = folded.filter(F.col("fold") == fold)
+        part = subset_curve(own, order_on(own.filter("role = 'train'")), label, range(1, len(cols) + 1), kind, **params)
+        curve = part if curve is None else curve.unionByName(part)
+    curve = cut_lineage(curve.groupBy("features", "metric").agg(F.avg("mean").alias("_m"), F.stddev_pop("mean").alias("std")).withColumnRenamed("_m", "mean").select("features", "metric", "mean", "std"))
     points = curve.filter(F.col("metric") == metric)
     ascending = metric not in ("r2", "direction_accuracy")
     best = points.orderBy(F.col("mean").asc() if ascending else F.col("mean").desc(), "features").first()["features"]
-    return order[:best], curve
+    return order_on(folded.filter(F.col("fold") == numbers[-1]))[:best], curve
 
 
 def retrain_selected(train: DataFrame, test: DataFrame, cols: Sequence[str], label: str, kind: str = "gbt", **params) -> tuple[PipelineModel, DataFrame]:

@@ -24,11 +24,11 @@ def local_session(cpus: str = "*", app: str = "tickloom", shuffle_partitions: in
     )
 
 
-def shared_folder(spark: SparkSession) -> str | None:
-    """The checkpoint folder every executor reaches, or None.
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder every executor reaches.
 
     It is the one the cluster names in ``spark.checkpoint.dir``. A folder is made here only for a
-    local master that names none.
+    local master that names none; any other master must name one.
     """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
@@ -36,14 +36,12 @@ def shared_folder(spark: SparkSession) -> str | None:
         if named is None and context.master.startswith("local"):
             named = tempfile.mkdtemp(prefix="tickloom-checkpoint-")
         if named is None:
-            return None
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors reach")
         context.setCheckpointDir(named)
     return context.getCheckpointDir()
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the shared folder so that later branches do not recompute it.
-
-    Without a shared folder the full lineage is kept.
-    """
-    return df.checkpoint(eager=True) if shared_folder(df.sparkSession) else df
+    """Write ``df`` once to the shared folder so that later branches do not recompute it."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
