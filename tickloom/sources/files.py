@@ -47,10 +47,13 @@ def epoch_ms(ms: str) -> Column:
 
 
 def read_bars_csv(spark: SparkSession, path: str | Sequence[str], header_time: str = "timestamp") -> DataFrame:
-    """Bar CSV files with a header; symbol and timeframe come from the file names."""
-    schema = T.StructType([T.StructField(header_time, T.TimestampNTZType()), *BARS.fields[1:]])
-    df = spark.read.schema(schema).option("header", True).csv(path)
-    return df.select(file_part(1).alias("symbol"), file_part(2).alias("timeframe"), F.col(header_time).alias(TS), "open", "high", "low", "close", "volume")
+    """Bar CSV files; symbol and timeframe come from the file names.
+
+    Columns are found by the header, in any order and among any others; the files of one call share their header.
+    """
+    df = spark.read.option("header", True).csv(path)
+    values = [F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in BARS.fields[1:]]
+    return df.select(file_part(1).alias("symbol"), file_part(2).alias("timeframe"), F.col(f"`{header_time}`").cast("timestamp_ntz").alias(TS), *values)
 
 
 def read_klines(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
@@ -86,6 +89,28 @@ def read_table(spark: SparkSession, path: str, symbols: Sequence[str] | None = N
     return df
 
 
+def read_csv_table(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
+    """A table that ``write_csv`` wrote: columns by the header, symbol and timeframe from the folders."""
+    wanted = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    df = spark.read.option("header", True).csv(path)
+    return df.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in wanted.fields])
+
+
+def read_parquet_or_csv(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
+    """The Parquet files under ``path``, or its CSV files if there are none."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(place, True)
+    while files.hasNext():
+        if files.next().getPath().getName().endswith(".parquet"):
+            return spark.read.parquet(path)
+    return read_csv_table(spark, path, schema)
+
+
+def pair_name(symbol: Column) -> Column:
+    """BTC/USDT from BTCUSDT; other symbols stay."""
+    return F.regexp_replace(symbol, "^(.*)USDT$", "$1/USDT")
+
+
 def read_with_fallback(spark: SparkSession, preferred: DataFrame, fallback: DataFrame) -> DataFrame:
     """All series of ``preferred`` plus those only ``fallback`` has, e.g. processed before raw."""
     have = preferred.select(*KEYS).distinct()
@@ -98,9 +123,12 @@ def discover(df: DataFrame) -> DataFrame:
 
 
 def write_table(df: DataFrame, path: str, mode: str = "overwrite", compression: str = "zstd", rows_per_file: int = 5_000_000) -> None:
-    """Parquet by symbol and timeframe, split by time so a large series fills several tasks."""
+    """Parquet by symbol and timeframe, split by time so a large series fills several tasks.
+
+    ``overwrite`` replaces the series that ``df`` has and leaves the others in the table.
+    """
     spread = df.withColumn("_month", F.trunc(TS, "month")).repartition(*KEYS, "_month").sortWithinPartitions(*KEYS, TS).drop("_month")
-    spread.write.mode(mode).option("compression", compression).option("maxRecordsPerFile", rows_per_file).partitionBy(*KEYS).parquet(path)
+    spread.write.mode(mode).option("compression", compression).option("maxRecordsPerFile", rows_per_file).option("partitionOverwriteMode", "dynamic").partitionBy(*KEYS).parquet(path)
 
 
 def write_features(df: DataFrame, path: str, mode: str = "overwrite") -> None:
