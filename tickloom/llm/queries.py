@@ -1,4 +1,7 @@
-"""Registered queries of the document operators and the SQL they are checked against."""
+"""Registered queries of the document operators and the SQL they are checked against.
+
+The others have no SQL form (trained scores, public tokenizers, alignments, automata) and are tested against brute force.
+"""
 
 from __future__ import annotations
 
@@ -56,4 +59,37 @@ OPERATORS = (
 )
 QUERIES = {f.__name__: f for f in OPERATORS}
 
-SQL: dict[str, str] = {} if corpus_pipeline.ORACLE_SQL is None else {"pipeline": corpus_pipeline.ORACLE_SQL}
+# Exact similarity of all pairs that share a shingle, then the closure of the links.
+NEAR = r"""WITH RECURSIVE d AS (SELECT DISTINCT coalesce(text, '') AS text FROM documents),
+w AS (SELECT row_number() OVER () AS node, text, [x FOR x IN string_split_regex(text, '\s+') IF x <> ''] AS ws FROM d),
+s AS (SELECT node, unnest([array_to_string(ws[i : i + 4], ' ') FOR i IN range(1, greatest(len(ws) - 4, 1) + 1)]) AS shingle FROM w WHERE len(ws) > 0),
+c AS (SELECT node, shingle, count(*) AS n FROM s GROUP BY 1, 2),
+t AS (SELECT node, sum(n) AS total FROM c GROUP BY 1),
+p AS (SELECT a.node AS x, b.node AS y, sum(least(a.n, b.n)) AS common FROM c a JOIN c b ON a.shingle = b.shingle AND a.node < b.node GROUP BY 1, 2),
+e AS MATERIALIZED (SELECT x, y FROM p JOIN t a ON a.node = x JOIN t b ON b.node = y WHERE 5 * common >= 4 * (a.total + b.total - common)),
+l AS MATERIALIZED (SELECT x, y FROM e UNION ALL SELECT y, x FROM e),
+r AS (SELECT node, node AS other FROM w UNION SELECT r.node, l.y FROM r JOIN l ON l.x = r.other),
+g AS (SELECT node, min(other) AS class FROM r GROUP BY 1),
+m AS (SELECT doc_id, class FROM documents JOIN w ON w.text = coalesce(documents.text, '') JOIN g USING (node)),
+k AS (SELECT class, min(doc_id) AS class_id, count(*) AS class_size FROM m GROUP BY 1)
+SELECT doc_id, class_id, class_size, doc_id = class_id AS kept FROM m JOIN k USING (class)"""
+
+# All strings of 200 bytes, as hexadecimal; runs of covered bytes by gaps between starts.
+REPEATS = """WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+b AS (SELECT doc_id, h, length(h) // 2 AS n FROM d),
+c AS (SELECT doc_id, n, unnest(range(0, n - 199, 500)) AS part, h FROM b WHERE n >= 200),
+z AS MATERIALIZED (SELECT doc_id, n, part, substr(h, 2 * part + 1, 1400) AS piece FROM c),
+s AS (SELECT doc_id, part, piece, unnest(range(0, least(500, n - 199 - part))) AS j FROM z),
+u AS (SELECT doc_id, part + j AS i, md5(substr(piece, 2 * j + 1, 400)) AS m FROM s),
+t AS (SELECT m FROM u GROUP BY 1 HAVING count(*) > 1),
+v AS (SELECT doc_id, i FROM u SEMI JOIN t USING (m)),
+o AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 200 THEN 0 ELSE 1 END AS fresh FROM v),
+q AS (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM o),
+r AS (SELECT doc_id, run, min(i) AS first, max(i) + 200 AS stop FROM q GROUP BY 1, 2),
+k AS (SELECT doc_id, first, stop, coalesce(lag(stop) OVER (PARTITION BY doc_id ORDER BY first), 0) AS before FROM r),
+j AS (SELECT doc_id, sum(stop - first) AS gone, count(*) AS spans, max(stop) AS last, string_agg(substr(h, 2 * before + 1, 2 * (first - before)), '' ORDER BY first) AS head FROM k JOIN b USING (doc_id) GROUP BY 1)
+SELECT doc_id, n AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans,
+       sha256(unhex(coalesce(head, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM b LEFT JOIN j USING (doc_id)"""
+
+SQL: dict[str, str] = {"op4_bag_minhash": NEAR, "op6_suffix_repeats": REPEATS}
