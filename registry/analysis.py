@@ -222,7 +222,15 @@ def walk_forward_folds(spark, d):
     return split.walk_forward(bars(spark, d)).select("symbol", "ts", "fold", "role")
 
 
-@query()
+MD5 = "CAST('0x' || substr(md5(concat_ws('|', symbol, CAST(ts AS VARCHAR), '42')), 1, 8) AS BIGINT)"
+
+
+@query(with_(*HOURLY) + f"SELECT symbol, ts, CAST({MD5} % 1000000 < 200000 AS BOOLEAN) AS test FROM bars_1h")
+def hashed_split(spark, d):
+    return split.hashed_split(bars(spark, d)).select("symbol", "ts", (F.col("split") == "test").alias("test"))
+
+
+@query(with_(*HOURLY) + f"SELECT symbol, ts, CAST({MD5} % 5 AS INTEGER) AS fold FROM bars_1h")
 def hashed_folds(spark, d):
     return split.hashed_folds(bars(spark, d)).select("symbol", "ts", "fold")
 

@@ -191,6 +191,95 @@ def walk_forward(spark, d):
     return models.cross_validate(split.walk_forward(matrix(spark, d), steps=3), X, "y", "ridge", regParam=0.1)
 
 
+# One column has closed forms: the fit of each fold is its slope and intercept on the training rows.
+RANKED = "po AS (SELECT *, row_number() OVER (ORDER BY ts, symbol) - 1 AS i, count(*) OVER () AS n FROM m)"
+
+
+def fold_metrics(roles: str, model: str) -> str:
+    """SQL for the metrics by fold; ``roles`` defines fo with k, role, hl and y."""
+    metrics = {"rmse": "sqrt(avg(pow(y - p, 2)))", "mae": "avg(abs(y - p))", "r2": "1 - avg(pow(y - p, 2)) / var_pop(y)", "direction_accuracy": "avg(CASE WHEN sign(y) = sign(p) THEN 1.0 ELSE 0.0 END)"}
+    ctes = (*MATRIX, RANKED, roles, "fi AS (SELECT k, regr_slope(y, hl) AS s, regr_intercept(y, hl) AS b FROM fo WHERE role = 'train' GROUP BY k)", "te AS (SELECT fo.k, y, b + s * hl AS p FROM fo JOIN fi ON fi.k = fo.k WHERE role = 'test')")
+    return with_(*ctes) + " UNION ALL ".join(f"SELECT '{model}' AS model, CAST(k AS INTEGER) AS fold, '{m}' AS metric, {rnd(e)} AS value FROM te GROUP BY k" for m, e in metrics.items())
+
+
+TIME_ROLES = """fo AS (SELECT * FROM (SELECT *, CASE WHEN i >= start AND i < start + size THEN 'test' WHEN i < start - 5 THEN 'train' END AS role
+  FROM (SELECT *, n // 4 AS size, n - (n // 4) * (3 - k) AS start FROM po, (SELECT unnest(range(0, 3)) AS k))) WHERE role IS NOT NULL)"""
+WALK_ROLES = """fo AS (SELECT * FROM (SELECT *, CASE WHEN i < start THEN 'train' WHEN i < start + size THEN 'test' END AS role
+  FROM (SELECT *, greatest((n - n // 2) // 3, 1) AS size, n // 2 + greatest((n - n // 2) // 3, 1) * k AS start FROM po, (SELECT unnest(range(0, 3)) AS k))) WHERE role IS NOT NULL)"""
+HASH_ROLES = """fo AS (SELECT *, CASE WHEN CAST('0x' || substr(md5(concat_ws('|', symbol, CAST(ts AS VARCHAR), '42')), 1, 8) AS BIGINT) % 3 = k THEN 'test' ELSE 'train' END AS role
+  FROM po, (SELECT unnest(range(0, 3)) AS k))"""
+
+
+@query(fold_metrics(TIME_ROLES, "linear"))
+def cross_validation_of_one_column(spark, d):
+    return models.cross_validate(split.time_folds(matrix(spark, d), 3, gap=5), ["hl"], "y", "linear")
+
+
+@query(fold_metrics(WALK_ROLES, "linear"))
+def walk_forward_of_one_column(spark, d):
+    return models.cross_validate(split.walk_forward(matrix(spark, d), steps=3), ["hl"], "y", "linear")
+
+
+@query(fold_metrics(HASH_ROLES, "linear"))
+def shuffled_validation_of_one_column(spark, d):
+    return models.cross_validate(models.roles_from_fold(split.hashed_folds(matrix(spark, d), 3), 3), ["hl"], "y", "linear")
+
+
+@query(f"SELECT CAST(1 AS INTEGER) AS features, metric, {rnd('avg(value)', 5)} AS mean, {rnd('stddev_pop(value)', 5)} AS std FROM ({fold_metrics(TIME_ROLES, 'linear')}) GROUP BY metric", digits=5)
+def subset_curve_of_one_column(spark, d):
+    return selection.subset_curve(split.time_folds(matrix(spark, d), 3, gap=5), ["hl"], "y", [1])
+
+
+def planted(spark, d) -> DataFrame:
+    """Every event with a label that is a step of one column; every fifth event is for testing."""
+    e = table(spark, d, "events")
+    k = F.get_json_object("props", "$.k").cast("double")
+    return e.select("event_id", k.alias("k"), "value", (F.col("user_id") % 7).cast("double").alias("noise"), F.when(k < 50, 1.0).otherwise(3.0).alias("y"), (k >= 50).cast("double").alias("up"))
+
+
+PLANTED = {
+    "forest": {"numTrees": 10, "maxDepth": 4, "featureSubsetStrategy": "all"}, "gbt": {"maxIter": 5, "maxDepth": 3}, "linear": {}, "ridge": {"regParam": 0.01}, "lasso": {"regParam": 0.01}, "elastic_net": {"regParam": 0.01},
+    "logistic": {"maxIter": 50}, "forest_classifier": {"numTrees": 10, "maxDepth": 4, "featureSubsetStrategy": "all"}, "gbt_classifier": {"maxIter": 5, "maxDepth": 3}, "linear_svm": {"maxIter": 50},
+}
+CLASSIFIERS = ("logistic", "forest_classifier", "gbt_classifier", "linear_svm")
+PLANTED_COLUMNS = ["k", "value", "noise"]
+
+
+@query(
+    " UNION ALL ".join(
+        f"SELECT '{kind}' AS kind, count(*) AS rows, CAST(0 AS BIGINT) AS missing, TRUE AS close FROM events WHERE event_id % 5 = 0" for kind in PLANTED
+    )
+)
+def models_on_a_planted_step(spark, d):
+    """Every model scores every test row; trees find the step, linear models most of it."""
+    rows = cut_lineage(planted(spark, d))
+    train, test, out = rows.filter("event_id % 5 <> 0"), rows.filter("event_id % 5 = 0"), None
+    for kind, params in PLANTED.items():
+        label = "up" if kind in CLASSIFIERS else "y"
+        scored = models.predict(models.fit(train, PLANTED_COLUMNS, label, kind, **params), test)
+        wrong = F.avg((F.col("prediction") != F.col("up")).cast("double")) if kind in CLASSIFIERS else F.avg(F.pow(F.col("prediction") - F.col("y"), 2))
+        bound = 0.05 if kind in CLASSIFIERS else 0.05 if kind in ("forest", "gbt") else 0.4
+        part = scored.agg(F.lit(kind).alias("kind"), F.count("*").alias("rows"), F.count(F.when(F.col("prediction").isNull(), 1)).alias("missing"), (wrong < bound).alias("close"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query(" UNION ALL ".join(f"SELECT '{m}' AS method, 'k' AS best" for m in ("importance", "permutation", "elimination", "elimination_with_folds")))
+def selection_on_a_planted_step(spark, d):
+    """Each method that refits models puts the column with the step first."""
+    rows = cut_lineage(planted(spark, d).withColumn("ts", F.expr("TIMESTAMP_NTZ'2024-01-01 00:00:00' + event_id * INTERVAL '1' MINUTE")).withColumn("symbol", F.lit("x")))
+    small = {"numTrees": 5, "maxDepth": 3, "featureSubsetStrategy": "all"}
+    model = models.fit(rows, PLANTED_COLUMNS, "y", "forest", **small)
+    best = lambda df: df.orderBy(F.col("score").desc(), "feature").first()["feature"]
+    found = {
+        "importance": best(models.importance(spark, model, PLANTED_COLUMNS)),
+        "permutation": best(selection.permutation_importance(model, rows, PLANTED_COLUMNS, "y", repeats=2)),
+        "elimination": best(selection.recursive_elimination(rows, PLANTED_COLUMNS, "y", 1, "forest", **small)),
+        "elimination_with_folds": selection.elimination_with_folds(split.time_folds(rows, 2), PLANTED_COLUMNS, "y", "forest", **small)[0][0],
+    }
+    return spark.createDataFrame(list(found.items()), "method string, best string")
+
+
 KINDS = {"ridge": ("ridge", {"regParam": 0.1}), "tree": ("forest", {"numTrees": 5, "maxDepth": 3})}
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.config import TS
@@ -47,13 +47,19 @@ def time_folds(df: DataFrame, folds: int = 5, gap: int = 0, test_rows: int | Non
     return fanned.select(*df.columns, "_f.fold", "_f.role")
 
 
+def _hashed(key: Sequence[str], seed: int) -> Column:
+    """A number below 2^32 from the md5 of the key's text and the seed, so that any engine can name a row's fold."""
+    text = F.concat_ws("|", *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in key], F.lit(str(seed)))
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("bigint")
+
+
 def hashed_folds(df: DataFrame, folds: int = 5, key: Sequence[str] = ("symbol", TS), seed: int = 42) -> DataFrame:
     """Shuffled folds: the same row falls into the same fold on every run."""
-    return df.withColumn("fold", F.pmod(F.xxhash64(*key, F.lit(seed)), F.lit(folds)).cast("int"))
+    return df.withColumn("fold", (_hashed(key, seed) % folds).cast("int"))
 
 
 def hashed_split(df: DataFrame, test: float = 0.2, key: Sequence[str] = ("symbol", TS), seed: int = 42) -> DataFrame:
-    share = F.pmod(F.xxhash64(*key, F.lit(seed)), F.lit(1_000_000)) / 1_000_000.0
+    share = (_hashed(key, seed) % 1_000_000) / 1_000_000.0
     return df.withColumn("split", F.when(share < test, "test").otherwise("train"))
 
 
