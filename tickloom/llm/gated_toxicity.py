@@ -171,14 +171,34 @@ class _Adam:
         value -= (self.rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)).astype(np.float32)
 
 
-def _log_odds(buckets: np.ndarray, docs: np.ndarray, toxic: np.ndarray) -> np.ndarray:
-    """By bucket: log odds of the toxic share of the documents that have it, drawn to 0 where few do."""
-    pairs = np.unique(docs * BUCKETS + buckets)
-    doc, bucket = pairs // BUCKETS, pairs % BUCKETS
-    a = np.bincount(bucket, toxic[doc], BUCKETS) / max(1, toxic.sum())
-    b = np.bincount(bucket, 1 - toxic[doc], BUCKETS) / max(1, (1 - toxic).sum())
-    least = 3 / max(1, toxic.sum())
-    return np.clip(np.log((a + least) / (b + least)), -3, 5).astype(np.float32)
+class _Odds:
+    """Log odds of the toxic share of the documents that have a bucket, drawn to 0 where few do."""
+
+    def __init__(self, toxic: np.ndarray):
+        self.toxic, self.have = toxic, np.zeros((2, BUCKETS))
+
+    def add(self, docs: np.ndarray, buckets: np.ndarray) -> None:
+        """Some documents' buckets; no document may come twice."""
+        pairs = np.unique(docs * BUCKETS + buckets)
+        toxic = self.toxic[pairs // BUCKETS]
+        self.have += np.bincount(pairs % BUCKETS, toxic, BUCKETS), np.bincount(pairs % BUCKETS, 1 - toxic, BUCKETS)
+
+    def odds(self) -> np.ndarray:
+        share = self.have / np.maximum([[self.toxic.sum()], [(1 - self.toxic).sum()]], 1) + 3 / max(1, self.toxic.sum())
+        return np.clip(np.log(share[0] / share[1]), -3, 5).astype(np.float32)
+
+
+def _chosen(inputs, ids: np.ndarray):
+    """The inputs of some of the words."""
+    whole, grams = inputs
+    first = lambda c: np.repeat((np.cumsum(c) - c)[ids] - (np.cumsum(c[ids]) - c[ids]), c[ids])
+    return whole[ids], [(b[first(c) + np.arange(c[ids].sum())], c[ids]) for b, c in grams]
+
+
+def _in_parts(net: GatedNet, inputs, make) -> np.ndarray:
+    """``make`` of the vectors of all words, so many at a time."""
+    n = len(inputs[0])
+    return np.concatenate([make(net.vectors(_chosen(inputs, np.arange(i, min(n, i + 20_000))))) for i in range(0, n, 20_000)])
 
 
 def train(texts: list[str], toxic: np.ndarray, epochs: int = EPOCHS, seed: int = 0) -> GatedNet | None:
@@ -191,21 +211,20 @@ def train(texts: list[str], toxic: np.ndarray, epochs: int = EPOCHS, seed: int =
     number = {w: i for i, w in enumerate(dict.fromkeys(w for x in split for w in x), 1)}
     lengths = np.array([len(x) for x in split], np.int64)
     numbers = np.array([number[w] for x in split for w in x], np.int64)
-    whole, grams = inputs = word_inputs([" ", *number])  # number 0 is padding
-    owner = np.repeat(np.arange(len(split)), lengths)
-    net.words[:, 0] = _log_odds(whole[numbers], owner, toxic)
-    every_gram, every_doc = [], []
-    seen = np.unique(owner * len(whole) + numbers)
-    for buckets, count in grams:
-        first = np.cumsum(count) - count
-        n = count[seen % len(whole)]
-        every_gram.append(buckets[np.repeat(first[seen % len(whole)] - (np.cumsum(n) - n), n) + np.arange(n.sum())])
-        every_doc.append(np.repeat(seen // len(whole), n))
-    net.grams[:, 0] = _log_odds(np.concatenate(every_gram), np.concatenate(every_doc), toxic)
+    whole, grams = inputs = _joined([word_inputs(part) for part in _split([" ", *number])])  # number 0 is padding
+    del split, number
+    word_odds, gram_odds, ends = _Odds(toxic), _Odds(toxic), np.cumsum(lengths)
+    for i in range(0, len(texts), 100):  # so many documents at a time
+        begin, end = ends[i] - lengths[i], ends[min(i + 100, len(texts)) - 1]
+        pairs = np.unique(np.repeat(np.arange(i, min(i + 100, len(texts))), lengths[i : i + 100]) * len(whole) + numbers[begin:end])
+        doc, word = pairs // len(whole), pairs % len(whole)
+        own_words, own_grams = _chosen(inputs, word)
+        word_odds.add(doc, own_words)
+        gram_odds.add(np.concatenate([np.repeat(doc, c) for _, c in own_grams]), np.concatenate([g for g, _ in own_grams]))
+    net.words[:, 0], net.grams[:, 0] = word_odds.odds(), gram_odds.odds()
     words, count = window_words(numbers, lengths)
     first = np.cumsum(count) - count
-    vectors = net.vectors(inputs)
-    score = (vectors[:, 0] + 2 * vectors[:, SIZE])[words].max(axis=1)
+    score = _in_parts(net, inputs, lambda v: v[:, 0] + 2 * v[:, SIZE])[words].max(axis=1)
 
     def best(score: np.ndarray) -> np.ndarray:
         order = np.lexsort((np.arange(len(score)), score, np.repeat(np.arange(len(count)), count)))
@@ -217,14 +236,14 @@ def train(texts: list[str], toxic: np.ndarray, epochs: int = EPOCHS, seed: int =
     epochs, chosen = max(epochs, -(-STEPS // batches)), best(score)
     for epoch in range(epochs):
         if epoch == epochs // 3:
-            chosen = best(net.all_logits(net.projections(net.vectors(inputs)), words))
+            chosen = best(net.all_logits(_in_parts(net, inputs, net.projections), words))
         for rows in np.array_split(rng.permutation(len(toxic)), batches):
             used, local = np.unique(words[chosen[rows]], return_inverse=True)
             local = local.reshape(-1, WINDOW)
             zero = used[0] == 0
             local = local if zero else local + 1
             ids = used if zero else np.append(0, used)
-            parts = whole[ids], [(b[np.repeat((np.cumsum(c) - c)[ids] - (np.cumsum(c[ids]) - c[ids]), c[ids]) + np.arange(c[ids].sum())], c[ids]) for b, c in grams]
+            parts = _chosen(inputs, ids)
             x, keep = net.vectors(parts), {}
             alone = rng.random(len(x)) < DROPPED  # these words are known by their n-grams alone, as unseen words will be
             x[alone, :SIZE] = 0
@@ -247,7 +266,7 @@ def train(texts: list[str], toxic: np.ndarray, epochs: int = EPOCHS, seed: int =
                 table[at] -= (0.05 * total / np.sqrt(sparse[name][at])[:, None]).astype(np.float32)
             for name, value in net.p.items():
                 dense.step(name, value, g[name])
-    logits = np.maximum.reduceat(net.all_logits(net.projections(net.vectors(inputs)), words), first)
+    logits = np.maximum.reduceat(net.all_logits(_in_parts(net, inputs, net.projections), words), first)
     order = np.argsort(-logits, kind="stable")
     hits = np.cumsum(toxic[order])
     f1 = 2 * hits / (np.arange(1, len(toxic) + 1) + toxic.sum())
@@ -257,6 +276,16 @@ def train(texts: list[str], toxic: np.ndarray, epochs: int = EPOCHS, seed: int =
     return net
 
 
+def _split(words: list[str], size: int = 20_000) -> list[list[str]]:
+    return [words[i : i + size] for i in range(0, len(words), size)]
+
+
+def _joined(parts: list) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """The inputs of several lists of words one after the other; buckets are small numbers."""
+    grams = [tuple(np.concatenate([p[1][k][j] for p in parts]).astype(np.int32) for j in (0, 1)) for k in range(3)]
+    return np.concatenate([p[0] for p in parts]), grams
+
+
 class TextScorer:
     """Scores texts; remembers the projections of words."""
 
@@ -275,7 +304,7 @@ class TextScorer:
         split = [t.split() for t in texts]
         if new := list(set().union(*split).difference(self.number)):
             self.number.update(zip(new, range(len(self.table), len(self.table) + len(new)), strict=True))
-            self.table = np.concatenate([self.table, *(self.net.projections(self.net.vectors(word_inputs(new[i : i + 20_000]))) for i in range(0, len(new), 20_000))])
+            self.table = np.concatenate([self.table, *(self.net.projections(self.net.vectors(word_inputs(part))) for part in _split(new))])
         numbers = np.array([n for x in split for n in map(self.number.__getitem__, x)], np.int64)
         words, count = window_words(numbers, np.array([len(x) for x in split], np.int64))
         logits = np.maximum.reduceat(self.net.all_logits(self.table, words), np.cumsum(count) - count)
