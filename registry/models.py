@@ -16,7 +16,7 @@ from tickloom.operators.metrics import regression
 from tickloom.plans import features, models, selection
 from tickloom.session import cut_lineage, shared_folder
 from tickloom.sources.tables import bars, table
-from tickloom.streaming.bars import replay_bars
+from tickloom.streaming.bars import read_latest, replay_bars, stream_ema, upsert_latest
 
 QUERIES = {}
 SQL = {}
@@ -368,3 +368,38 @@ def stream_bars(spark, d):
     )
     out = replay_bars(ticks, "1h", f"{shared_folder(spark)}/{uuid.uuid4().hex}", ties=["event_id"])
     return out.drop("timeframe")
+
+
+def event_stream(spark, d) -> DataFrame:
+    return spark.readStream.schema(table(spark, d, "events").schema).parquet(f"{d}/events.parquet*")
+
+
+def run_through(started) -> None:
+    started.trigger(availableNow=True).start().awaitTermination()
+
+
+@query(
+    with_(*HOURLY)
+    + f"SELECT symbol, ts, {rnd('close')} AS close, 0.0::DOUBLE AS volume FROM bars_1h"
+)
+def stream_upsert(spark, d):
+    """Events as price snapshots; per series and hour the newest one stays."""
+    events, folder = event_stream(spark, d), f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    snapshots = events.select(F.col("event_type").alias("symbol"), F.lit("events").alias("source"), "ts", F.col("value").alias("last_price"))
+    run_through(upsert_latest(snapshots, "1h", f"{folder}/table", f"{folder}/state"))
+    return read_latest(spark, f"{folder}/table").select("symbol", "ts", "close", "volume")
+
+
+@query(
+    with_("t AS (SELECT event_type AS symbol, ts, value AS x FROM events)", *recur("e", "t", [("ema_9", "x", 0.2, 1, 1)]), recursive=True)
+    + pick({"ema_9": "e.ema_9"}, keys="e.symbol, e.ts")
+    + " FROM e"
+)
+def stream_average(spark, d):
+    """A running average of each event type, from state carried between batches."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    folder = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    rows = event_stream(spark, d).select(F.col("event_type").alias("symbol"), "ts", F.col("value").alias("close"))
+    out = stream_ema(rows, {"ema_9": 9})
+    run_through(out.writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/state").outputMode("append"))
+    return spark.read.schema(out.schema).parquet(f"{folder}/rows").select("symbol", "ts", "ema_9")
