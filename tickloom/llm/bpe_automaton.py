@@ -25,7 +25,7 @@ import regex
 from public_tokenizers import PATTERN, path
 from pyspark.sql import DataFrame
 
-from tickloom.llm.common import WordCache, map_texts
+from tickloom.llm.common import WordCache, map_texts, remembers
 from tickloom.llm.tokens import TextEncoder
 
 VOCABULARY = path("byte_bpe_50k.json")
@@ -130,6 +130,14 @@ def _worker(vocabulary: str) -> tuple[TextEncoder, MergeAutomaton]:
     return text_encoder(vocabulary), load(vocabulary)[0]
 
 
+def _forget() -> None:
+    _worker.cache_clear()
+    load.cache_clear()
+
+
+remembers(__name__, _forget)
+
+
 def encode_documents(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """doc_id, ids (array of int) and decoded (string) of each whole text, decoded from these ids."""
 

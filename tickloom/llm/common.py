@@ -15,12 +15,27 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from tickloom.session import shared_folder
 
 #: Rows and bytes of text that one call of a row function gets at most; a single longer row is passed alone.
-PIECE_ROWS, PIECE_BYTES = 2000, 8 << 20
+PIECE_ROWS, PIECE_BYTES = 2000, 4 << 20
 
 #: Words that a worker remembers before it starts anew.
 CACHE_WORDS = 600_000
 
 
+_FORGET: dict[str, Callable[[], None]] = {}
+
+
+def remembers(module: str, forget: Callable[[], None]) -> None:
+    """Name what empties a module's memories of words."""
+    _FORGET[module] = forget
+
+
+def enter(module: str) -> None:
+    """At the start of a task: workers outlive tasks, so the memories of other operators are emptied."""
+    for name, forget in _FORGET.items():
+        if name != module:
+            forget()
+
+
 def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -48,6 +63,7 @@ def map_texts(df: DataFrame, schema: str | T.StructType, make: Callable[[], Call
     at, arrow = df.columns.index(text), to_arrow_schema(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter(make.__module__)
         work = make()
         for batch in batches:
             for part in pieces(batch, at):

@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import WordCache, map_texts, stored
+from tickloom.llm.common import WordCache, enter, map_texts, remembers, stored
 
 GRAM, SPAN, THRESHOLD = 4, 4, 0.5
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -39,6 +39,7 @@ def _word_hash(word: str) -> int:
 
 
 _hashes = WordCache(_word_hash)
+remembers(__name__, _hashes.clear)
 
 
 def word_numbers(text: str) -> np.ndarray:
@@ -142,6 +143,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, n
     both = pairs.join(bodies, ["id", "check"]).join(items, "item").select("id", "check", "item_id", "low", "high", "text", "body")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter(__name__)
         expand = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             scores, ends = [], []

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import held_out, labelled, map_texts
+from tickloom.llm.common import enter, held_out, labelled, map_texts, pieces
 
 #: Labelled rows that the fit uses at most; of these, texts of at most so many bytes.
 ROWS, TEXT_BYTES = 4000, 8_000
@@ -27,7 +27,7 @@ BUCKETS, SIZE, STATE = 1 << 15, 6, 8
 EPOCHS, STEPS, BATCH, DROPPED = 6, 180, 128, 0.4
 
 #: Words whose projections a worker remembers before it starts anew, and windows run at once.
-KNOWN_WORDS, TOGETHER = 250_000, 2048
+KNOWN_WORDS, TOGETHER = 150_000, 2048
 
 _TRIM = ".,;:!?\"'()[]{}<>|*#$%&_-+=/\\`~^@"
 
@@ -346,8 +346,7 @@ def without_toxic(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> DataF
     shared, at, schema = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, rows)), docs.columns.index("text"), docs.schema
 
     def run(batches):
-        from tickloom.llm.common import pieces
-
+        enter(__name__)
         scores = _scorer(shared.value)
         for batch in batches:
             for part in pieces(batch, at):

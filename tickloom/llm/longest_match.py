@@ -15,7 +15,7 @@ from functools import lru_cache
 from public_tokenizers import path
 from pyspark.sql import DataFrame
 
-from tickloom.llm.common import WordCache, map_texts
+from tickloom.llm.common import WordCache, map_texts, remembers
 
 VOCABULARY = path("piece_bpe_32k.model")
 WORD_START = "▁"
@@ -88,6 +88,9 @@ def _worker(model: str) -> WordCache:
     return WordCache(lambda word: machine.count(WORD_START + word))
 
 
+remembers(__name__, _worker.cache_clear)
+
+
 def count_tokens(docs: DataFrame, model: str = VOCABULARY) -> DataFrame:
     """doc_id, n_words, n_tokens and n_byte_tokens of each whole text."""
 

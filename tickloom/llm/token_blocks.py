@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from tickloom.llm.bpe_automaton import byte_letters
-from tickloom.llm.common import map_texts, pieces
+from tickloom.llm.common import enter, map_texts, pieces, remembers
 from tickloom.llm.tokens import TextEncoder
 from tickloom.session import shared_folder
 
@@ -157,11 +157,15 @@ def library_encoder(vocabulary: str) -> TextEncoder:
     return TextEncoder(encode_pieces, {s: np.array([i], "<u4").tobytes() for s, i in special.items()})
 
 
+remembers(__name__, library_encoder.cache_clear)
+
+
 def segments(docs: DataFrame, vocabulary: str = VOCABULARY, end_id: int = 0) -> DataFrame:
     """Segments (columns SEGMENTS) of all whole texts in ascending order of doc_id, each text followed by ``end_id``."""
     arrow, end = to_arrow_schema(T.StructType.fromDDL(SEGMENTS)), np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter(__name__)
         encoder, part, before = library_encoder(vocabulary), TaskContext.get().partitionId(), 0
         doc_ids, data = [], []
 
