@@ -220,13 +220,14 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, toge
     every = _all_segments(docs, length, gram)
     met = every.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor")
     shared = stored(every.join(met, "anchor"))
-    kinds = shared.groupBy("anchor").agg(F.min("segment").alias("segment"), F.max("segment").alias("other"))
-    alike = kinds.filter("segment = other").select("anchor", "segment", F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("stop"))
-    mixed = shared.join(kinds.filter("segment != other").select("anchor"), "anchor")
-    different = stored(mixed.groupBy("anchor", "segment").agg(F.count("*").alias("times"), F.min(F.struct("id", "check", "first", "more")).alias("at")))
-    large = different.groupBy("anchor").agg(F.count("*").alias("n")).filter(F.col("n") > together).select("anchor", F.lit(True).alias("large"))
-    wanted = different.join(large, "anchor", "left").groupBy(F.col("at.id").alias("id"), F.col("at.check").alias("check")).agg(
-        F.collect_list(F.struct("anchor", "segment", "times", F.col("at.first").alias("first"), F.col("at.more").alias("more"), F.coalesce("large", F.lit(False)).alias("large"))).alias("wanted")
+    # equal segments first become one row, so an anchor that is met very often has no more rows than different segments
+    each = stored(shared.groupBy("anchor", "segment").agg(F.count("*").alias("times"), F.min(F.struct("id", "check", "first", "more")).alias("at")))
+    kinds = each.groupBy("anchor").agg(F.count("*").alias("n"), F.min("segment").alias("segment"))
+    alike = kinds.filter("n = 1").select("anchor", "segment", F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("stop"))
+    some_large = not kinds.filter(F.col("n") > together).isEmpty()
+    different = each.join(kinds.filter("n > 1").select("anchor", (F.col("n") > together).alias("large")), "anchor")
+    wanted = different.groupBy(F.col("at.id").alias("id"), F.col("at.check").alias("check")).agg(
+        F.collect_list(F.struct("anchor", "segment", "times", F.col("at.first").alias("first"), F.col("at.more").alias("more"), "large")).alias("wanted")
     )
     bodies = _packed(docs).join(wanted, ["id", "check"]).select("body", "wanted")
 
@@ -257,7 +258,6 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, toge
 
         return make
 
-    some_large = not large.isEmpty()
     bodies = stored(bodies) if some_large else bodies
     small = map_texts(bodies, "anchor bigint, segment bigint, times bigint, body binary", segments(False), "body")
     found = _sorted_repeats(small, length)
