@@ -73,6 +73,8 @@ def test_quality_rules(spark):
     kept = {r.doc_id: r.kept for r in got}
     assert all(kept[i] for i in range(60)) and not any(kept[i] for i in (100, 101, 102, 103, 104, 105))
     assert all(r.base_failed == (r.n_words < 10 or 100 * r.n_repeat_words > 20 * r.n_words) for r in got)
+    few = [(i, " ".join(rng.choice(names, 12)), "sv", None, None) for i in range(200, 203)]
+    assert all(r.kept for r in fertility.quality_rules(spark.createDataFrame(rows + few, SCHEMA)).collect() if r.language == "sv")
     assert {r.language for r in got if r.doc_id is None} == {"Latin"}
     assert "byte_share" in next(r.rejected_by for r in got if r.doc_id == 100)
     assert fertility.quality_rules(spark.createDataFrame([], SCHEMA)).count() == 0

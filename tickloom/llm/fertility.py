@@ -20,12 +20,14 @@ from public_tokenizers import PATTERN, path
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import CACHE_WORDS, map_texts, stored
+from tickloom.llm.common import CACHE_WORDS, map_texts, remembers, stored
 
 PIECES, RANKS = path("piece_bpe_32k.model"), path("byte_bpe_multi_50k.tiktoken")
 MEASURES = ("chars_per_piece", "chars_per_byte_token", "byte_share", "token_entropy")
 
-#: Deviations from the median beyond which a document is rejected, and the least deviation of each measure.
+#: Deviations from the median beyond which a document is rejected, and the least deviation of each measure; texts of fewer than
+#: SETTLED words get more, by the square root, so that few documents of a kind don't make a narrow band.
+SETTLED = 256
 WIDTH, LEAST = 6.0, {"chars_per_piece": 0.06, "chars_per_byte_token": 0.06, "byte_share": 0.02, "token_entropy": 0.02}
 
 SYMBOLS = b"#*$%&|<>"
@@ -104,6 +106,9 @@ def _worker(pieces: str, ranks: str) -> FertilityCounter:
     return FertilityCounter(pieces, ranks)
 
 
+remembers(__name__, _worker.cache_clear)
+
+
 def fertility(docs: DataFrame, pieces: str = PIECES, ranks: str = RANKS) -> DataFrame:
     """doc_id, language, the base counts and the measures of each whole text."""
     columns = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", *MEASURES)
@@ -143,7 +148,7 @@ def quality_rules(docs: DataFrame, width: float = WIDTH, pieces: str = PIECES, r
     """doc_id, base counts, base_failed, kept, rejected_by (measures out of their bands, comma-joined) and the measures of each document."""
     n, repeats = F.col("n_words"), F.col("n_repeat_words")
     measured = stored(fertility(docs, pieces, ranks).withColumn("base_failed", (n < 10) | (100 * repeats > 20 * n)).withColumn("size_class", F.floor(F.log2(F.greatest(n, F.lit(1)))).cast("int")))
-    outside = [F.when(F.abs(F.col(m) - F.col(f"{m}_mid")) > width * F.greatest(F.col(f"{m}_off"), F.lit(LEAST[m])), m) for m in MEASURES]
+    outside = [F.when(F.abs(F.col(m) - F.col(f"{m}_mid")) > width * F.greatest(F.col(f"{m}_off"), LEAST[m] * F.greatest(F.lit(1.0), F.sqrt(SETTLED / F.greatest(n, F.lit(1))))), m) for m in MEASURES]
     judged = measured.join(bands(measured), ["language", "size_class"], "left").withColumn("rejected_by", F.concat_ws(",", *outside))
     kept = ~F.col("base_failed") & (F.col("rejected_by") == "")
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "rejected_by", "language", *MEASURES)
