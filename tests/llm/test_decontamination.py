@@ -71,6 +71,35 @@ def test_leaks_equal_brute_force(spark):
     assert sorted(-1 if r.doc_id is None else r.doc_id for r in kept.collect()) == sorted(r[0] for r in rows if r[0] is not None and r[0] not in leaked)
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.integers(0, 9), min_size=1, max_size=12), st.lists(st.integers(0, 20), max_size=80), st.sampled_from([0.3, 0.5, 0.8]))
+def test_pairs_that_are_not_aligned_cannot_leak(item, words, threshold):
+    if not dc.can_leak(np.array(item, np.uint64), np.array(words, np.uint64), threshold):
+        assert brute_score(item, words) < threshold
+
+
+def test_edited_copies_beside_exact_ones(spark):
+    rng = np.random.default_rng(5)
+    items = [[f"i{i}w{k}" for k in range(24 + i % 20)] for i in range(40)]
+    docs = [" ".join(item) for item in items for _ in range(3)]
+    edits = {}
+    for i, item in enumerate(items):
+        for step in (4, 5, 6, 7):
+            for first in range(step):
+                edits[len(docs)] = i
+                docs.append(" ".join("other" if k % step == first else w for k, w in enumerate(item)))
+        for share in (0.2, 0.25):
+            edited = [w if rng.random() > share else "other" for w in item]
+            words = [dc.word_numbers(" ".join(x)).tolist() for x in (item, edited)]
+            if brute_score(*words) >= 0.5 and any("other" not in edited[k : k + 3] for k in range(len(item) - 2)):
+                edits[len(docs)] = i
+                docs.append(" ".join(edited))
+    df = spark.createDataFrame([(i, t, 1, "s") for i, t in enumerate(docs)], DOCS)
+    bench = spark.createDataFrame([(i, " ".join(w), "x") for i, w in enumerate(items)], ITEMS)
+    got = {(r.doc_id, r.item_id) for r in dc.leaked_items(df, bench).collect()}
+    assert got == set(edits.items()) | {(k, k // 3) for k in range(120)}
+
+
 def test_no_rows(spark):
     df, bench = spark.createDataFrame([], DOCS), spark.createDataFrame([(1, "a b c d e f g", "")], ITEMS)
     assert dc.leaked_items(df, bench).count() == 0 and dc.without_leaks(df, bench).count() == 0

@@ -1,11 +1,12 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of words.
 
-All n-grams of the test items are looked up in all documents. Of every SPAN neighbouring n-grams of an item that the corpus has, the one found in the
-fewest documents is a seed, so even a short stretch of an item that stands in a document has a seed in it, however common the item is. A
+Every run of GRAM - 1 words of every test item is a seed, however many documents or items have it, so copies in the corpus can't displace the
+seeds of an edited one: a copy with every fourth word changed still has some. A
 document and an item that share a seed are aligned: the item against the words around all their seeds. The score is that of
 the best local alignment over that of the whole item found word for word; THRESHOLD and more is a leak, so copies with words changed, added or left out count.
+A common seed costs a count of the item's words around it: pairs too poor in them for any alignment of that score are not aligned.
 
-Words are runs of non-spaces without the characters that are no letters, digits or underscores, in lower case. Items and documents of fewer words than an n-gram
+Words are runs of non-spaces without the characters that are no letters, digits or underscores, in lower case. Items and documents of fewer than GRAM words
 share nothing with any. Null texts are empty. Items with one id and different texts are aligned each; equal items count once, equal documents each.
 """
 
@@ -15,18 +16,16 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pyarrow as pa
 import xxhash
-import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import WordCache, enter, map_texts, remembers, stored
+from tickloom.llm.common import WordCache, map_texts, remembers, stored
 
-GRAM, SPAN, THRESHOLD = 4, 4, 0.5
+GRAM, THRESHOLD = 4, 0.5
 MATCH, MISMATCH, GAP = 2, -1, -1
 
-#: n-grams that one look-up table holds; a benchmark with more is looked up in several passes over the documents.
+#: n-grams that one look-up table holds, counted as words of items; a benchmark with more is looked up in several passes over the documents.
 TABLE_GRAMS = 2_000_000
 
 _DROP = re.compile(r"\W+")
@@ -74,88 +73,101 @@ def best_alignment(item: np.ndarray, words: np.ndarray) -> tuple[float, int]:
     return best / (MATCH * len(item)), end
 
 
-def item_grams(items: DataFrame, n: int) -> DataFrame:
-    """item, at and gram of each n-gram of each item."""
+def can_leak(item: np.ndarray, words: np.ndarray, threshold: float) -> bool:
+    """False only where no local alignment reaches ``threshold``: it has that share of the item's words at least, and no more words than mismatches and gaps leave room for."""
+    need, reach = int(np.ceil(threshold * len(item) - 1e-9)), int(np.ceil((3 - 2 * threshold) * len(item)))
+    known = np.cumsum(np.concatenate([[0], np.isin(words, item)]))
+    return int((known[reach:] - known[:-reach]).max() if len(known) > reach else known[-1]) >= need
+
+
+class Lookup:
+    """Items by each of their n-grams."""
+
+    def __init__(self, items: list[np.ndarray], n: int):
+        self.n = n
+        own = [np.unique(grams(w, n)) for w in items]
+        every = np.concatenate([np.zeros(0, np.uint64), *own])
+        order = np.argsort(every, kind="stable")
+        self.table, starts = np.unique(every[order], return_index=True)
+        self.starts = np.append(starts, len(every))
+        self.holders = np.repeat(np.arange(len(items), dtype=np.int32), [len(x) for x in own])[order]
+        self.ends = np.cumsum([0, *map(len, items)])
+        self.words = np.concatenate([np.zeros(0, np.uint64), *items])
+        self.mask = np.uint64((1 << max(20, int(16 * len(self.table)).bit_length())) - 1)
+
+    def filter(self) -> np.ndarray:
+        first = np.zeros(int(self.mask) + 1, bool)
+        first[(self.table & self.mask).astype(np.int64)] = True
+        return first
+
+    def shared(self, words: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """Each item that shares an n-gram with ``words``, with the first and the last place of such n-grams."""
+        own = grams(words, self.n)
+        at = np.flatnonzero(first[(own & self.mask).astype(np.int64)])
+        if not len(at):
+            return
+        slot = np.minimum(np.searchsorted(self.table, own[at]), len(self.table) - 1)
+        same = self.table[slot] == own[at]
+        at, slot = at[same], slot[same]
+        counts = self.starts[slot + 1] - self.starts[slot]
+        item = self.holders[np.repeat(self.starts[slot] - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())]
+        order = np.argsort(item, kind="stable")
+        item, place = item[order], np.repeat(at, counts)[order]
+        edges = np.flatnonzero(np.diff(item, prepend=-1, append=-1))
+        yield from zip(item[edges[:-1]].tolist(), place[edges[:-1]].tolist(), place[edges[1:] - 1].tolist(), strict=True)
+
+    def item(self, k: int) -> np.ndarray:
+        return self.words[self.ends[k] : self.ends[k + 1]]
+
+
+def _aligned(docs: DataFrame, items: list[tuple[int, int, str]], threshold: float, n: int) -> DataFrame:
+    """id, check, item, item_id, score and last_word of the documents and items that share a seed and align."""
+    items = [(i, k, w) for i, k, w in ((i, k, word_numbers(t)) for i, k, t in items) if len(w) >= n]
+    shared = docs.sparkSession.sparkContext.broadcast((Lookup([w for *_, w in items], n - 1), [x[:2] for x in items]))
 
     def make():
-        def work(cols):
-            found = [grams(word_numbers(t or ""), n).view(np.int64) for t in cols["text"]]
-            counts = [len(f) for f in found]
-            return {"item": np.repeat(np.array(cols["item"], np.int64), counts), "at": np.concatenate([np.arange(c) for c in counts]) if counts else [], "gram": np.concatenate(found) if found else []}
-
-        return work
-
-    return map_texts(items.select("item", "text"), "item bigint, at int, gram bigint", make)
-
-
-def _lookups(docs: DataFrame, wanted: np.ndarray, n: int) -> DataFrame:
-    """id, check, body (compressed) and hits (gram, at) of the documents that have some of the wanted n-grams."""
-    mask = np.uint64((1 << max(20, int(16 * len(wanted)).bit_length())) - 1)
-    shared = docs.sparkSession.sparkContext.broadcast(np.sort(wanted))
-
-    def make():
-        squeeze, table = zstandard.ZstdCompressor(level=3).compress, shared.value
-        first = np.zeros(int(mask) + 1, bool)
-        first[(table & mask).astype(np.int64)] = True
+        lookup, names = shared.value
+        first = lookup.filter()
 
         def work(cols):
-            out = {k: [] for k in ("id", "check", "body", "hits")}
+            out = {k: [] for k in ("id", "check", "item", "item_id", "score", "last_word")}
             for i, check, text in zip(cols["id"], cols["check"], cols["text"], strict=True):
-                own = grams(word_numbers(text or ""), n)
-                at = np.flatnonzero(first[(own & mask).astype(np.int64)])
-                at = at[table[np.minimum(np.searchsorted(table, own[at]), len(table) - 1)] == own[at]] if len(at) else at
-                if len(at):
-                    for k, v in (("id", i), ("check", check), ("body", squeeze(text.encode())), ("hits", [{"gram": g, "at": a} for g, a in zip(own[at].view(np.int64).tolist(), at.tolist(), strict=True)])):
-                        out[k].append(v)
+                words = word_numbers(text or "")
+                if len(words) < n:
+                    continue
+                for k, low, high in lookup.shared(words, first):
+                    item = lookup.item(k)
+                    start = max(0, low - 2 * len(item))
+                    part = words[start : high + n + 2 * len(item)]
+                    score, end = best_alignment(item, part) if can_leak(item, part, threshold) else (-1.0, 0)
+                    if score >= threshold:
+                        for name, value in zip(out, (i, check, *names[k], score, start + end), strict=True):
+                            out[name].append(value)
             return out
 
         return work
 
-    return map_texts(docs, "id bigint, check int, body binary, hits array<struct<gram: bigint, at: int>>", make)
+    return map_texts(docs, "id bigint, check int, item bigint, item_id bigint, score double, last_word int", make)
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(1 << 63))).alias("id"), F.hash("text").alias("check"), "text")
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, n: int = GRAM, span: int = SPAN, table_grams: int = TABLE_GRAMS) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, n: int = GRAM, table_grams: int = TABLE_GRAMS) -> DataFrame:
     """id and check of a document row, item_id, score and last_word (the place of the alignment's end) of each leak."""
     spark = docs.sparkSession
-    items = stored(benchmark.select("item_id", F.coalesce("text", F.lit("")).alias("text")).distinct().withColumn("item", F.xxhash64("item_id", "text")))
-    every = stored(item_grams(items, n))
-    blocks = max(1, -(-every.count() // table_grams))
-    found = None
-    for block in range(blocks):  # each block of n-grams has TABLE_GRAMS on average, which bounds what is broadcast
-        wanted = every.filter(F.pmod(F.xxhash64("gram"), F.lit(blocks)) == block).select("gram").distinct().toPandas()["gram"].to_numpy(np.int64).view(np.uint64)
-        if len(wanted):
-            part = _lookups(_keyed(docs), wanted, n)
+    items = stored(benchmark.select(F.col("item_id").cast("bigint"), F.coalesce("text", F.lit("")).alias("text")).distinct().withColumn("item", F.xxhash64("item_id", "text")))
+    total = items.agg(F.sum(F.size(F.split("text", r"\s+")))).first()[0] or 0
+    blocks, found = max(1, -(-total // table_grams)), None
+    for block in range(blocks):  # each block has items of TABLE_GRAMS words on average, which bounds what is broadcast
+        some = [(r.item, r.item_id, r.text) for r in items.filter(F.pmod("item", F.lit(blocks)) == block).select("item", "item_id", "text").collect()]
+        if some:
+            part = _aligned(_keyed(docs), some, threshold, n)
             found = part if found is None else found.union(part)
     if found is None:
         return spark.createDataFrame([], "id bigint, check int, item_id bigint, score double, last_word int")
-    found = stored(found)
-    hits = found.select("id", "check", F.explode("hits").alias("hit")).select("id", "check", "hit.gram", "hit.at")
-    common = hits.select("id", "check", "gram").distinct().groupBy("gram").agg(F.count("*").alias("n"))
-    near = Window.partitionBy("item").orderBy("at").rangeBetween(0, span - 1)
-    rarest = every.join(common, "gram").select("item", F.min(F.struct("n", "at", "gram")).over(near).alias("seed"))
-    seeds = rarest.select("item", "seed.gram").distinct()
-    pairs = hits.join(seeds, "gram").groupBy("id", "check", "item").agg(F.min("at").alias("low"), F.max("at").alias("high"))
-    bodies = found.select("id", "check", "body").dropDuplicates(["id", "check"])
-    both = pairs.join(bodies, ["id", "check"]).join(items, "item").select("id", "check", "item_id", "low", "high", "text", "body")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enter(__name__)
-        expand = zstandard.ZstdDecompressor().decompress
-        for batch in batches:
-            scores, ends = [], []
-            for low, high, text, body in zip(*(batch.column(i).to_pylist() for i in range(3, 7)), strict=True):
-                item, words = word_numbers(text), word_numbers(expand(body).decode())
-                start = max(0, low - 2 * len(item))
-                score, end = best_alignment(item, words[start : high + n + 2 * len(item)])
-                scores.append(score)
-                ends.append(start + end)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(scores, pa.float64()), pa.array(ends, pa.int32())], names=["id", "check", "item_id", "score", "last_word"])
-
-    return both.mapInArrow(run, "id bigint, check int, item_id bigint, score double, last_word int").filter(F.col("score") >= threshold)
+    return found.distinct().drop("item")
 
 
 def leaked_items(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
