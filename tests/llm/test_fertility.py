@@ -79,3 +79,16 @@ def test_quality_rules(spark):
     assert "byte_share" in next(r.rejected_by for r in got if r.doc_id == 100)
     assert fertility.quality_rules(spark.createDataFrame([], SCHEMA)).count() == 0
     assert fertility.quality_rules(spark.createDataFrame(rows, SCHEMA).drop("lang")).count() == len(rows)
+
+
+def test_short_junk_in_a_filled_group_is_rejected(spark):
+    rng = np.random.default_rng(3)
+    names = "river stone under morning letter carry window slowly people garden between answer".split()
+    plain = lambda n: list(rng.choice(names, n))
+    for rows, rejected in ((300, True), (3, False)):
+        docs = [(i, " ".join(plain(40)), "en", None, None) for i in range(rows)]
+        junk = [(1000, " ".join(plain(38) + ["\ue001\ue002", "\ue003\ue004"]), "en", None, None)]
+        got = {r.doc_id: r for r in fertility.quality_rules(spark.createDataFrame(docs + junk, SCHEMA)).collect()}
+        assert 0.13 < got[1000].byte_share < 0.3 and not got[1000].base_failed
+        assert ("byte_share" in got[1000].rejected_by) is rejected
+        assert all(got[i].kept for i in range(rows))

@@ -26,8 +26,8 @@ PIECES, RANKS = path("piece_bpe_32k.model"), path("byte_bpe_multi_50k.tiktoken")
 MEASURES = ("chars_per_piece", "chars_per_byte_token", "byte_share", "token_entropy")
 
 #: Deviations from the median beyond which a document is rejected, and the least deviation of each measure; texts of fewer than
-#: SETTLED words get more, by the square root, so that few documents of a kind don't make a narrow band.
-SETTLED = 256
+#: SETTLED words get more where fewer than FILLED documents make their band, by the square root of what is missing of either, whichever is less.
+SETTLED, FILLED = 256, 64
 WIDTH, LEAST = 6.0, {"chars_per_piece": 0.06, "chars_per_byte_token": 0.06, "byte_share": 0.02, "token_entropy": 0.02}
 
 SYMBOLS = b"#*$%&|<>"
@@ -137,9 +137,9 @@ def language_of(docs: DataFrame) -> Column:
 
 
 def bands(measured: DataFrame) -> DataFrame:
-    """By language and size class: median and deviation of each measure over all documents that pass the base rules."""
+    """By language and size class: number of the documents that pass the base rules, and median and deviation of each measure over them all."""
     group, usable = ["language", "size_class"], measured.filter(~F.col("base_failed"))
-    middle = usable.groupBy(*group).agg(*[F.percentile_approx(m, 0.5, 10000).alias(f"{m}_mid") for m in MEASURES])
+    middle = usable.groupBy(*group).agg(F.count("*").alias("n_docs"), *[F.percentile_approx(m, 0.5, 10000).alias(f"{m}_mid") for m in MEASURES])
     away = usable.join(middle, group).select(*group, *[F.abs(F.col(m) - F.col(f"{m}_mid")).alias(m) for m in MEASURES])
     return middle.join(away.groupBy(*group).agg(*[F.percentile_approx(m, 0.5, 10000).alias(f"{m}_off") for m in MEASURES]), group)
 
@@ -148,7 +148,8 @@ def quality_rules(docs: DataFrame, width: float = WIDTH, pieces: str = PIECES, r
     """doc_id, base counts, base_failed, kept, rejected_by (measures out of their bands, comma-joined) and the measures of each document."""
     n, repeats = F.col("n_words"), F.col("n_repeat_words")
     measured = stored(fertility(docs, pieces, ranks).withColumn("base_failed", (n < 10) | (100 * repeats > 20 * n)).withColumn("size_class", F.floor(F.log2(F.greatest(n, F.lit(1)))).cast("int")))
-    outside = [F.when(F.abs(F.col(m) - F.col(f"{m}_mid")) > width * F.greatest(F.col(f"{m}_off"), LEAST[m] * F.greatest(F.lit(1.0), F.sqrt(SETTLED / F.greatest(n, F.lit(1))))), m) for m in MEASURES]
+    wider = F.greatest(F.lit(1.0), F.least(F.sqrt(SETTLED / F.greatest(n, F.lit(1))), F.sqrt(FILLED / F.col("n_docs"))))
+    outside = [F.when(F.abs(F.col(m) - F.col(f"{m}_mid")) > width * F.greatest(F.col(f"{m}_off"), LEAST[m] * wider), m) for m in MEASURES]
     judged = measured.join(bands(measured), ["language", "size_class"], "left").withColumn("rejected_by", F.concat_ws(",", *outside))
     kept = ~F.col("base_failed") & (F.col("rejected_by") == "")
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "rejected_by", "language", *MEASURES)
