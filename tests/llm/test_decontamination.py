@@ -1,6 +1,7 @@
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tickloom.llm import decontamination as dc
 
@@ -100,6 +101,14 @@ def test_edited_copies_beside_exact_ones(spark):
     assert got == set(edits.items()) | {(k, k // 3) for k in range(120)}
 
 
+def test_rows_without_id_whose_texts_share_a_short_hash(spark):
+    numbered = lambda text, name: spark.range(200_000).select(F.concat(F.lit(text), "id").alias(name), F.hash(F.concat(F.lit(text), "id")).alias("h"))
+    same = numbered("a b c d e f g h ", "leaky").join(numbered("nothing of it here ", "clean"), "h").select("leaky", "clean").first()
+    df, bench = spark.createDataFrame([(None, same.leaky, 1, ""), (None, same.clean, 2, "")], DOCS), spark.createDataFrame([(1, "a b c d e f g h", "")], ITEMS)
+    assert [r.item_id for r in dc.leaked_items(df, bench).collect()] == [1]
+    assert [r.text for r in dc.without_leaks(df, bench).collect()] == [same.clean]
+
+
 def test_no_rows(spark):
     df, bench = spark.createDataFrame([], DOCS), spark.createDataFrame([(1, "a b c d e f g", "")], ITEMS)
     assert dc.leaked_items(df, bench).count() == 0 and dc.without_leaks(df, bench).count() == 0

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import WordCache, map_texts, remembers, stored
+from tickloom.llm.common import WordCache, map_texts, remembers, row_key, stored
 
 GRAM, THRESHOLD = 4, 0.5
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -121,7 +121,7 @@ class Lookup:
 
 
 def _aligned(docs: DataFrame, items: list[tuple[int, int, str]], threshold: float, n: int) -> DataFrame:
-    """id, check, item, item_id, score and last_word of the documents and items that share a seed and align."""
+    """id, k1, k2, item, item_id, score and last_word of the documents and items that share a seed and align."""
     items = [(i, k, w) for i, k, w in ((i, k, word_numbers(t)) for i, k, t in items) if len(w) >= n]
     shared = docs.sparkSession.sparkContext.broadcast((Lookup([w for *_, w in items], n - 1), [x[:2] for x in items]))
 
@@ -130,8 +130,8 @@ def _aligned(docs: DataFrame, items: list[tuple[int, int, str]], threshold: floa
         first = lookup.filter()
 
         def work(cols):
-            out = {k: [] for k in ("id", "check", "item", "item_id", "score", "last_word")}
-            for i, check, text in zip(cols["id"], cols["check"], cols["text"], strict=True):
+            out = {k: [] for k in ("id", "k1", "k2", "item", "item_id", "score", "last_word")}
+            for i, k1, k2, text in zip(cols["id"], cols["k1"], cols["k2"], cols["text"], strict=True):
                 words = word_numbers(text or "")
                 if len(words) < n:
                     continue
@@ -141,21 +141,21 @@ def _aligned(docs: DataFrame, items: list[tuple[int, int, str]], threshold: floa
                     part = words[start : high + n + 2 * len(item)]
                     score, end = best_alignment(item, part) if can_leak(item, part, threshold) else (-1.0, 0)
                     if score >= threshold:
-                        for name, value in zip(out, (i, check, *names[k], score, start + end), strict=True):
+                        for name, value in zip(out, (i, k1, k2, *names[k], score, start + end), strict=True):
                             out[name].append(value)
             return out
 
         return work
 
-    return map_texts(docs, "id bigint, check int, item bigint, item_id bigint, score double, last_word int", make)
+    return map_texts(docs, "id bigint, k1 bigint, k2 bigint, item bigint, item_id bigint, score double, last_word int", make)
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(1 << 63))).alias("id"), F.hash("text").alias("check"), "text")
+    return docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(1 << 63))).alias("id"), *row_key(F.col("doc_id"), F.col("text")), "text")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, n: int = GRAM, table_grams: int = TABLE_GRAMS) -> DataFrame:
-    """id and check of a document row, item_id, score and last_word (the place of the alignment's end) of each leak."""
+    """id and row key (k1, k2) of a document row, item_id, score and last_word (the place of the alignment's end) of each leak."""
     spark = docs.sparkSession
     items = stored(benchmark.select(F.col("item_id").cast("bigint"), F.coalesce("text", F.lit("")).alias("text")).distinct().withColumn("item", F.xxhash64("item_id", "text")))
     total = items.agg(F.sum(F.size(F.split("text", r"\s+")))).first()[0] or 0
@@ -166,7 +166,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, n
             part = _aligned(_keyed(docs), some, threshold, n)
             found = part if found is None else found.union(part)
     if found is None:
-        return spark.createDataFrame([], "id bigint, check int, item_id bigint, score double, last_word int")
+        return spark.createDataFrame([], "id bigint, k1 bigint, k2 bigint, item_id bigint, score double, last_word int")
     return found.distinct().drop("item")
 
 
@@ -178,6 +178,6 @@ def leaked_items(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
 def without_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that no item leaked into, with all their columns."""
     names = [f"c{i}" for i in range(len(docs.columns))]
-    gone = stored(leaks(docs, benchmark, threshold).select("id", "check").distinct())
-    plain = docs.select(*[F.col(f"`{c}`").alias(m) for c, m in zip(docs.columns, names, strict=True)], F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(1 << 63))).alias("id"), F.hash("text").alias("check"))
-    return plain.join(gone, ["id", "check"], "left_anti").select(*names).toDF(*docs.columns)
+    gone = stored(leaks(docs, benchmark, threshold).select("k1", "k2").distinct())
+    plain = docs.select(*[F.col(f"`{c}`").alias(m) for c, m in zip(docs.columns, names, strict=True)], *row_key(F.col("doc_id"), F.col("text")))
+    return plain.join(gone, ["k1", "k2"], "left_anti").select(*names).toDF(*docs.columns)
