@@ -6,7 +6,7 @@ The others have no SQL form (trained scores, public tokenizers, alignments, auto
 from __future__ import annotations
 
 import corpus_pipeline
-from tickloom.llm import bag_minhash, bpe_automaton, decontamination, fertility, gated_toxicity, license_templates, longest_match, pairwise_quality, suffix_repeats, token_blocks
+from tickloom.llm import bag_minhash, bpe_automaton, decontamination, fertility, gated_toxicity, license_templates, longest_match, pairwise_quality, piece_spans, suffix_repeats, token_blocks
 from tickloom.llm.common import documents
 
 
@@ -50,12 +50,16 @@ def op10_longest_match(spark, sf_dir):
     return longest_match.count_tokens(documents(spark, sf_dir))
 
 
+def op11_piece_spans(spark, sf_dir):
+    return piece_spans.piece_digests(documents(spark, sf_dir))
+
+
 def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
 
 
 OPERATORS = (
-    op1_gated_toxicity, op2_fertility, op3_pairwise_quality, op4_bag_minhash, op5_token_blocks, op6_suffix_repeats, op7_license_templates, op8_bpe_automaton, op9_decontamination, op10_longest_match, pipeline,
+    op1_gated_toxicity, op2_fertility, op3_pairwise_quality, op4_bag_minhash, op5_token_blocks, op6_suffix_repeats, op7_license_templates, op8_bpe_automaton, op9_decontamination, op10_longest_match, op11_piece_spans, pipeline,
 )
 QUERIES = {f.__name__: f for f in OPERATORS}
 
