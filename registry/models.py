@@ -13,10 +13,12 @@ from registry.features import TP, without_bar
 from registry.sql import HOURLY, cumulative, div, lag, pick, recur, rnd, roll, with_
 from tickloom.operators import split
 from tickloom.operators.metrics import regression
+from tickloom.operators.series import epoch_seconds
 from tickloom.plans import features, models, selection
 from tickloom.session import cut_lineage, shared_folder
 from tickloom.sources.tables import bars, table
-from tickloom.streaming.bars import read_latest, replay_bars, stream_ema, upsert_latest
+from tickloom.streaming.bars import replay_bars, stream_ema
+from tickloom.streaming.upsert import read_latest, upsert_latest
 
 QUERIES = {}
 SQL = {}
@@ -370,12 +372,28 @@ def stream_bars(spark, d):
     return out.drop("timeframe")
 
 
-def event_stream(spark, d) -> DataFrame:
-    return spark.readStream.schema(table(spark, d, "events").schema).parquet(f"{d}/events.parquet*")
+def event_batches(spark, d, columns: str, repeated: bool = False) -> DataFrame:
+    """All events as a stream of files of eight days, in which an event comes up to a day after its time.
 
-
-def run_through(started) -> None:
-    started.trigger(availableNow=True).start().awaitTermination()
+    Rows named "end", far ahead, come last and let the watermark pass all others. With ``repeated`` every eleventh event comes twice.
+    """
+    folder = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    events = table(spark, d, "events")
+    jitter = F.pmod(F.xxhash64("event_id"), F.lit(86400))
+    rows = cut_lineage(events.withColumn("_b", F.floor((epoch_seconds("ts") + jitter) / (8 * 86400))).selectExpr("event_id", "_b", *columns.split(", ")))
+    if repeated:
+        rows = rows.unionAll(rows.filter("event_id % 11 = 0"))
+    end = events.agg(F.expr("max(ts) + INTERVAL '100' DAY").alias("ts"), F.lit("end").alias("event_type"), F.lit(0.0).alias("value")).selectExpr(*columns.split(", "))
+    for b in sorted(r["_b"] for r in rows.select("_b").distinct().collect()):
+        rows.filter(F.col("_b") == b).drop("_b", "event_id").write.mode("append").parquet(folder)
+    end.write.mode("append").parquet(folder)
+    return spark.readStream.schema(end.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
+def run_through(started):
+    run = started.trigger(availableNow=True).start()
+    run.awaitTermination()
+    return run
 
 
 @query(
@@ -383,11 +401,11 @@ def run_through(started) -> None:
     + f"SELECT symbol, ts, {rnd('close')} AS close, 0.0::DOUBLE AS volume FROM bars_1h"
 )
 def stream_upsert(spark, d):
-    """Events as price snapshots; per series and hour the newest one stays."""
-    events, folder = event_stream(spark, d), f"{shared_folder(spark)}/{uuid.uuid4().hex}"
-    snapshots = events.select(F.col("event_type").alias("symbol"), F.lit("events").alias("source"), "ts", F.col("value").alias("last_price"))
-    run_through(upsert_latest(snapshots, "1h", f"{folder}/table", f"{folder}/state"))
-    return read_latest(spark, f"{folder}/table").select("symbol", "ts", "close", "volume")
+    """Events as price snapshots in several batches, late and some repeated; per series and hour the newest one stays."""
+    folder = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    snapshots = event_batches(spark, d, "event_type AS symbol, ts, value AS last_price", repeated=True)
+    run_through(upsert_latest(snapshots, "1h", f"{folder}/table", f"{folder}/state", late="20 days"))
+    return read_latest(spark, f"{folder}/table").filter("symbol <> 'end'").select("symbol", "ts", "close", "volume")
 
 
 @query(
@@ -396,10 +414,9 @@ def stream_upsert(spark, d):
     + " FROM e"
 )
 def stream_average(spark, d):
-    """A running average of each event type, from state carried between batches."""
+    """A running average of each event type over rows that come out of order in several batches."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     folder = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
-    rows = event_stream(spark, d).select(F.col("event_type").alias("symbol"), "ts", F.col("value").alias("close"))
-    out = stream_ema(rows, {"ema_9": 9})
+    out = stream_ema(event_batches(spark, d, "event_type AS symbol, ts, value AS close"), {"ema_9": 9}, late="20 days")
     run_through(out.writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/state").outputMode("append"))
-    return spark.read.schema(out.schema).parquet(f"{folder}/rows").select("symbol", "ts", "ema_9")
+    return spark.read.schema(out.schema).parquet(f"{folder}/rows").filter("symbol <> 'end'").select("symbol", "ts", "ema_9")

@@ -6,6 +6,7 @@ from conftest import ordered
 
 from tickloom.operators.resample import ticks_to_bars
 from tickloom.streaming import bars as live
+from tickloom.streaming import upsert
 
 TICKS = "symbol string, ts timestamp, price double, size double"
 
@@ -46,28 +47,96 @@ def test_late_ticks_are_dropped(spark, tmp_path):
     assert (first["high"], first["volume"]) == (1.0, 1.0)
 
 
-def test_snapshots_upsert_and_repeat(spark, tmp_path):
+SNAPSHOTS = "symbol string, source string, ts timestamp_ntz, last_price double, bid double, ask double, volume_24h double"
+
+
+def snapshot(minute, price, symbol="A"):
+    return (symbol, "x", dt.datetime(2024, 1, 1) + dt.timedelta(minutes=minute), price, 0.0, 0.0, 0.0)
+
+
+def stream_of(spark, path, schema, batches):
+    write_files(spark, path, schema, batches)
+    return spark.readStream.schema(spark.read.parquet(str(path)).schema).option("maxFilesPerTrigger", 1).parquet(str(path))
+
+
+def run_upsert(source, path, late="10 minutes", most=8):
+    query = upsert.upsert_latest(source, "1h", str(path / "out"), str(path / "cp"), late, most).trigger(availableNow=True).start()
+    query.awaitTermination(300)
+
+
+def test_snapshots_upsert_late_and_repeated(spark, tmp_path):
+    batches = [[snapshot(1, 1.0), snapshot(59, 5.0)], [snapshot(30, 3.0), snapshot(59, 5.0)], [snapshot(61, 7.0)], [snapshot(58, 9.0)], [snapshot(61, 6.0)], [snapshot(500, 8.0)], [snapshot(501, 8.0)], [snapshot(59, 99.0)]]
+    run_upsert(stream_of(spark, tmp_path / "in", SNAPSHOTS, batches), tmp_path)
+    got = ordered(upsert.read_latest(spark, str(tmp_path / "out")), "ts", "open", "close", "volume")
+    assert got["close"].tolist() == [5.0, 7.0, 8.0] and (got["volume"] == 0).all() and (got["open"] == got["close"]).all()
+
+
+def files_in(path):
+    return [p for p in (path / "out").rglob("*.parquet")]
+
+
+def test_files_follow_the_open_bars_not_the_batches(spark, tmp_path):
+    symbols = ["A", "B", "C"]
+    batches = [[snapshot(20 * i + j, float(i + j), s) for j, s in enumerate(symbols)] + [snapshot(20 * i - 15, -1.0, "A")] for i in range(15)]
+    want = {}
+    for _, _, ts, price, *_ in sorted((r for b in batches for r in b), key=lambda r: (r[2], r[3])):
+        want[ts.replace(minute=0)] = want.get(ts.replace(minute=0), {})
+    for s, _, ts, price, *_ in sorted((r for b in batches for r in b), key=lambda r: (r[2], r[3])):
+        want[ts.replace(minute=0)][s] = price
+    counts, source = [], tmp_path / "in"
+    for part in (batches[:8], batches[8:]):
+        run_upsert(stream_of(spark, source, SNAPSHOTS, part), tmp_path, "30 minutes", most=2)
+        counts.append(len(files_in(tmp_path)))
+    got = upsert.read_latest(spark, str(tmp_path / "out")).collect()
+    assert sorted((r.ts, r.symbol, r.close) for r in got) == sorted((t, s, p) for t, v in want.items() for s, p in v.items())
+    # The day has two folders at most, the open bars one, and as many may wait to be deleted; each has one file.
+    assert max(counts) <= 2 * (2 + 1) + 1
+    store = upsert.BarStore(spark, str(tmp_path / "out"))
+    assert len(store.manifests()) <= 2 and store.read(store.manifest()["open"]).count() <= 6
+
+
+def test_a_repeated_batch_changes_nothing(spark, tmp_path):
+    path = str(tmp_path / "t")
+    rows = lambda *r: spark.createDataFrame([("A", "1h", dt.datetime(2024, 1, 1, h), dt.datetime(2024, 1, 1, h, m), p, p, p, p, 0.0) for h, m, p in r], upsert.SCHEMA)
+    upsert.merge_batch(rows((1, 5, 1.0), (2, 5, 2.0)), 0, path, "1h", 0)
+    upsert.merge_batch(rows((2, 9, 3.0), (7, 0, 4.0)), 1, path, "1h", 0)
+    before = sorted(map(tuple, upsert.read_latest(spark, path).collect()))
+    store = upsert.BarStore(spark, path)
+    upsert.merge_batch(rows((2, 9, 3.0), (7, 0, 4.0)), 1, path, "1h", 0)  # the manifest is there: nothing is done
+    assert sorted(map(tuple, upsert.read_latest(spark, path).collect())) == before
+    store.delete("manifest/000000000001.json")  # the files are there, the switch is not
+    assert upsert.read_latest(spark, path).count() == 2
+    upsert.merge_batch(rows((2, 9, 3.0), (7, 0, 4.0)), 1, path, "1h", 0)
+    assert sorted(map(tuple, upsert.read_latest(spark, path).collect())) == before and [r[-2] for r in before] == [1.0, 3.0, 4.0]
+    assert upsert.read_latest(spark, str(tmp_path / "none")).count() == 0
+
+
+def run_ema(spark, tmp_path, batches, late):
+    source = stream_of(spark, tmp_path / "in", "symbol string, ts timestamp, close double", batches)
+    query = live.stream_ema(source, {"ema_5": 5, "ema_2": 2}, late).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).outputMode("append").trigger(availableNow=True).start()
+    query.awaitTermination(300)
+    return spark.read.parquet(str(tmp_path / "out")), query
+
+
+def test_stream_ema_orders_what_comes_within_the_watermark(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(live.EmaState, "PIECE", 7)
     t0 = dt.datetime(2024, 1, 1)
-    schema = "symbol string, source string, ts timestamp_ntz, last_price double, bid double, ask double, volume_24h double"
-    rows = lambda m, p: [("A", "x", t0 + dt.timedelta(minutes=m), p, 0.0, 0.0, 0.0)]
-    for r in (rows(1, 1.0) + rows(59, 5.0), rows(30, 3.0), rows(61, 7.0)):
-        spark.createDataFrame(r, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    source = spark.readStream.schema(spark.read.parquet(str(tmp_path / "in")).schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    query = live.upsert_latest(source, "1h", str(tmp_path / "out"), str(tmp_path / "cp")).trigger(availableNow=True).start()
-    query.awaitTermination(120)
-    got = ordered(live.read_latest(spark, str(tmp_path / "out")), "close", "volume")
-    assert got["close"].tolist() == [5.0, 7.0] and (got["volume"] == 0).all()
+    rows = [(s, t0 + dt.timedelta(hours=i), float((i * 7 + k) % 13)) for i in range(60) for k, s in enumerate("AB")]
+    shuffled = sorted(rows, key=lambda r: (r[1] + dt.timedelta(hours=hash((r[1].hour * 7 + r[1].day) % 5)), r[0]))
+    batches = [shuffled[i : i + 17] for i in range(0, len(shuffled), 17)] + [[("A", t0 + dt.timedelta(days=90), 1.0)]]
+    got, query = run_ema(spark, tmp_path, batches, "12 hours")
+    for k, s in enumerate("AB"):
+        mine = got.filter(f"symbol = '{s}'").orderBy("ts").toPandas()
+        closes = pd.Series([r[2] for r in rows if r[0] == s])
+        assert len(mine) == 60
+        for span in (5, 2):
+            assert mine[f"ema_{span}"].tolist() == pytest.approx(closes.ewm(span=span, adjust=False).mean().tolist())
+    assert live.late_rows(query) == 0
 
 
-def test_stream_ema_continues_over_batches(spark, tmp_path):
+def test_stream_ema_counts_late_rows_and_does_not_use_them(spark, tmp_path):
     t0 = dt.datetime(2024, 1, 1)
-    closes = [float((i * 7) % 13) for i in range(30)]
-    rows = [("A", t0 + dt.timedelta(hours=i), c) for i, c in enumerate(closes)]
-    for part in (rows[:10], rows[10:15], rows[15:]):
-        spark.createDataFrame(part, "symbol string, ts timestamp, close double").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-        source = spark.readStream.schema(spark.read.parquet(str(tmp_path / "in")).schema).parquet(str(tmp_path / "in"))
-        query = live.stream_ema(source, {"ema_5": 5}).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).outputMode("append").trigger(availableNow=True).start()
-        query.awaitTermination(180)
-    got = ordered(spark.read.parquet(str(tmp_path / "out")), "ema_5")["ema_5"]
-    want = pd.Series(closes).ewm(span=5, adjust=False).mean()
-    assert got.tolist() == pytest.approx(want.tolist())
+    row = lambda h, c: ("A", t0 + dt.timedelta(hours=h), c)
+    got, query = run_ema(spark, tmp_path, [[row(0, 1.0), row(2, 3.0)], [row(20, 5.0)], [row(20.5, 6.0)], [row(1, 100.0), row(21, 7.0)], [row(500, 0.0)]], "1 hour")
+    assert got.orderBy("ts").toPandas()["close"].tolist() == [1.0, 3.0, 5.0, 6.0, 7.0]
+    assert live.late_rows(query) == 1

@@ -1,4 +1,4 @@
-"""Bars, last prices and exponential averages over unbounded input."""
+"""Bars and exponential averages over unbounded input."""
 
 from __future__ import annotations
 
@@ -11,8 +11,6 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from pyspark.sql.types import StructType
 
 from tickloom.config import TS, timeframe_seconds
-from tickloom.operators.clean import append_sources
-from tickloom.operators.resample import floor_ts
 
 
 def read_ticks(spark: SparkSession, path: str, schema: StructType, files_per_batch: int = 100) -> DataFrame:
@@ -59,67 +57,79 @@ def replay_bars(ticks: DataFrame, timeframe: str, path: str, late: str = "10 min
     return ticks.sparkSession.read.schema(out.schema).parquet(f"{path}/bars")
 
 
-def snapshot_bars(snapshots: DataFrame, timeframe: str) -> DataFrame:
-    """Ticker snapshots as flat bars on the bar grid: every price the last one, no volume."""
-    last = F.col("last_price")
-    return snapshots.select(
-        "symbol", F.lit(timeframe).alias("timeframe"), floor_ts(TS, timeframe_seconds(timeframe)).alias(TS), F.col(TS).alias("seen"),
-        last.alias("open"), last.alias("high"), last.alias("low"), last.alias("close"), F.lit(0.0).alias("volume"),
-    )
-
-
-def upsert_latest(snapshots: DataFrame, timeframe: str, path: str, checkpoint: str):
-    """Keep, per series and bar, the newest snapshot in a bar table.
-
-    Each batch is written under its own number, so repeating a batch after a failure overwrites the
-    same files; readers take the newest row with ``read_latest``.
-    """
-
-    def write(batch: DataFrame, number: int) -> None:
-        newest = append_sources([snapshot_bars(batch, timeframe)], "last", within=["seen", "close"])
-        newest.write.mode("overwrite").parquet(f"{path}/batch={number}")
-
-    return snapshots.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
-
-
-def read_latest(spark: SparkSession, path: str) -> DataFrame:
-    table = spark.read.parquet(path)
-    return append_sources([table], "last", within=["seen", "batch"]).drop("batch", "seen")
-
-
 class EmaState(StatefulProcessor):
-    """Exponential averages of one series, carried from batch to batch.
+    """Exponential averages of one series, from rows that may arrive in any order within the watermark.
 
-    State is the last value per average. Rows must arrive in time order per series across batches;
-    inside a batch they are sorted.
+    Rows wait in a list until the watermark passes their time; a timer then releases them in order, in pieces of ``PIECE``
+    rows, each folded into the last values. The list holds what arrived within the lateness, not the history.
     """
 
+    PIECE = 10_000
+
     def __init__(self, alphas: dict[str, float]):
         self.alphas = alphas
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        fields = ", ".join(f"{n} double" for n in self.alphas)
-        self.last = handle.getValueState("last", fields)
+        self.handle = handle
+        self.last = handle.getValueState("last", ", ".join(f"{n} double" for n in self.alphas))
+        self.waiting = handle.getListState("waiting", "us long, close double")
+
+    def _wake(self, us: int) -> None:
+        self.handle.registerTimer(us // 1000 + 1)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(rows)).sort_values(TS)
-        state = dict(zip(self.alphas, self.last.get())) if self.last.exists() else {}
-        out = {"symbol": [key[0]] * len(pdf), TS: pdf[TS].to_numpy(), "close": pdf["close"].to_numpy()}
-        for name, alpha in self.alphas.items():
-            known = state.get(name)
-            series = pd.Series(([] if known is None else [known]) + pdf["close"].tolist())
-            smoothed = series.ewm(alpha=alpha, adjust=False).mean().tolist()
-            out[name] = smoothed if known is None else smoothed[1:]
-            state[name] = smoothed[-1]
-        self.last.update(tuple(state[n] for n in self.alphas))
-        yield pd.DataFrame(out)
+        first = None
+        for pdf in rows:
+            if len(pdf):
+                self.waiting.appendList(list(zip(pdf["us"].tolist(), pdf["close"].tolist())))
+                first = min(int(pdf["us"].min()), first if first is not None else int(pdf["us"].min()))
+        if first is not None:
+            self._wake(first)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        mark = timerValues.getCurrentWatermarkInMs() * 1000
+        ready, later = [], []
+        for us, close in self.waiting.get() if self.waiting.exists() else ():
+            (ready if us < mark else later).append((us, close))
+        if not ready:
+            return
+        ready.sort()
+        if later:
+            self.waiting.put(later)
+            self._wake(min(later)[0])
+        else:
+            self.waiting.clear()
+        values = list(self.last.get()) if self.last.exists() else None
+        for at in range(0, len(ready), self.PIECE):
+            piece = pd.DataFrame(ready[at : at + self.PIECE], columns=["us", "close"])
+            out = {"symbol": [key[0]] * len(piece), "us": piece["us"], "close": piece["close"]}
+            for i, (name, alpha) in enumerate(self.alphas.items()):
+                before = [] if values is None else [values[i]]
+                out[name] = pd.Series(before + piece["close"].tolist()).ewm(alpha=alpha, adjust=False).mean().tolist()[len(before) :]
+            values = [out[n][-1] for n in self.alphas]
+            yield pd.DataFrame(out)
+        self.last.update(tuple(values))
 
     def close(self) -> None:
         pass
 
 
-def stream_ema(bars: DataFrame, spans: dict[str, int]) -> DataFrame:
-    """Running averages of ``symbol, ts, close`` rows, one output row per input row."""
+def stream_ema(bars: DataFrame, spans: dict[str, int], late: str = "10 minutes") -> DataFrame:
+    """Running averages of ``symbol, ts, close`` rows in order of time (then close), one output row per row once the watermark has passed it.
+
+    Rows that come later than ``late`` are dropped; ``late_rows`` counts them. Rows without a close take no part.
+    """
     alphas = {n: 2.0 / (s + 1) for n, s in spans.items()}
-    schema = f"symbol string, {TS} {bars.schema[TS].dataType.simpleString()}, close double, " + ", ".join(f"{n} double" for n in alphas)
-    return bars.select("symbol", TS, "close").groupBy("symbol").transformWithStateInPandas(EmaState(alphas), schema, "Append", "None")
+    plain = bars.schema[TS].dataType.typeName() == "timestamp_ntz"
+    rows = (bars.withColumn(TS, instant(TS)) if plain else bars).filter("close IS NOT NULL").withWatermark(TS, late)
+    rows = rows.select("symbol", TS, F.unix_micros(TS).alias("us"), "close")
+    schema = "symbol string, us long, close double, " + ", ".join(f"{n} double" for n in alphas)
+    out = rows.groupBy("symbol").transformWithStateInPandas(EmaState(alphas), schema, "Append", "EventTime")
+    ts = F.timestamp_micros("us")
+    return out.withColumn(TS, ts).select("symbol", (wall_clock(TS) if plain else F.col(TS)).alias(TS), "close", *alphas)
+
+
+def late_rows(query) -> int:
+    """Rows that a query has dropped because they came after the watermark, over the batches whose progress it still holds."""
+    return sum(op["numRowsDroppedByWatermark"] for p in query.recentProgress for op in p["stateOperators"])
