@@ -52,6 +52,30 @@ def test_least_squares_and_save(spark, planted, tmp_path):
     assert models.predict(again, planted).agg(F.sum("prediction")).first() == models.predict(model, planted).agg(F.sum("prediction")).first()
 
 
+def clustered(n, seed=5):
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(scale=50.0, size=(12, 3))
+    x = centres[rng.integers(0, 12, n)] + rng.normal(size=(n, 3))
+    x[: n // 3] = x[0]  # a third of all rows are one point
+    return x, rng.integers(0, 3, n).astype(float)
+
+
+@pytest.mark.parametrize("pivots", [1, 16, 1024])
+def test_neighbours_visit_few_blocks_of_clustered_rows(spark, pivots):
+    x, y = clustered(400)
+    df = spark.createDataFrame([(f"r{i:04d}", *map(float, x[i]), float(y[i])) for i in range(400)], "id string, a double, b double, c double, y double")
+    odd = spark.createDataFrame([("none", None, 1.0, 1.0, 1.0), ("nan", float("nan"), 1.0, 1.0, 1.0), ("far", 1e6, 0.0, 0.0, None)], df.schema)
+    got = models.nearest(df.unionByName(odd), df.unionByName(odd), list("abc"), "y", "id", 4, block_rows=30, pivots=pivots).toPandas().set_index("id")
+    assert len(got) == 401 and "far" in got.index
+    for i in range(400):
+        d = np.sqrt(((x - x[i]) ** 2).sum(1))
+        want = np.argsort(d, kind="stable")[:4]
+        assert [(r["near"], r["label"]) for r in got.loc[f"r{i:04d}", "neighbours"]] == [(f"r{j:04d}", y[j]) for j in want]
+    if pivots > 1:
+        assert got["visited"].sum() < 0.5 * got["blocks"].sum()
+    assert models.nearest(df.limit(0), df, list("abc"), "y", "id", 4).count() == 0
+
+
 def test_neighbours_over_several_blocks(spark):
     rng = np.random.default_rng(2)
     x, y = rng.normal(size=(300, 4)), rng.integers(0, 3, 300).astype(float)

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from tickloom.config import TS
 from tickloom.operators.labels import lags
 from tickloom.operators.metrics import regression
+from tickloom.operators.neighbours import nearest
 from tickloom.session import cut_lineage
 
 ESTIMATORS = {
@@ -141,46 +142,6 @@ def autoregression(df: DataFrame, column: str, order: int, by: Sequence[str] = (
 
 
 # --- nearest neighbours --------------------------------------------------------------------------
-def nearest(train: DataFrame, query: DataFrame, cols: Sequence[str], label: str, key: str, k: int = 5, block_rows: int = 20_000) -> DataFrame:
-    """(key, neighbours): the ``k`` nearest training rows of each query row, exactly.
-
-    Both sides are cut into hash blocks of about ``block_rows``. A task compares one query block
-    with one training block and returns ``k`` candidates per query row, so its memory is fixed
-    whatever the sizes; candidates of all blocks then merge. A vector column may be given as the
-    only column.
-    """
-    vector = len(cols) == 1 and train.schema[cols[0]].dataType.typeName() == "array"
-    point = F.col(cols[0]).cast("array<double>") if vector else F.array(*[F.col(c).cast("double") for c in cols])
-    t_blocks = max(1, -(-train.count() // block_rows))
-    q_blocks = max(1, -(-query.count() // block_rows))
-    t = train.select(F.col(key).alias("_id"), F.col(label).cast("double").alias("_label"), point.alias("_x")).filter("_label IS NOT NULL")
-    t = t.withColumn("_t", F.pmod(F.xxhash64("_id"), F.lit(t_blocks)).cast("int")).withColumn("_q", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
-    q = query.select(F.col(key).alias("_id"), point.alias("_x"))
-    q = q.withColumn("_q", F.pmod(F.xxhash64("_id"), F.lit(q_blocks)).cast("int")).withColumn("_t", F.explode(F.sequence(F.lit(0), F.lit(t_blocks - 1))))
-
-    def match(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return pd.DataFrame({"_id": [], "dist": [], "near": [], "_label": []})
-        right = right.sort_values("_id")
-        a, b = np.stack(left["_x"].to_numpy()), np.stack(right["_x"].to_numpy())
-        ids, labels, take, out = right["_id"].to_numpy(), right["_label"].to_numpy(), min(k, len(b)), []
-        a, b = a - b.mean(0), b - b.mean(0)
-        aa, bb = (a * a).sum(1), (b * b).sum(1)
-        for s in range(len(a)):
-            about = aa[s] + bb - 2.0 * (b @ a[s])  # only tells which rows are worth an exact distance
-            slack = 1e-12 * (aa[s] + bb.max())
-            close = np.flatnonzero(about <= np.partition(about, take - 1)[take - 1] + 2 * slack)
-            exact = np.sqrt(((b[close] - a[s]) ** 2).sum(1))
-            best = np.argsort(exact, kind="stable")[:take]  # rows are in order of id, which decides ties
-            out.append(pd.DataFrame({"_id": [left["_id"].iloc[s]] * take, "dist": exact[best], "near": ids[close][best], "_label": labels[close][best]}))
-        return pd.concat(out)
-
-    kind = train.schema[key].dataType.simpleString()
-    found = q.groupBy("_q", "_t").cogroup(t.groupBy("_q", "_t")).applyInPandas(match, f"_id {kind}, dist double, near {kind}, _label double")
-    merged = found.groupBy(F.col("_id").alias(key)).agg(F.slice(F.array_sort(F.collect_list(F.struct("dist", "near", F.col("_label").alias("label")))), 1, k).alias("neighbours"))
-    return merged
-
-
 def knn(train: DataFrame, query: DataFrame, cols: Sequence[str], label: str, key: str, k: int = 5, classify: bool = False) -> DataFrame:
     """Mean label of the nearest rows, or their most common label (the smallest on ties)."""
     near = nearest(train, query, cols, label, key, k)
