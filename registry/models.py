@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from registry import fits
 from registry.analysis import MATRIX, X, matrix, predictions
 from registry.common import rounded
 from registry.features import TP, without_bar
@@ -178,21 +179,6 @@ def model_importance(spark, d):
 
 
 # --- validation, stacking, search --------------------------------------------------------------
-@query()
-def cross_validation(spark, d):
-    return models.cross_validate(split.time_folds(matrix(spark, d), 3, gap=5), X, "y", "linear")
-
-
-@query()
-def shuffled_cross_validation(spark, d):
-    return models.cross_validate(models.roles_from_fold(split.hashed_folds(matrix(spark, d), 3), 3), X, "y", "linear")
-
-
-@query()
-def walk_forward(spark, d):
-    return models.cross_validate(split.walk_forward(matrix(spark, d), steps=3), X, "y", "ridge", regParam=0.1)
-
-
 # One column has closed forms: the fit of each fold is its slope and intercept on the training rows.
 RANKED = "po AS (SELECT *, row_number() OVER (ORDER BY ts, symbol) - 1 AS i, count(*) OVER () AS n FROM m)"
 
@@ -206,12 +192,36 @@ def fold_metrics(roles: str, model: str) -> str:
 
 TIME_ROLES = """fo AS (SELECT * FROM (SELECT *, CASE WHEN i >= start AND i < start + size THEN 'test' WHEN i < start - 5 THEN 'train' END AS role
   FROM (SELECT *, n // 4 AS size, n - (n // 4) * (3 - k) AS start FROM po, (SELECT unnest(range(0, 3)) AS k))) WHERE role IS NOT NULL)"""
+TWO_FOLDS = TIME_ROLES.replace("start - 5", "start").replace("n // 4", "n // 3").replace("(3 - k)", "(2 - k)").replace("range(0, 3)", "range(0, 2)")
 WALK_ROLES = """fo AS (SELECT * FROM (SELECT *, CASE WHEN i < start THEN 'train' WHEN i < start + size THEN 'test' END AS role
   FROM (SELECT *, greatest((n - n // 2) // 3, 1) AS size, n // 2 + greatest((n - n // 2) // 3, 1) * k AS start FROM po, (SELECT unnest(range(0, 3)) AS k))) WHERE role IS NOT NULL)"""
 HASH_ROLES = """fo AS (SELECT *, CASE WHEN CAST('0x' || substr(md5(concat_ws('|', symbol, CAST(ts AS VARCHAR), '42')), 1, 8) AS BIGINT) % 3 = k THEN 'test' ELSE 'train' END AS role
   FROM po, (SELECT unnest(range(0, 3)) AS k))"""
 
 
+def folded_sql(roles: str, chosen: str, *more: str) -> str:
+    """WITH of the feature matrix, the roles of its rows in each fold, candidates, their fits and predictions."""
+    return with_(*MATRIX, RANKED, roles, chosen, *fits.fits(), fits.tested(), *more)
+
+
+PLAIN = fits.candidates([(0, 0.0, fits.ALL)])
+
+
+@query(folded_sql(TIME_ROLES, PLAIN) + fits.metric_rows("linear"))
+def cross_validation(spark, d):
+    return models.cross_validate(split.time_segments(matrix(spark, d), 3, gap=5), X, "y", "linear")
+
+
+@query(folded_sql(HASH_ROLES, PLAIN) + fits.metric_rows("linear"))
+def shuffled_cross_validation(spark, d):
+    return models.cross_validate(split.hashed_segments(matrix(spark, d), 3), X, "y", "linear")
+
+
+@query(folded_sql(WALK_ROLES, fits.candidates([(0, 0.1, fits.ALL)])) + fits.metric_rows("ridge"))
+def walk_forward(spark, d):
+    return models.cross_validate(split.walk_segments(matrix(spark, d), steps=3), X, "y", "ridge", regParam=0.1)
+
+
 @query(fold_metrics(TIME_ROLES, "linear"))
 def cross_validation_of_one_column(spark, d):
     return models.cross_validate(split.time_folds(matrix(spark, d), 3, gap=5), ["hl"], "y", "linear")
@@ -291,6 +301,35 @@ def stacking(spark, d):
     return models.predict(model, wide).select("symbol", "ts", "label", "prediction")
 
 
+# Each row is predicted by the fits of the fold that tests it; the second level is fitted on these predictions.
+BASES = {"plain": ("linear", {}), "firm": ("ridge", {"regParam": 1.0})}
+STACKED = (
+    "s1 AS (SELECT symbol, ts, y, max(CASE WHEN c = 0 THEN p END) AS plain, max(CASE WHEN c = 1 THEN p END) AS firm FROM (SELECT symbol, ts, y, c, " + fits.fitted() + " AS p FROM fo JOIN bi USING (k) WHERE role = 'test') GROUP BY symbol, ts, y)",
+    "s2 AS (SELECT *, 0 AS k, 'train' AS role FROM s1)",
+)
+
+
+def stacked_sql(penalty: float) -> str:
+    """The second level's fit is candidate 2, which takes both columns."""
+    chosen = fits.candidates([(0, 0.0, fits.ALL), (1, 1.0, fits.ALL), (2, penalty, 3)])
+    return with_(*MATRIX, RANKED, TWO_FOLDS, chosen, *fits.fits(), *STACKED, *fits.fits("s2", "m", ("plain", "firm", "y")))
+
+
+@query(stacked_sql(0.0) + f"SELECT symbol, ts, {rnd('y')} AS label, {rnd('a + b0 * plain + b1 * firm')} AS prediction FROM s2 JOIN bim USING (k) WHERE c = 2")
+def linear_stacking(spark, d):
+    model, wide = models.stack(split.time_segments(matrix(spark, d), 2), X, "y", BASES)
+    return models.predict(model, wide).select("symbol", "ts", "label", "prediction")
+
+
+@query(
+    stacked_sql(1.0)
+    + f"SELECT 'plain' AS model, {rnd('abs(b0) / (abs(b0) + abs(b1))')} AS weight FROM bim WHERE c = 2 UNION ALL SELECT 'firm', {rnd('abs(b1) / (abs(b0) + abs(b1))')} FROM bim WHERE c = 2"
+)
+def linear_stacking_weights(spark, d):
+    _, wide = models.stack(split.time_segments(matrix(spark, d), 2), X, "y", BASES)
+    return spark.createDataFrame(list(models.stacking_weights(wide, list(BASES)).items()), "model string, weight double")
+
+
 @query()
 def stacking_weights(spark, d):
     _, wide = models.stack(split.time_folds(matrix(spark, d), 3), X, "y", KINDS)
@@ -301,22 +340,47 @@ def result_table(spark, found):
     return spark.createDataFrame([(str(sorted(p.items())), v) for p, v in found], "params string, rmse double")
 
 
-@query()
+def search_sql(found: list[dict], *more: str) -> str:
+    """sc (c, params, lam, mask, rmse) of ridge candidates."""
+    chosen = fits.candidates([(i, c["regParam"], fits.mask_of(c.get("columns", X))) for i, c in enumerate(found)])
+    named = "na AS (SELECT * FROM (VALUES " + ", ".join("({}, '{}')".format(i, str(sorted(c.items())).replace("'", "''")) for i, c in enumerate(found)) + ") v(c, params))"
+    means = "sc AS (SELECT c, params, lam, mask, avg(e) AS rmse FROM (SELECT k, c, sqrt(avg(pow(y - p, 2))) AS e FROM te GROUP BY k, c) JOIN na USING (c) JOIN ca USING (c) GROUP BY ALL)"
+    return folded_sql(TWO_FOLDS, chosen, named, means, *more)
+
+
+PENALTIES, SUBSETS = [0.01, 0.1, 1.0, 10.0], [X, X[:3], X[2:], ["r"], ["hl", "vc"]]
+RIDGE_GRID = models.grid({"regParam": PENALTIES, "columns": SUBSETS})
+DRAWN = models.random_grid({"regParam": [0.003, 0.01, 0.03, 0.1, 0.3, 1.0, 3.0, 10.0], "columns": SUBSETS}, 7)
+
+
+@query(search_sql(RIDGE_GRID) + f"SELECT params, {rnd('rmse')} AS rmse FROM sc")
 def grid_search(spark, d):
-    folded = split.time_folds(matrix(spark, d), 2)
-    return result_table(spark, models.search(folded, X, "y", "elastic_net", models.grid({"regParam": [0.01, 0.1], "elasticNetParam": [0.2, 0.8]})))
+    return result_table(spark, models.search(split.time_segments(matrix(spark, d), 2), X, "y", "ridge", RIDGE_GRID))
 
 
-@query()
+@query(search_sql(DRAWN) + f"SELECT params, {rnd('rmse')} AS rmse FROM sc")
 def random_search(spark, d):
-    folded = split.time_folds(matrix(spark, d), 2)
-    return result_table(spark, models.search(folded, X, "y", "ridge", models.random_grid({"regParam": [0.01, 0.1, 1.0, 10.0]}, 2)))
+    return result_table(spark, models.search(split.time_segments(matrix(spark, d), 2), X, "y", "ridge", DRAWN))
 
 
-@query()
+@query(
+    search_sql(RIDGE_GRID, f"fi AS (SELECT arg_min(lam, rmse) AS lam FROM sc WHERE mask = {fits.ALL})")
+    + f"SELECT arg_min(params, rmse) AS params, {rnd('min(rmse)')} AS rmse FROM sc JOIN fi USING (lam)"
+)
 def staged_search(spark, d):
-    folded = split.time_folds(matrix(spark, d), 2)
-    return result_table(spark, [models.staged_search(folded, X, "y", "elastic_net", [{"regParam": [0.01, 0.1]}, {"elasticNetParam": [0.2, 0.8]}])])
+    """First the penalty on all columns, then the columns with that penalty."""
+    stages = [{"regParam": PENALTIES}, {"columns": SUBSETS}]
+    return result_table(spark, [models.staged_search(split.time_segments(matrix(spark, d), 2), X, "y", "ridge", stages)])
+
+
+@query()
+def elastic_net_search(spark, d):
+    return result_table(spark, models.search(split.time_segments(matrix(spark, d), 2), X, "y", "elastic_net", models.grid({"regParam": [0.01, 0.1], "elasticNetParam": [0.2, 0.8]})))
+
+
+@query()
+def forest_search(spark, d):
+    return result_table(spark, models.search(split.time_segments(matrix(spark, d), 2), X, "y", "forest", models.grid({"maxDepth": [2, 4], "numTrees": [5]})))
 
 
 @query()
@@ -331,15 +395,32 @@ def recursive_elimination(spark, d):
     return selection.recursive_elimination(matrix(spark, d), X, "y", 2, "forest", numTrees=5, maxDepth=3)
 
 
-@query()
+def curve_sql(source: str) -> str:
+    """Mean and spread over the folds of each metric by number of columns; ``source`` has k, features, y and p."""
+    parts = " UNION ALL ".join(f"SELECT features, k, '{m}' AS metric, {e} AS value FROM {source} GROUP BY features, k" for m, e in fits.METRIC_SQL.items())
+    return f"SELECT CAST(features AS INTEGER) AS features, metric, {rnd('avg(value)', 5)} AS mean, {rnd('stddev_pop(value)', 5)} AS std FROM ({parts}) GROUP BY features, metric"
+
+
+@query(folded_sql(TWO_FOLDS, fits.candidates([(k, 0.0, fits.mask_of(X[:k])) for k in (1, 3, 5)]), "fe AS (SELECT c AS features, k, y, p FROM te)") + curve_sql("fe"), digits=5)
 def subset_curve(spark, d):
-    return selection.subset_curve(split.time_folds(matrix(spark, d), 2), X, "y", [1, 3, 5])
+    return selection.subset_curve(split.time_segments(matrix(spark, d), 2), X, "y", [1, 3, 5])
 
 
-@query()
+HALVES = "fo AS (SELECT *, 0 AS k, CASE WHEN i < floor(n * 0.7) THEN 'train' WHEN i < floor(n * 0.85) THEN 'none' ELSE 'test' END AS role FROM po)"
+
+
+@query(
+    folded_sql(HALVES, fits.EVERY_SUBSET, *fits.eliminations()).replace("WITH ", "WITH RECURSIVE ", 1)
+    + f"SELECT count(*) AS rows, {rnd('avg(pow(y - p, 2))')} AS mse, "
+    + ", ".join(f"{rnd(e)} AS {m}" for m, e in fits.METRIC_SQL.items())
+    + ", CAST(3 AS INTEGER) AS features FROM te JOIN pa USING (k, c) WHERE bit_count(c) = 3"
+)
 def retrain_selected(spark, d):
+    """A linear model on the three columns that an elimination on the training rows leaves."""
     train, test = with_split(spark, d)
-    return selection.retrain_selected(train, test, X[:3], "y", "linear")[1]
+    ranks = selection.recursive_elimination(train, X, "y", 3, "linear")
+    chosen = [r["feature"] for r in ranks.filter("rank = 1").collect()]
+    return selection.retrain_selected(train, test, chosen, "y", "linear")[1]
 
 
 @query(
@@ -350,9 +431,12 @@ def evaluate_ignoring_invalid(spark, d):
     return regression(predictions(spark, d).filter("model = 'last'"), by=["symbol"]).select("symbol", "rows", "mae")
 
 
-@query()
+@query(
+    folded_sql(TWO_FOLDS, fits.EVERY_SUBSET, *fits.eliminations(), "fe AS (SELECT bit_count(c) AS features, k, y, p FROM te JOIN pa USING (k, c))").replace("WITH ", "WITH RECURSIVE ", 1) + curve_sql("fe"),
+    digits=5,
+)
 def elimination_curve(spark, d):
-    return selection.elimination_with_folds(split.time_folds(matrix(spark, d), 2), X, "y", "linear")[1]
+    return selection.elimination_with_folds(split.time_segments(matrix(spark, d), 2), X, "y", "linear")[1]
 
 
 # --- streaming ---------------------------------------------------------------------------------

@@ -23,6 +23,8 @@ from tickloom.config import TS
 from tickloom.operators.labels import lags
 from tickloom.operators.metrics import regression
 from tickloom.operators.neighbours import nearest
+from tickloom.operators.split import Folds, as_folds
+from tickloom.plans import gram
 from tickloom.session import cut_lineage
 
 ESTIMATORS = {
@@ -153,54 +155,73 @@ def knn(train: DataFrame, query: DataFrame, cols: Sequence[str], label: str, key
 
 
 # --- validation and search -----------------------------------------------------------------------
-def _fold_frames(folded: DataFrame, fold: int) -> tuple[DataFrame, DataFrame]:
-    part = folded.filter(F.col("fold") == fold)
-    return part.filter("role = 'train'"), part.filter("role = 'test'")
-
-
-def fold_numbers(folded: DataFrame) -> list[int]:
-    return sorted(r["fold"] for r in folded.select("fold").distinct().collect())
-
-
 def roles_from_fold(df: DataFrame, folds: int) -> DataFrame:
     """Test on each fold and train on the others, as rows of (fold, role)."""
     each = df.withColumnRenamed("fold", "_own").withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(folds - 1))))
     return each.withColumn("role", F.when(F.col("fold") == F.col("_own"), "test").otherwise("train")).drop("_own")
 
 
-def cross_validate(folded: DataFrame, cols: Sequence[str], label: str, kind: str = "linear", name: str | None = None, parallelism: int = 4, **params) -> DataFrame:
-    """(model, fold, metric, value) of a fit per fold. ``folded`` comes from a split operator."""
-    folded = cut_lineage(folded)
+def fold_scores(folds: DataFrame | Folds, cols: Sequence[str], label: str, candidates: Sequence[dict], kind: str, parallelism: int = 4) -> dict[tuple[int, int], dict[str, float]]:
+    """All metrics of each (candidate, fold), from rows stored once. A candidate may name its ``columns`` besides the model's parameters.
 
-    def one(fold: int) -> DataFrame:
-        train, test = _fold_frames(folded, fold)
-        scored = predict(fit(train, cols, label, kind, **params), test)
-        m = regression(scored, label, "prediction")
-        long = m.selectExpr("stack(4, 'rmse', rmse, 'mae', mae, 'r2', r2, 'direction_accuracy', direction_accuracy) AS (metric, value)")
-        return long.select(F.lit(name or kind).alias("model"), F.lit(fold).alias("fold"), "metric", "value")
+    Linear kinds are fitted from sums of products and scored together: two passes whatever the number of candidates. Other kinds are fitted on
+    the folds' segments of the same table, several at a time.
+    """
+    folds = as_folds(folds).kept()
+    jobs = [(i, k) for i in range(len(candidates)) for k in folds.roles]
+    if kind in gram.LINEAR and all(set(c) <= {"regParam", "elasticNetParam", "columns"} for c in candidates):
+        sums = gram.Moments(folds, cols, label)
+        fits = {(i, k): (k, _fit_candidate(sums, folds, candidates[i], k, cols, kind)) for i, k in jobs}
+        return gram.score_fits(folds, cols, label, fits)
+
+    def one(job: tuple[int, int]) -> dict[str, float]:
+        params = dict(candidates[job[0]])
+        used = params.pop("columns", cols)
+        scored = predict(fit(folds.train(job[1]), used, label, kind, **params), folds.test(job[1]))
+        found = regression(scored, label, "prediction").first()
+        return {m: float("nan") if found[m] is None else found[m] for m in gram.METRICS}
 
     with ThreadPool(parallelism) as pool:
-        parts = pool.map(one, fold_numbers(folded))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
-def out_of_fold(folded: DataFrame, cols: Sequence[str], label: str, kinds: dict[str, tuple[str, dict]], keep: Sequence[str] = ("symbol", TS)) -> DataFrame:
-    """(keep..., label, model, prediction): each row predicted by models that did not see it."""
-    folded = cut_lineage(folded)
-    out = None
-    for fold in fold_numbers(folded):
-        train, test = _fold_frames(folded, fold)
+        return dict(zip(jobs, pool.map(one, jobs), strict=True))
+
+
+def _fit_candidate(sums: gram.Moments, folds: Folds, candidate: dict, fold: int, cols: Sequence[str], kind: str) -> gram.Fit:
+    params = dict(candidate)
+    used = [list(cols).index(c) for c in params.pop("columns", cols)]
+    return gram.fit_sums(sums.over(folds.roles[fold][0]), used, kind, **params)
+
+
+def cross_validate(folded: DataFrame | Folds, cols: Sequence[str], label: str, kind: str = "linear", name: str | None = None, parallelism: int = 4, **params) -> DataFrame:
+    """(model, fold, metric, value) of a fit per fold. ``folded`` comes from a split operator."""
+    folds = as_folds(folded)
+    scores = fold_scores(folds, cols, label, [params], kind, parallelism)
+    rows = [(name or kind, k, m, None if np.isnan(v[m]) else float(v[m])) for (_, k), v in sorted(scores.items()) for m in gram.METRICS]
+    return folds.rows.sparkSession.createDataFrame(rows, "model string, fold int, metric string, value double")
+
+
+def out_of_fold(folded: DataFrame | Folds, cols: Sequence[str], label: str, kinds: dict[str, tuple[str, dict]], keep: Sequence[str] = ("symbol", TS)) -> DataFrame:
+    """(keep..., columns, label, model, prediction): each row predicted by models that did not see it.
+
+    Linear models of all folds are one small table that the rows are joined with; of others each fold scores its own rows.
+    """
+    folds = as_folds(folded).kept()
+    carried = list(dict.fromkeys([*keep, *cols]))
+    rows = Folds(folds.rows.select("*", F.col(label).alias("_label")), folds.roles, True)
+    linear = {n: v for n, v in kinds.items() if v[0] in gram.LINEAR and set(v[1]) <= {"regParam", "elasticNetParam"}}
+    parts = []
+    if linear:
+        sums = gram.Moments(folds, cols, label)
+        fits = {(n, k): _fit_candidate(sums, folds, params, k, cols, kind) for n, (kind, params) in linear.items() for k in folds.roles}
+        parts.append(gram.predictions(rows, cols, fits, [*carried, "_label"]))
+    for fold in folds.roles:
         for name, (kind, params) in kinds.items():
-            scored = predict(fit(train, cols, label, kind, **params), test)
-            part = scored.select(*keep, *cols, F.col(label).alias("label"), F.lit(name).alias("model"), "prediction")
-            out = part if out is None else out.unionByName(part)
-    return out
+            if name not in linear:
+                scored = predict(fit(folds.train(fold), cols, label, kind, **params), rows.test(fold))
+                parts.append(scored.select(*carried, "_label", F.lit(name).alias("model"), "prediction"))
+    return reduce(DataFrame.unionByName, parts).withColumnRenamed("_label", "label").select(*carried, "label", "model", "prediction")
 
 
-def stack(folded: DataFrame, cols: Sequence[str], label: str, kinds: dict[str, tuple[str, dict]], with_features: bool = False, keep: Sequence[str] = ("symbol", TS), ridge: float = 0.0) -> tuple[PipelineModel, DataFrame]:
+def stack(folded: DataFrame | Folds, cols: Sequence[str], label: str, kinds: dict[str, tuple[str, dict]], with_features: bool = False, keep: Sequence[str] = ("symbol", TS), ridge: float = 0.0) -> tuple[PipelineModel, DataFrame]:
     """Linear model over out-of-fold predictions, and those predictions one column per model."""
     base = out_of_fold(folded, cols, label, kinds, keep)
     wide = cut_lineage(base.groupBy(*keep, "label", *cols).pivot("model", list(kinds)).agg(F.first("prediction")))
@@ -226,22 +247,25 @@ def random_grid(params: dict[str, Sequence], draws: int, seed: int = 42) -> list
     return random.Random(seed).sample(every, min(draws, len(every)))
 
 
-def search(folded: DataFrame, cols: Sequence[str], label: str, kind: str, candidates: Sequence[dict], metric: str = "rmse", parallelism: int = 4) -> list[tuple[dict, float]]:
-    """Candidates with their mean metric over the folds, best first."""
-    folded = cut_lineage(folded)
-    scored = []
-    for params in candidates:
-        table = cross_validate(folded, cols, label, kind, parallelism=parallelism, **params)
-        value = table.filter(F.col("metric") == metric).agg(F.avg("value")).first()[0]
-        scored.append((params, float(value)))
-    return sorted(scored, key=lambda s: s[1], reverse=metric in ("r2", "direction_accuracy"))
+def search(folded: DataFrame | Folds, cols: Sequence[str], label: str, kind: str, candidates: Sequence[dict], metric: str = "rmse", parallelism: int = 4) -> list[tuple[dict, float]]:
+    """Candidates with their mean metric over the folds, best first; the earlier candidate among equals.
 
-
-def staged_search(folded: DataFrame, cols: Sequence[str], label: str, kind: str, stages: Sequence[dict[str, Sequence]], metric: str = "rmse") -> tuple[dict, float]:
-    """Tune one group of parameters after another, keeping the best of each stage."""
-    chosen: dict = {}
-    value = float("nan")
+    Squared errors of linear kinds follow from the sums of products alone, so such a search reads the rows once however large it is.
+    """
+    folds = as_folds(folded).kept()
+    if kind in gram.LINEAR and metric in ("rmse", "r2") and all(set(c) <= {"regParam", "elasticNetParam", "columns"} for c in candidates):
+        sums = gram.Moments(folds, cols, label)
+        tests = {k: sums.over(test) for k, (_, test) in folds.roles.items()}
+        scores = {(i, k): _fit_candidate(sums, folds, c, k, cols, kind).errors(tests[k]) for i, c in enumerate(candidates) for k in folds.roles}
+    else:
+        scores = fold_scores(folds, cols, label, candidates, kind, parallelism)
+    means = [float(np.nanmean([scores[i, k][metric] for k in folds.roles])) for i in range(len(candidates))]
+    return sorted(zip(candidates, means, strict=True), key=lambda s: s[1], reverse=metric in ("r2", "direction_accuracy"))
+
+
+def staged_search(folded: DataFrame | Folds, cols: Sequence[str], label: str, kind: str, stages: Sequence[dict[str, Sequence]], metric: str = "rmse") -> tuple[dict, float]:
+    """Tune one group of parameters after another on one stored table, keeping the best of each stage."""
+    folds, chosen, value = as_folds(folded).kept(), {}, float("nan")
     for stage in stages:
-        (best, value), *_ = search(folded, cols, label, kind, [{**chosen, **c} for c in grid(stage)], metric)
-        chosen = best
+        (chosen, value), *_ = search(folds, cols, label, kind, [{**chosen, **c} for c in grid(stage)], metric)
     return chosen, value

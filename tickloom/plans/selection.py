@@ -4,14 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.config import TS
 from tickloom.operators.metrics import regression
 from tickloom.operators.series import positions
-from tickloom.plans.models import cross_validate, fit, fold_numbers, importance, predict
+from tickloom.operators.split import SEGMENT, Folds, as_folds
+from tickloom.plans import gram
+from tickloom.plans.models import fit, fold_scores, importance, predict
 from tickloom.session import cut_lineage
 
 KEY = ("symbol", TS)
@@ -52,6 +55,11 @@ def recursive_elimination(df: DataFrame, cols: Sequence[str], label: str, keep:
     The score is 1 / rank, the kept columns sharing rank 1.
     """
     rows = cut_lineage(df.select(*cols, label).dropna())
+    if kind in gram.LINEAR and set(params) <= {"regParam", "elasticNetParam"}:
+        whole = Folds(rows.withColumn(SEGMENT, F.lit(0)), {0: ((0,), (0,))}, True)
+        order = gram.eliminated(gram.Moments(whole, cols, label).over([0]), cols, kind, **params)
+        ranked = {c: max(1, i - keep + 2) for i, c in enumerate(order)}
+        return rows.sparkSession.createDataFrame([(c, "elimination", 1.0 / r, r) for c, r in ranked.items()], "feature string, method string, score double, rank int")
     left, dropped = list(cols), []
     while len(left) > keep:
         model = fit(rows, left, label, kind, **params)
@@ -62,39 +70,65 @@ def recursive_elimination(df: DataFrame, cols: Sequence[str], label: str, keep:
     return rows.sparkSession.createDataFrame([(c, "elimination", 1.0 / r, r) for c, r in ranks.items()], "feature string, method string, score double, rank int")
 
 
-def subset_curve(folded: DataFrame, order: Sequence[str], label: str, sizes: Sequence[int], kind: str = "linear", **params) -> DataFrame:
-    """(features, metric, mean, std) of cross-validation on the first k columns of ``order``."""
-    folded = cut_lineage(folded)
-    out = None
-    for k in sizes:
-        part = cross_validate(folded, list(order[:k]), label, kind, **params).groupBy("metric").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"))
-        part = part.select(F.lit(k).alias("features"), "metric", "mean", "std")
-        out = part if out is None else out.unionByName(part)
+def _curve(spark: SparkSession, values: dict[tuple[int, int], dict[str, float]]) -> DataFrame:
+    """(features, metric, mean, std) over the folds, from metrics by (features, fold)."""
+    out = []
+    for k in sorted({k for k, _ in values}):
+        for m in gram.METRICS:
+            own = [v[m] for (size, _), v in sorted(values.items()) if size == k and not np.isnan(v[m])]
+            out.append((k, m, float(np.mean(own)) if own else None, float(np.std(own)) if own else None))
+    return spark.createDataFrame(out, "features int, metric string, mean double, std double")
+
+
+def _nested_scores(folds: Folds, orders: dict[int, Sequence[str]], label: str, sizes: Sequence[int], kind: str, **params) -> dict[tuple[int, int], dict[str, float]]:
+    """Metrics by (features, fold) on the first columns of each fold's own order.
+
+    A linear fit on one column more is one more sweep, so all sizes of all folds take two passes over the rows.
+    """
+    cols = sorted({c for order in orders.values() for c in order})
+    if kind in ("linear", "ridge") and set(params) <= {"regParam"}:
+        sums, fits = gram.Moments(folds, cols, label), {}
+        for fold, order in orders.items():
+            nested = gram.nested_fits(sums.over(folds.roles[fold][0]), [cols.index(c) for c in order], params.get("regParam", 1.0 if kind == "ridge" else 0.0))
+            fits |= {(k, fold): (fold, nested[k - 1]) for k in sizes}
+        return gram.score_fits(folds, cols, label, fits)
+    out = {}
+    for fold, order in orders.items():
+        own = Folds(folds.rows, {fold: folds.roles[fold]}, True)
+        scores = fold_scores(own, list(order), label, [{**params, "columns": list(order[:k])} for k in sizes], kind)
+        out |= {(sizes[i], f): v for (i, f), v in scores.items()}
     return out
 
 
-def elimination_with_folds(folded: DataFrame, cols: Sequence[str], label: str, kind: str = "forest", metric: str = "rmse", **params) -> tuple[list[str], DataFrame]:
+def subset_curve(folded: DataFrame | Folds, order: Sequence[str], label: str, sizes: Sequence[int], kind: str = "linear", **params) -> DataFrame:
+    """(features, metric, mean, std) of cross-validation on the first k columns of ``order``."""
+    folds = as_folds(folded).kept()
+    return _curve(folds.rows.sparkSession, _nested_scores(folds, dict.fromkeys(folds.roles, list(order)), label, list(sizes), kind, **params))
+
+
+def elimination_with_folds(folded: DataFrame | Folds, cols: Sequence[str], label: str, kind: str = "forest", metric: str = "rmse", **params) -> tuple[list[str], DataFrame]:
     """Columns of the best number of features, and the whole curve.
 
     Each fold eliminates on its own training rows, so its test rows have no part in the order they judge. The number
-    with the best mean is then taken from an elimination over all rows of the last fold.
+    with the best mean is then taken from an elimination over all rows of the last fold. Linear kinds eliminate on sums of products.
     """
-    folded, curve = cut_lineage(folded), None
-
-    def order_on(rows: DataFrame) -> list[str]:
-        ranks = {r["feature"]: r["rank"] for r in recursive_elimination(rows, cols, label, 1, kind, **params).collect()}
-        return sorted(cols, key=lambda c: (ranks[c], c))
-
-    numbers = fold_numbers(folded)
-    for fold in numbers:
-        own = folded.filter(F.col("fold") == fold)
-        part = subset_curve(own, order_on(own.filter("role = 'train'")), label, range(1, len(cols) + 1), kind, **params)
-        curve = part if curve is None else curve.unionByName(part)
-    curve = cut_lineage(curve.groupBy("features", "metric").agg(F.avg("mean").alias("_m"), F.stddev_pop("mean").alias("std")).withColumnRenamed("_m", "mean").select("features", "metric", "mean", "std"))
-    points = curve.filter(F.col("metric") == metric)
+    folds, cols = as_folds(folded).kept(), list(cols)
+    last = max(folds.roles)
+    whole = (*folds.roles[last][0], *folds.roles[last][1])
+    if kind in gram.LINEAR and set(params) <= {"regParam", "elasticNetParam"}:
+        sums = gram.Moments(folds, cols, label)
+        order_on = lambda segments: gram.eliminated(sums.over(segments), cols, kind, **params)
+    else:
+
+        def order_on(segments: Sequence[int]) -> list[str]:
+            ranks = {r["feature"]: r["rank"] for r in recursive_elimination(folds.part(segments), cols, label, 1, kind, **params).collect()}
+            return sorted(cols, key=lambda c: (ranks[c], c))
+
+    orders = {fold: order_on(train) for fold, (train, _) in folds.roles.items()}
+    curve = _curve(folds.rows.sparkSession, _nested_scores(folds, orders, label, range(1, len(cols) + 1), kind, **params))
     ascending = metric not in ("r2", "direction_accuracy")
-    best = points.orderBy(F.col("mean").asc() if ascending else F.col("mean").desc(), "features").first()["features"]
-    return order_on(folded.filter(F.col("fold") == numbers[-1]))[:best], curve
+    best = curve.filter(F.col("metric") == metric).orderBy(F.col("mean").asc() if ascending else F.col("mean").desc(), "features").first()["features"]
+    return order_on(whole)[:best], curve
 
 
 def retrain_selected(train: DataFrame, test: DataFrame, cols: Sequence[str], label: str, kind: str = "gbt", **params) -> tuple[PipelineModel, DataFrame]:
