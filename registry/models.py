@@ -390,6 +390,37 @@ def permutation_importance(spark, d):
     return selection.permutation_importance(model, rows, X, "y", repeats=2)
 
 
+def dealt_sql(seed: int) -> str:
+    """SQL for one step of the bijection of positions x in the base ``w``."""
+    left, right = "x // w", "x % w"
+    for a, b in selection.round_keys(seed):
+        drawn = f"((({right}) * {a} + {b}) % {selection.PRIME})"
+        left, right = right, f"(({left}) + {drawn} * {drawn} % {selection.PRIME}) % w"
+    return f"({left}) * w + {right}"
+
+
+ONE_FOLD = "fo AS (SELECT *, 0 AS k, 'train' AS role FROM po)"
+REPEATS = 3
+STEP = "CASE rep " + " ".join(f"WHEN {r} THEN {dealt_sql(42 + r)}" for r in range(REPEATS)) + " END"
+
+
+@query(
+    with_(
+        *MATRIX, RANKED, ONE_FOLD, PLAIN, *fits.fits(),
+        "wi AS (SELECT max(n) AS n, CAST(ceil(sqrt(max(n))) AS BIGINT) AS w FROM po)",
+        f"dw AS (SELECT i, rep, {STEP} AS x FROM (SELECT i, i AS x, rep FROM (SELECT i FROM po), (SELECT unnest(range(0, {REPEATS})) AS rep)), wi UNION ALL SELECT i, rep, {STEP} FROM dw, wi WHERE x >= wi.n)",
+        "dd AS (SELECT i, rep, x FROM dw, wi WHERE x < n)",
+        f"pp AS (SELECT po.*, {fits.fitted()} AS p, " + ", ".join(f"b{j}" for j in range(len(X))) + " FROM po, bi)",
+        "ri AS (" + " UNION ALL ".join(f"SELECT '{c}' AS feature, dd.rep, avg(pow(o.y - (o.p + o.b{j} * (q.{c} - o.{c})), 2)) - avg(pow(o.y - o.p, 2)) AS rise FROM dd JOIN pp o ON o.i = dd.i JOIN pp q ON q.i = dd.x GROUP BY dd.rep" for j, c in enumerate(X)) + ")",
+        recursive=True,
+    )
+    + f"SELECT feature, 'permutation' AS method, {rnd('avg(rise)')} AS score, {rnd('stddev_pop(rise)')} AS spread FROM ri GROUP BY feature"
+)
+def permutation_of_a_linear_model(spark, d):
+    rows = kept_matrix(spark, d)
+    return selection.permutation_importance(models.fit(rows, X, "y", "linear"), rows, X, "y", repeats=REPEATS)
+
+
 @query()
 def recursive_elimination(spark, d):
     return selection.recursive_elimination(matrix(spark, d), X, "y", 2, "forest", numTrees=5, maxDepth=3)

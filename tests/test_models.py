@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tickloom.operators import split
 from tickloom.operators.metrics import regression
-from tickloom.plans import analysis, models, selection
+from tickloom.plans import analysis, gram, models, selection
 
 
 @pytest.fixture(scope="module")
@@ -96,11 +96,62 @@ def test_importances_find_the_signal(spark, planted):
     assert rank == {"a": 1, "b": 2, "c": 3}
 
 
-def test_shuffling_keeps_every_value(planted):
-    moved = selection.shuffled_column(planted, "a", 7)
-    both = planted.select("ts", "a").join(moved.select("ts", F.col("a").alias("m")), "ts")
-    assert moved.count() == 600 and both.filter("a <> m").count() > 500
-    pd.testing.assert_series_equal(moved.toPandas()["a"].sort_values().reset_index(drop=True), planted.toPandas()["a"].sort_values().reset_index(drop=True))
+def test_donors_are_a_bijection(spark, planted):
+    for rows in (1, 2, 3, 10, 99, 100, 101, 5000):
+        for seed in (1, 2):
+            got = selection.dealt(np.arange(rows), rows, seed)
+            assert sorted(got) == list(range(rows))
+    assert (selection.dealt(np.arange(5000), 5000, 1) != selection.dealt(np.arange(5000), 5000, 2)).mean() > 0.99
+    table = spark.range(300).select(F.col("id").alias("_pos"), F.array(F.col("id").cast("double")).alias("_x"), F.lit(0.0).alias("_y"))
+    moved = selection.donors(table, 2, 7, 300).toPandas()
+    assert all(sorted(v[0] for v in moved[moved["_repeat"] == r]["_d"]) == list(range(300)) for r in (0, 1))
+
+
+@pytest.mark.parametrize("kind,params", [("linear", {}), ("ridge", {"regParam": 0.3}), ("lasso", {"regParam": 0.05}), ("elastic_net", {"regParam": 0.1, "elasticNetParam": 0.4})])
+def test_fits_from_sums_equal_fitted_models(spark, planted, kind, params):
+    rows = planted.withColumn("d", F.col("a") * 1e6 + F.col("c") * 1e5 + 1e7).withColumn("e", F.lit(3.0)).unionByName(planted.withColumns({"d": F.lit(None).cast("double"), "e": F.lit(1.0)}))
+    cols = ["a", "b", "c", "d"]
+    folds = split.time_segments(rows, 2, gap=3)
+    sums = gram.Moments(folds, cols, "y")
+    for k in folds.roles:
+        found = gram.fit_sums(sums.over(folds.roles[k][0]), [0, 1, 2, 3] if kind != "linear" else [0, 1, 2], kind, **params)
+        model = models.fit(folds.train(k).filter("d IS NOT NULL"), cols if kind != "linear" else cols[:3], "y", kind, **({"maxIter": 1000, "tol": 1e-12} | params)).stages[-1]
+        want = [*model.coefficients.toArray(), *([0.0] if kind == "linear" else [])]
+        scale = np.array([1.0, 1.0, 1.0, 1e6])
+        np.testing.assert_allclose(found.beta * scale, want * scale, atol=2e-4)
+    # a constant column and a sum of others add nothing
+    same = rows.withColumn("f", F.col("a") + F.col("b"))
+    wide = gram.Moments(split.hashed_segments(same, 2), ["a", "b", "f", "e"], "y")
+    fit = gram.fit_sums(wide.over([0, 1]), [0, 1, 2, 3])
+    assert fit.beta[2] == 0 and abs(fit.beta[0] - 3) < 0.1
+
+
+def test_segments_are_the_folds_without_copies(planted):
+    key = lambda df: sorted(r["ts"] for r in df.select("ts").collect())
+    for copies, folds in (
+        (split.time_folds(planted, 3, gap=5), split.time_segments(planted, 3, gap=5)),
+        (split.walk_forward(planted, steps=4), split.walk_segments(planted, steps=4)),
+        (models.roles_from_fold(split.hashed_folds(planted, 3), 3), split.hashed_segments(planted, 3)),
+    ):
+        assert folds.rows.count() == 600
+        named = split.as_folds(copies)
+        assert set(folds.roles) == set(named.roles)
+        for k in folds.roles:
+            assert key(folds.train(k)) == key(named.train(k)) and key(folds.test(k)) == key(named.test(k))
+
+
+def test_a_search_stores_one_table_and_scores_as_fitted_models_do(planted, monkeypatch):
+    from tickloom.operators import split as module
+
+    stored = []
+    monkeypatch.setattr(module, "cut_lineage", lambda df, keep=module.cut_lineage: stored.append(1) or keep(df))
+    candidates = models.grid({"regParam": [0.01, 1.0], "columns": [COLS, ["a"]]})
+    found = models.search(split.time_segments(planted, 2), COLS, "y", "ridge", candidates, "mae")
+    assert len(stored) == 1
+    again = models.search(split.time_segments(planted, 2), COLS, "y", "ridge", [{**c, "maxIter": 100} for c in candidates], "mae")
+    assert [p for p, _ in found] == [{k: v for k, v in p.items() if k != "maxIter"} for p, _ in again]
+    assert [v for _, v in found] == pytest.approx([v for _, v in again], abs=1e-6)
+    assert len(stored) == 2
 
 
 def test_validation_and_search(planted):

@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import hashlib
+import math
 from collections.abc import Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.ml import PipelineModel
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.config import TS
 from tickloom.operators.metrics import regression
-from tickloom.operators.series import positions
-from tickloom.operators.split import SEGMENT, Folds, as_folds
+from tickloom.operators.split import ROW, SEGMENT, Folds, as_folds, ordered
 from tickloom.plans import gram
 from tickloom.plans.models import fit, fold_scores, importance, predict
 from tickloom.session import cut_lineage
@@ -20,33 +23,70 @@ from tickloom.session import cut_lineage
 KEY = ("symbol", TS)
 
 
-def shuffled_column(df: DataFrame, column: str, seed: int, key: Sequence[str] = KEY) -> DataFrame:
-    """``df`` with one column's values dealt to other rows.
+#: Prime modulus and number of rounds of the bijection of positions.
+PRIME, ROUNDS = 2_147_483_647, 4
 
-    Both sides are numbered along different hash orders and joined on the number; hash values are
-    even, so are the buckets the numbering works on.
+
+def round_keys(seed: int) -> list[tuple[int, int]]:
+    """Two numbers below the prime for each round, from the md5 of the seed and the round, so that any engine can follow them."""
+    digests = [hashlib.md5(f"{seed}:{r}".encode()).hexdigest() for r in range(ROUNDS)]
+    return [(int(d[:8], 16) % (PRIME - 1) + 1, int(d[8:16], 16) % PRIME) for d in digests]
+
+
+def dealt(positions: np.ndarray, rows: int, seed: int) -> np.ndarray:
+    """A seeded bijection of 0 .. rows - 1.
+
+    Positions are pairs of digits in a base whose square just covers the rows; each round adds a number drawn from
+    the second digit to the first and swaps them. What falls outside is dealt again until it falls inside.
     """
+    base = math.isqrt(max(rows - 1, 0)) + 1
+
+    def once(x: np.ndarray) -> np.ndarray:
+        left, right = x // base, x % base
+        for a, b in round_keys(seed):
+            drawn = (right * a + b) % PRIME
+            left, right = right, (left + drawn * drawn % PRIME) % base
+        return left * base + right
+
+    out = once(positions.astype(np.int64))
+    while (outside := out >= rows).any():
+        out[outside] = once(out[outside])
+    return out
 
-    def numbered(rows: DataFrame, salt: int) -> DataFrame:
-        hashed = rows.withColumn("_h", F.xxhash64(*key, F.lit(salt)))
-        return positions(hashed, [], "_h", name="_i", ties=list(key), bucket=F.shiftright("_h", 46)).drop("_h")
 
-    left = numbered(df.drop(column), 2 * seed)
-    right = numbered(df.select(*key, column), 2 * seed + 1).select("_i", column)
-    return left.join(right, "_i").drop("_i").select(*df.columns)
+def donors(df: DataFrame, repeats: int, seed: int, rows: int) -> DataFrame:
+    """Rows ``_pos, _x, _y`` with, for each repeat, the columns of the row that the bijection names: ``_repeat, _d``."""
+
+    @F.pandas_udf("array<bigint>")
+    def named(positions: pd.Series) -> pd.Series:
+        at = positions.to_numpy()
+        return pd.Series(list(np.stack([dealt(at, rows, seed + r) for r in range(repeats)], axis=1))) if len(at) else pd.Series([], dtype=object)
+
+    asked = df.select("_x", "_y", F.posexplode(named("_pos")).alias("_repeat", "_from"))
+    return asked.join(df.select(F.col("_pos").alias("_from"), F.col("_x").alias("_d")), "_from").drop("_from")
 
 
 def permutation_importance(model: PipelineModel, df: DataFrame, cols: Sequence[str], label: str, repeats: int = 10, seed: int = 42, key: Sequence[str] = KEY) -> DataFrame:
-    """(feature, method, score, spread): rise of the squared error when a column is shuffled."""
-    rows = cut_lineage(df.select(*key, *cols, label).dropna())
-    base = regression(predict(model, rows), label).select("mse").first()[0]
-    out = None
-    for i, c in enumerate(cols):
-        for r in range(repeats):
-            scored = predict(model, shuffled_column(rows, c, seed + i * repeats + r, key))
-            part = regression(scored, label).select(F.lit(c).alias("feature"), (F.col("mse") - base).alias("rise"))
-            out = part if out is None else out.unionByName(part)
-    return out.groupBy("feature").agg(F.lit("permutation").alias("method"), F.avg("rise").alias("score"), F.stddev_pop("rise").alias("spread"))
+    """(feature, method, score, spread): rise of the squared error when a column takes the values of other rows.
+
+    A repeat deals each row one donor row for all columns, so rows are fetched once a repeat; all variants of a
+    row are scored in one pass, and the plan is the same for any number of columns.
+    """
+    usable = df.select(*key, *cols, label).filter(gram.finite([*cols, label]))
+    numbered = ordered(usable, key[-1], list(key[:-1]))
+    rows = cut_lineage(numbered.select(F.col(ROW).alias("_pos"), F.array(*[F.col(c).cast("double") for c in cols]).alias("_x"), F.col(label).cast("double").alias("_y")))
+    last = model.stages[-1].copy()
+
+    def errors(scored: DataFrame, by: Sequence[str]) -> DataFrame:
+        vectors = scored.withColumn(last.getFeaturesCol(), array_to_vector("_x"))
+        return last.transform(vectors).groupBy(*by).agg(F.avg(F.pow(F.col("_y") - F.col("prediction"), 2)).alias("_mse"))
+
+    base = errors(rows, []).first()["_mse"]
+    variants = donors(rows, repeats, seed, rows.count()).withColumn("_c", F.explode(F.sequence(F.lit(0), F.lit(len(cols) - 1))))
+    changed = variants.withColumn("_x", F.expr("transform(_x, (v, i) -> IF(i = _c, _d[i], v))"))
+    names = F.array(*[F.lit(c) for c in cols])
+    rises = errors(changed, ["_c", "_repeat"]).select(names[F.col("_c")].alias("feature"), (F.col("_mse") - F.lit(base)).alias("rise"))
+    return rises.groupBy("feature").agg(F.lit("permutation").alias("method"), F.avg("rise").alias("score"), F.stddev_pop("rise").alias("spread"))
 
 
 def recursive_elimination(df: DataFrame, cols: Sequence[str], label: str, keep: int = 1, kind: str = "forest", **params) -> DataFrame:
