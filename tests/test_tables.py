@@ -122,6 +122,29 @@ def test_votes_and_weights(spark):
         blend.weight_of({"m1": 1.0, "m2": -1.0})
 
 
+@pytest.mark.parametrize("chunk_rows", [8, 16384])
+def test_sweep_equals_one_run_for_each_set(spark, chunk_rows):
+    rng = np.random.default_rng(5)
+    rows = []
+    for s, n in (("A", 90), ("B", 37), ("C", 1), ("gone", 30)):
+        price = 100 + np.cumsum(rng.normal(0, 2, n))
+        if s == "gone":
+            price[12:] = 1000.0  # shorts lose more than everything
+        p = np.repeat(rng.normal(0, 2, n), 4)[:n] if s != "gone" else np.full(n, -3.0)
+        rows += [(s, dt.datetime(2024, 1, 1) + dt.timedelta(hours=i), None if i % 17 == 5 else float(price[i]), None if i % 13 == 7 else float(p[i])) for i in range(n)]
+    df = spark.createDataFrame(rows, "symbol string, ts timestamp_ntz, close double, prediction double")
+    got = strategy.sweep(df, [0.2, 1.5], [0.0, 0.01], [1.0, 3.0], chunk_rows=chunk_rows).toPandas().set_index(["symbol", "threshold", "fee", "leverage"]).sort_index()
+    for t in (0.2, 1.5):
+        held = strategy.positions_held(strategy.entry_signals(df, threshold=t)).cache()
+        for fee in (0.0, 0.01):
+            for v in (1.0, 3.0):
+                want = strategy.summary(strategy.equity(strategy.net_returns(held, fee=fee, leverage=v))).toPandas().set_index("symbol")
+                for s in want.index:
+                    for c in ("bars", "total_return", "annual_return", "annual_volatility", "sharpe", "max_drawdown"):
+                        np.testing.assert_allclose(got.loc[(s, t, fee, v), c], want.loc[s, c], rtol=1e-9, atol=1e-9, err_msg=f"{s} {t} {fee} {v} {c}")
+    assert got.loc["gone"]["max_drawdown"].min() == -1
+
+
 def test_strategy_against_a_loop(spark):
     rng = np.random.default_rng(8)
     n = 300

@@ -130,6 +130,21 @@ def chunk_window(keys: Sequence[str] = KEYS) -> WindowSpec:
     return Window.partitionBy(*keys, CHUNK).orderBy(POS)
 
 
+def chunks(src: DataFrame, back: int, ahead: int = 0, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """Deal rows with positions to equal chunks; copies of the neighbours' edge rows are marked."""
+    size = max(chunk_rows, back, ahead, 1)
+    own = F.expr(f"{POS} div {size}")
+    copies = [own]
+    if back:
+        copies.append(F.when(F.col(POS) % size >= size - back, own + 1))
+    if ahead:
+        copies.append(F.when(F.col(POS) % size < ahead, own - 1))
+    if len(copies) == 1:
+        return src.withColumn(CHUNK, own).withColumn(HALO, F.lit(False))
+    src = src.withColumn(CHUNK, F.explode(F.array_compact(F.array(*copies))))
+    return src.withColumn(HALO, F.col(CHUNK) != own)
+
+
 def rolling(
     df: DataFrame,
     levels: Iterable[Level],
@@ -152,19 +167,7 @@ def rolling(
     """
     keys = list(keys)
     had_pos = POS in df.columns
-    src = df if had_pos else positions(df, keys, order, ties=ties, bucket=bucket)
-    size = max(chunk_rows, back, ahead, 1)
-    own = F.expr(f"{POS} div {size}")
-    copies = [own]
-    if back:
-        copies.append(F.when(F.col(POS) % size >= size - back, own + 1))
-    if ahead:
-        copies.append(F.when(F.col(POS) % size < ahead, own - 1))
-    if len(copies) > 1:
-        src = src.withColumn(CHUNK, F.explode(F.array_compact(F.array(*copies))))
-        src = src.withColumn(HALO, F.col(CHUNK) != own)
-    else:
-        src = src.withColumn(CHUNK, own).withColumn(HALO, F.lit(False))
+    src = chunks(df if had_pos else positions(df, keys, order, ties=ties, bucket=bucket), back, ahead, chunk_rows)
     w = chunk_window(keys)
     for level in levels:
         columns = dict(level(w))

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.config import TS
-from tickloom.operators.series import rolling, running
+from tickloom.operators.series import CHUNK, CHUNK_ROWS, HALO, POS, chunks, positions, rolling, running
 from tickloom.session import cut_lineage
 
 SERIES = ("symbol",)
@@ -124,6 +126,46 @@ def trade_stats(trades: DataFrame, by: Sequence[str] = SERIES) -> DataFrame:
     )
 
 
+# --- many parameter sets at once ---------------------------------------------------------------
+STATE = ["run", "held"]
+PARTS = ["run_out", "held_out", "n", "mean", "m2", "grown", "peak", "low", "fall"]
+
+
+def _moments(r: np.ndarray) -> tuple[float, ...]:
+    """Count, mean and squared deviations of returns, and of the logarithm of growth the end, the peak, the lowest point and the deepest fall from a peak."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        path = np.cumsum(np.where(r > -1, np.log1p(np.maximum(r, -1)), -np.inf))
+        falls = path - np.maximum.accumulate(path)
+    mean = r.mean()
+    return len(r), mean, ((r - mean) ** 2).sum(), path[-1], path.max(), path.min(), np.nanmin(falls) if not np.isnan(falls).all() else np.nan
+
+
+def _joined(a: tuple[float, ...] | None, b: tuple[float, ...]) -> tuple[float, ...]:
+    """The same of two stretches one after the other. This is associative, so stretches may be cut anywhere."""
+    if a is None:
+        return b
+    n, step = a[0] + b[0], b[1] - a[1]
+    with np.errstate(invalid="ignore"):
+        falls = [a[6], b[6], a[3] + b[5] - a[4]]
+        falls = [f for f in falls if not np.isnan(f)]
+    return n, a[1] + step * b[0] / n, a[2] + b[2] + step * step * a[0] * b[0] / n, a[3] + b[3], max(a[4], a[3] + b[4]), min(a[5], a[3] + b[5]), min(falls, default=np.nan)
+
+
+def _runs(signal: np.ndarray, before: int, needed: int) -> tuple[np.ndarray, int]:
+    """Which rows confirm a direction, and the signed length of the last run (at most ``needed - 1``), given that of the run before."""
+    at = np.flatnonzero(signal)
+    hits = np.zeros(len(signal), bool)
+    if not len(at):
+        return hits, before
+    d = signal[at]
+    fresh = np.r_[True, d[1:] != d[:-1]]
+    length = np.arange(len(d)) - np.maximum.accumulate(np.where(fresh, np.arange(len(d)), 0)) + 1
+    if before and np.sign(before) == d[0]:
+        length[np.cumsum(fresh) == 1] += abs(before)
+    hits[at] = length >= needed
+    return hits, int(d[-1] * min(length[-1], needed - 1))
+
+
 def sweep(
     df: DataFrame,
     thresholds: Sequence[float],
@@ -133,16 +175,73 @@ def sweep(
     price: str = "close",
     keys: Sequence[str] = SERIES,
     periods_per_year: float = 252.0,
+    risk_free: float = 0.01,
+    memory: int = 5,
+    needed: int = 3,
+    slippage: float = 0.0005,
+    chunk_rows: int = CHUNK_ROWS,
 ) -> DataFrame:
-    """Summary per series and parameter set.
+    """Summary per series and parameter set: what ``entry_signals`` to ``summary`` give one set at a time.
 
-    Positions depend on the threshold alone, so rows fan out over thresholds first and over costs
-    only once positions are known.
+    A chunk of a series is read once for all parameter sets. What the rows before it can change is the run of signals
+    and the position it starts with, which are few, so a chunk gives one row for each of these and each set; the
+    rows of a series follow each other by their states and are joined in order. Nothing is fanned out and nothing stored.
     """
-    fan = F.array(*[F.lit(float(t)) for t in thresholds])
-    runs = df.select(*keys, TS, price, prediction).withColumn("threshold", F.explode(fan))
-    held = positions_held(entry_signals(runs, prediction, "threshold", keys=[*keys, "threshold"]), keys=[*keys, "threshold"])
-    costs = F.array(*[F.struct(F.lit(float(f)).alias("fee"), F.lit(float(v)).alias("leverage")) for f in fees for v in leverages])
-    fanned = held.select("*", F.explode(costs).alias("_c")).select("*", "_c.fee", "_c.leverage").drop("_c")
-    params = [*keys, "threshold", "fee", "leverage"]
-    return summary(equity(net_returns(fanned, price, "fee", 0.0005, "leverage", params), params), params, periods_per_year)
+    keys = list(keys)
+    states = [(run, held) for run in range(1 - needed, needed) for held in (-1, 0, 1)]
+    plain = [*keys, CHUNK]
+
+    def chunk(pdf: pd.DataFrame) -> pd.DataFrame:
+        if pdf[HALO].all():  # copies of the last rows, for a chunk that does not follow
+            return pd.DataFrame(columns=[*plain, "threshold", "fee", "leverage", *STATE, *PARTS])
+        pdf = pdf.sort_values(POS)
+        first = int((~pdf[HALO]).to_numpy().argmax())
+        p = np.r_[0.0, pdf["_p"].fillna(0.0).to_numpy()[:-1]]
+        mean = np.zeros(len(p))
+        for k in range(memory - 1, -1, -1):
+            mean += np.r_[np.zeros(min(k, len(p))), p[: len(p) - k]] if k < len(p) else 0.0
+        mean /= memory
+        value = pdf["_v"].astype(float).to_numpy()
+        with np.errstate(divide="ignore", invalid="ignore"):
+            change = np.r_[0.0, value[1:] / value[:-1] - 1]
+        change = np.where(np.isfinite(change), change, 0.0)[first:]
+        out = []
+        for threshold in thresholds:
+            limit = max(threshold, 0.5)
+            signal = (((p > limit) & (mean > 0)).astype(int) - ((p < -limit) & (mean < 0)).astype(int))[first:]
+            for run, before in states:
+                hits, run_out = _runs(signal, run, needed)
+                last = np.maximum.accumulate(np.where(hits, np.arange(len(signal)), -1))
+                position = np.where(last >= 0, signal[np.maximum(last, 0)], before)
+                held = np.r_[before, position[:-1]]
+                gain, turned = held * change, np.abs(position - held)
+                for fee in fees:
+                    for leverage in leverages:
+                        out.append((threshold, fee, leverage, run, before, run_out, int(position[-1]), *_moments(gain * leverage - turned * (fee + slippage))))
+        table = pd.DataFrame(out, columns=["threshold", "fee", "leverage", *STATE, *PARTS])
+        for k in plain:
+            table[k] = pdf[k].iloc[0]
+        return table[[*plain, "threshold", "fee", "leverage", *STATE, *PARTS]]
+
+    kinds = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
+    sets = "threshold double, fee double, leverage double"
+    rows = positions(df.select(*keys, TS, F.col(prediction).cast("double").alias("_p"), F.col(price).cast("double").alias("_v")), keys).drop(TS)
+    parts = chunks(rows, memory + 1, 0, chunk_rows).groupBy(*plain).applyInPandas(
+        chunk, f"{kinds}, {CHUNK} bigint, {sets}, run int, held int, run_out int, held_out int, n double, mean double, m2 double, grown double, peak double, low double, fall double"
+    )
+
+    def follow(pdf: pd.DataFrame) -> pd.DataFrame:
+        # Arrow hands NaN over as missing, which is what a fall without a peak is.
+        found = {tuple(r[:3]): r[3:] for r in pdf[[CHUNK, *STATE, *PARTS]].itertuples(index=False, name=None)}
+        state, total = (0, 0), None
+        for c in sorted(pdf[CHUNK].unique()):
+            part = found[(c, *state)]
+            state, total = (int(part[0]), int(part[1])), _joined(total, tuple(float(v) for v in part[2:]))
+        n, mean, m2, grown, _, _, fall = total
+        vol = (m2 / (n - 1)) ** 0.5 * periods_per_year**0.5 if n > 1 else np.nan
+        yearly = mean * periods_per_year
+        ends = {"bars": int(n), "total_return": np.exp(grown) - 1, "annual_return": yearly, "annual_volatility": vol, "sharpe": (yearly - risk_free) / vol if vol > 0 else 0.0, "max_drawdown": np.exp(fall) - 1}
+        return pd.DataFrame([{**{k: pdf[k].iloc[0] for k in [*keys, "threshold", "fee", "leverage"]}, **ends}])
+
+    out = f"{kinds}, {sets}, bars bigint, total_return double, annual_return double, annual_volatility double, sharpe double, max_drawdown double"
+    return parts.groupBy(*keys, "threshold", "fee", "leverage").applyInPandas(follow, out)
