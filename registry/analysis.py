@@ -98,6 +98,22 @@ def kendall_pair(spark, d):
     return select.kendall(bars(spark, d).select(F.col("volume").alias("x"), F.round("close").alias("y")), "x", "y")
 
 
+# Columns cut to steps repeat values; the sums are taken over pairs of counted rows.
+STEPPED = "kr AS (SELECT " + ", ".join(f"floor({c} * 50) AS {c}" for c in X) + ", row_number() OVER () AS i FROM m)"
+
+
+def tau_sql(a: str, b: str) -> str:
+    tied = lambda by: f"(SELECT sum(c * (c - 1) / 2.0) FROM (SELECT count(*) AS c FROM kr GROUP BY {by}))"
+    score = f"(SELECT CAST(sum(sign(o.{a} - q.{a}) * sign(o.{b} - q.{b})) AS DOUBLE) FROM kr o JOIN kr q ON o.i < q.i)"
+    pairs = "(SELECT count(*) * (count(*) - 1) / 2.0 FROM kr)"
+    return f"SELECT '{a}' AS a, '{b}' AS b, {rnd(f'{score} / sqrt(({pairs} - {tied(a)}) * ({pairs} - {tied(b)}))')} AS r"
+
+
+@query(with_(*MATRIX, STEPPED) + union(tau_sql(a, b) for a, b in PAIRS))
+def kendall_matrix(spark, d):
+    return select.kendall_matrix(matrix(spark, d).select(*[F.floor(F.col(c) * 50).alias(c) for c in X]), X)
+
+
 @query(
     with_(*MATRIX, f"c AS ({PEARSON})", "l AS (SELECT a, b FROM c WHERE abs(r) > 0.02 UNION SELECT b, a FROM c WHERE abs(r) > 0.02)",
           "t AS (SELECT a AS feature, a AS g FROM l UNION SELECT l.b, t.g FROM t JOIN l ON l.a = t.feature)", recursive=True)

@@ -94,6 +94,28 @@ def test_rank_correlations_match_pandas(spark):
     assert select.correlations(df, ["x", "y"], "kendall").first()["r"] == pytest.approx(tau, abs=1e-12)
 
 
+def test_kendall_of_all_pairs_skips_missing_sides_and_runs_the_same_jobs(spark):
+    rng = np.random.default_rng(6)
+    pdf = pd.DataFrame({c: rng.integers(0, k, 120).astype(float) for c, k in (("a", 3), ("b", 50), ("c", 7), ("d", 1))})
+    pdf.loc[rng.random(120) < 0.2, "a"], pdf.loc[rng.random(120) < 0.2, "c"] = None, None
+    df = spark.createDataFrame([tuple(None if np.isnan(v) else float(v) for v in r) for r in pdf.itertuples(index=False)], "a double, b double, c double, d double")
+
+    def run(cols):
+        group = f"kendall-{len(cols)}"
+        spark.sparkContext.setJobGroup(group, group)
+        found = {(r["a"], r["b"]): r["r"] for r in select.kendall_matrix(df, cols).collect()}
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        return found, len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+    got, jobs = run(list("abcd"))
+    for (x, y), r in got.items():
+        both = pdf[[x, y]].dropna()
+        sx, sy = (np.sign(np.subtract.outer(both[c].to_numpy(), both[c].to_numpy())) for c in (x, y))
+        size = np.sqrt((sx**2).sum() * (sy**2).sum())
+        assert (r is None) if size == 0 else r == pytest.approx((sx * sy).sum() / size, abs=1e-12)
+    assert len(got) == 6 and jobs <= run(["a", "b"])[1] + 2
+
+
 def test_auc_edge_cases(spark):
     one = spark.createDataFrame([(1, 0.1), (1, 0.2)], "label int, score double")
     assert metrics.roc_auc(one).first()["auc"] is None

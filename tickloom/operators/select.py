@@ -74,12 +74,7 @@ def correlations(df: DataFrame, cols: Sequence[str], method: str = "pearson") ->
     if method == "spearman":
         return rank_correlations(df, cols)
     if method == "kendall":
-        out = None
-        for i, a in enumerate(cols):
-            for b in cols[i + 1 :]:
-                part = kendall(df, a, b)
-                out = part if out is None else out.unionByName(part)
-        return out
+        return kendall_matrix(df, cols)
     raise ValueError(f"unknown method {method!r}")
 
 
@@ -98,39 +93,53 @@ def rank_correlations(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return _correlated(wide.select(F.transform("e", lambda x: x["_rank"]).alias("v")), cols, [0.0] * len(cols))
 
 
-def kendall(df: DataFrame, a: str, b: str) -> DataFrame:
-    """Exact tau-b of one pair without comparing rows pairwise.
+def kendall_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """(a, b, r): exact tau-b of every pair a before b over the rows that have both, without comparing rows pairwise.
 
-    Two rows with different ranks of ``a`` first differ at exactly one bit, reading from the top.
-    So discordant pairs are counted per (bit, higher bits): among rows ordered by ``b``, how many
-    with a 0 bit lie above each row with a 1 bit. Every row appears once per bit in use, and the
-    counts are running sums over pre-aggregated values.
+    Two rows with different ranks of ``a`` first differ at exactly one bit, reading from the top. So discordant
+    pairs are counted per (bit, higher bits): among rows ordered by ``b``, how many with a 0 bit lie above each
+    row with a 1 bit. Every row appears once per bit in use, and the counts are running sums over
+    pre-aggregated values. All columns share one rank table and all pairs each step, so the jobs do not grow with the pairs.
     """
-    rows = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y"))
-    rows = cut_lineage(rows)
-    pairs = rows.groupBy("x", "y").agg(F.count(F.lit(1)).alias("c"))
-    xs = value_counts(rows, [], "x").select("x", F.col("_dense").alias("rx"), F.col("_cnt").alias("nx"), "_n")
-    ys = value_counts(rows, [], "y").select("y", F.col("_dense").alias("ry"), F.col("_cnt").alias("ny"))
-    ranked = pairs.join(xs.select("x", "rx"), "x").join(ys.select("y", "ry"), "y")
-    top = xs.agg(F.max("rx").alias("m")).select("m").scalar()
-    used = F.greatest(F.ceil(F.log2(top + 1.0)), F.lit(1)).cast("int")
-    levels = F.expr("sequence(0, _used - 1)")
-    spread = ranked.withColumn("_used", used).withColumn("bit", F.explode(levels))
-    split = spread.select("bit", F.expr("shiftright(rx, bit + 1)").alias("prefix"), F.expr("shiftright(rx, bit) & 1").alias("side"), "ry", "c")
-    cells = split.groupBy("bit", "prefix", "ry").agg(F.sum(F.when(F.col("side") == 0, F.col("c")).otherwise(0)).alias("c0"), F.sum(F.when(F.col("side") == 1, F.col("c")).otherwise(0)).alias("c1"))
-    above = running(cells, {"_above": ("sum", F.col("c0"))}, ["bit", "prefix"], "ry", bucket=F.expr("ry div 16384"), exclusive=True, descending=True)
-    discordant = above.agg(F.coalesce(F.sum(F.col("c1").cast("double") * F.coalesce("_above", F.lit(0))), F.lit(0.0)).alias("d"))
-
-    def tied(t: DataFrame, n: str) -> Column:
-        return F.sum(F.col(n).cast("double") * (F.col(n) - 1) / 2)
-
-    tx = xs.agg(tied(xs, "nx").alias("tx"), F.max("_n").cast("double").alias("n"))
-    ty = ys.agg(tied(ys, "ny").alias("ty"))
-    txy = pairs.agg(tied(pairs, "c").alias("txy"))
-    one = tx.withColumns({"ty": ty.scalar(), "txy": txy.scalar(), "d": discordant.scalar()}).withColumn("n0", F.col("n") * (F.col("n") - 1) / 2)
+    cols = list(cols)
+    pairs = [(i, j) for i in range(len(cols)) for j in range(i + 1, len(cols))]
+    if not pairs:
+        return df.sparkSession.createDataFrame([], "a string, b string, r double")
+    value = {c: F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")) for c in cols}
+    equal = df.select(*[value[c].alias(c) for c in cols]).groupBy(*cols).agg(F.count(F.lit(1)).alias("_rows"))
+    rows = cut_lineage(equal.withColumn("_id", F.monotonically_increasing_id()))
+    ranks = value_counts(long_form(rows, cols).filter("value IS NOT NULL"), ["feature"], "value").select("feature", "value", F.col("_dense").alias("rank"))
+    places = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(c).alias("feature"), F.col(c).alias("value")) for k, c in enumerate(cols)])).alias("e")
+    placed = rows.select("_id", F.col("_rows").alias("c"), places).select("_id", "c", "e.*").join(ranks, ["feature", "value"])
+    wide = placed.groupBy("_id", "c").agg(F.map_from_entries(F.collect_list(F.struct("k", "rank"))).alias("m"))
+    both = F.explode(F.array(*[F.struct(F.lit(p).alias("pair"), F.col("m")[i].alias("rx"), F.col("m")[j].alias("ry")) for p, (i, j) in enumerate(pairs)])).alias("e")
+    cells = wide.select("c", both).select("e.*", "c").filter("rx IS NOT NULL AND ry IS NOT NULL").groupBy("pair", "rx", "ry").agg(F.sum("c").alias("c"))
+    cells = cut_lineage(cells)
+
+    def tied(t: DataFrame, name: str) -> DataFrame:
+        return t.groupBy("pair").agg(F.sum(F.col("c").cast("double") * (F.col("c") - 1) / 2).alias(name))
+
+    top = cells.agg(F.coalesce(F.max("rx"), F.lit(0))).first()[0]
+    bits = max(1, int(top).bit_length())
+    spread = cells.withColumn("bit", F.explode(F.sequence(F.lit(0), F.lit(bits - 1))))
+    halves = spread.select("pair", "bit", F.expr("shiftright(rx, bit + 1)").alias("prefix"), F.expr("shiftright(rx, bit) & 1").alias("side"), "ry", "c")
+    zero, one = (F.sum(F.when(F.col("side") == k, F.col("c")).otherwise(0)) for k in (0, 1))
+    planes = halves.groupBy("pair", "bit", "prefix", "ry").agg(zero.alias("c0"), one.alias("c1"))
+    above = running(planes, {"_above": ("sum", F.col("c0"))}, ["pair", "bit", "prefix"], "ry", bucket=F.expr("ry div 16384"), exclusive=True, descending=True)
+    discordant = above.groupBy("pair").agg(F.sum(F.col("c1").cast("double") * F.coalesce("_above", F.lit(0))).alias("d"))
+    size = cells.groupBy("pair").agg(F.sum("c").cast("double").alias("n"))
+    tx, ty = (cells.groupBy("pair", r).agg(F.sum("c").alias("c")) for r in ("rx", "ry"))
+    out = df.sparkSession.createDataFrame([(p, cols[i], cols[j]) for p, (i, j) in enumerate(pairs)], "pair int, a string, b string")
+    for part in (size, tied(tx, "tx"), tied(ty, "ty"), tied(cells, "txy"), discordant):
+        out = out.join(part, "pair", "left")  # one row a pair
+    out = out.withColumn("n0", F.col("n") * (F.col("n") - 1) / 2)
     concordant = F.col("n0") - F.col("tx") - F.col("ty") + F.col("txy") - F.col("d")
-    tau = F.try_divide(concordant - F.col("d"), F.sqrt((F.col("n0") - F.col("tx")) * (F.col("n0") - F.col("ty"))))
-    return one.select(F.lit(a).alias("a"), F.lit(b).alias("b"), tau.alias("r"))
+    return out.select("a", "b", F.try_divide(concordant - F.col("d"), F.sqrt((F.col("n0") - F.col("tx")) * (F.col("n0") - F.col("ty")))).alias("r"))
+
+
+def kendall(df: DataFrame, a: str, b: str) -> DataFrame:
+    """Exact tau-b of one pair."""
+    return kendall_matrix(df, [a, b])
 
 
 def strong_pairs(corr: DataFrame, threshold: float = 0.7) -> DataFrame:
