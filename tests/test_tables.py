@@ -72,7 +72,7 @@ def test_label_volatility_matches_a_loop(spark):
     np.testing.assert_allclose(got, want, rtol=1e-9)
 
 
-@pytest.mark.parametrize("edges", [2, 64])
+@pytest.mark.parametrize("edges", [None, 4, 256])
 def test_exact_quantiles_with_ties(spark, edges):
     rng = np.random.default_rng(3)
     pdf = pd.DataFrame({"g": ["a"] * 999 + ["b"] * 10, "v": np.concatenate([np.where(rng.random(999) < 0.4, 7.0, rng.normal(0, 10, 999)), np.arange(10.0)])})
@@ -81,6 +81,26 @@ def test_exact_quantiles_with_ties(spark, edges):
     np.testing.assert_allclose(got[["p10", "p50", "p87"]].to_numpy(), want, rtol=1e-12)
 
 
+def test_large_slots_are_split_again(spark):
+    """Most distinct values crowd together, and one group has nearly all of them."""
+    rng = np.random.default_rng(9)
+    crowd = np.r_[rng.normal(0, 1e-6, 900), rng.normal(0, 1e6, 100), np.zeros(400)]
+    pdf = pd.DataFrame({"g": ["a"] * 1400 + ["b"] * 5, "v": np.r_[crowd, np.arange(5.0)]})
+    df = spark.createDataFrame(pdf)
+    counts = df.groupBy("g", "v").agg(F.count("*").alias("_cnt"))
+    for parts in (2, 40):
+        placed = ranks.slotted(counts, ["g"], "v", parts, slot_values=25).toPandas()
+        assert len(placed) == counts.count() and placed.groupby(["g", "_slot"]).size().max() <= 25
+        for _, own in placed.groupby("g"):
+            assert own.sort_values("v")["_slot"].is_monotonic_increasing
+    got = ranks.value_counts(df, ["g"], "v", slot_values=25).toPandas().sort_values(["g", "v"])
+    for g, own in got.groupby("g"):
+        v = np.sort(pdf[pdf["g"] == g]["v"])
+        assert own["_cum"].tolist() == [int((v <= x).sum()) for x in own["v"]] and own["_dense"].tolist() == list(range(len(own))) and (own["_n"] == len(v)).all()
+    one = ranks.value_counts(df, [], "v", slot_values=100).agg(F.max("_cum"), F.max("_dense"), F.min("_n")).first()
+    assert tuple(one) == (1405, counts.select("v").distinct().count() - 1, 1405)
+
+
 def test_rank_correlations_match_pandas(spark):
     rng = np.random.default_rng(5)
     pdf = pd.DataFrame({"x": rng.integers(0, 20, 400).astype(float), "y": rng.normal(0, 1, 400).round(1)})
