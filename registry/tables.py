@@ -417,6 +417,17 @@ def label_volatility(spark, d):
     return out.select("symbol", "ts", *[f"target_volatility_{h}" for h in (4, 24, 72)])
 
 
+@query(
+    with_(TRADES, bars_sql("1m"), f"x AS (SELECT *, {div('close', lag('close'))} - 1 AS r FROM bars_1m)")
+    + pick({f"target_volatility_{h}": f"CASE WHEN {over(f'lead(close, {h})')} IS NOT NULL THEN {over('stddev_samp(r)', f'1 FOLLOWING AND {h - 1} FOLLOWING')} * sqrt(252.0) END" for h in (60, 240, 1440)})
+    + " FROM x"
+)
+def label_volatility_of_minutes(spark, d):
+    """Horizons of up to a day of minutes."""
+    out = labels.targets(bars(spark, d, "1m"), (60, 240, 1440))
+    return out.select("symbol", "ts", *[f"target_volatility_{h}" for h in (60, 240, 1440)])
+
+
 @query(with_(*HOURLY) + pick({f"{c}_lag_{n}": lag(c, n) for c in ("close", "volume") for n in (1, 2, 3, 5, 10)}) + " FROM bars_1h")
 def lag_features(spark, d):
     return labels.lags(bars(spark, d), ["close", "volume"]).drop("timeframe", *OHLCV)

@@ -34,7 +34,7 @@ def test_hot_key_deduplicates(spark):
 
 
 def test_latest_rows(spark):
-    got = ordered(clean.latest(to_bars(spark, bar_frame(walk(300), "A"), bar_frame(walk(3), "B")), 5, pieces=4), "symbol", "recency")
+    got = ordered(clean.latest(to_bars(spark, bar_frame(walk(300), "A"), bar_frame(walk(3), "B")), 5), "symbol", "recency")
     assert got.groupby("symbol").size().to_dict() == {"A": 5, "B": 3}
 
 
@@ -72,6 +72,27 @@ def test_label_volatility_matches_a_loop(spark):
     np.testing.assert_allclose(got, want, rtol=1e-9)
 
 
+def test_label_volatility_of_long_horizons_and_missing_prices(spark, monkeypatch):
+    monkeypatch.setattr("tickloom.operators.series.CHUNK_ROWS", 64)
+    x = walk(230, 3)
+    x[[50, 51, 130]] = np.nan
+    got = ordered(labels.targets(to_bars(spark, bar_frame(x)), [3, 2, 100, 129]), *[f"target_volatility_{h}" for h in (2, 3, 100, 129)]).astype(float)
+    ret = np.r_[np.nan, x[1:] / x[:-1] - 1]
+    for h in (3, 100, 129):
+        want = [np.nanstd(ret[t + 1 : t + h], ddof=1) * 252**0.5 if t + h < 230 and not np.isnan(x[t + h]) and (~np.isnan(ret[t + 1 : t + h])).sum() > 1 else np.nan for t in range(230)]
+        np.testing.assert_allclose(got[f"target_volatility_{h}"], want, rtol=1e-9)
+    assert got["target_volatility_2"].isna().all()
+
+
+@pytest.mark.parametrize("rows", [1, 7, 60, 5000])
+def test_latest_rows_over_buckets(spark, two_series, rows):
+    df, pdf = two_series
+    got = clean.latest(df, rows, bucket=F.expr("floor(unix_micros(CAST(ts AS TIMESTAMP)) / 36000000000)")).toPandas()
+    for s, own in pdf.groupby("symbol"):
+        want = own.sort_values("ts", ascending=False)["ts"].head(rows).tolist()
+        assert got[got["symbol"] == s].sort_values("recency")["ts"].tolist() == want
+
+
 @pytest.mark.parametrize("edges", [None, 4, 256])
 def test_exact_quantiles_with_ties(spark, edges):
     rng = np.random.default_rng(3)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tickloom.config import KEYS, TS
-from tickloom.operators.series import positions, running
+from tickloom.operators.series import positions, running, time_bucket
 
 PRICES = ("open", "high", "low", "close")
 
@@ -145,16 +145,16 @@ def prefixed(df: DataFrame, prefix: str, keys: Sequence[str] = (*KEYS, TS)) -> D
     return df.select(*[F.col(c) if c in keys else F.col(c).alias(f"{prefix}_{c}") for c in df.columns])
 
 
-def latest(df: DataFrame, n: int, keys: Sequence[str] = KEYS, order: str = TS, pieces: int = 32) -> DataFrame:
+def latest(df: DataFrame, n: int, keys: Sequence[str] = KEYS, order: str = TS, bucket: Column | None = None) -> DataFrame:
     """The last ``n`` rows of each series.
 
-    Each hash piece keeps its own last ``n`` first, so the final ranking sees at most
-    ``n * pieces`` rows of a series however long it is.
+    Rows are counted by time bucket and the counts summed from the end; only buckets with fewer than ``n`` rows after
+    them are read, so the ranking sees ``n`` rows and one bucket of a series however long it is. ``bucket`` must be monotone in ``order``.
     """
-    piece = F.pmod(F.xxhash64(order), F.lit(pieces))
-    part = df.withColumn("_piece", piece)
-    rank = F.row_number().over(Window.partitionBy(*keys, "_piece").orderBy(F.col(order).desc()))
-    few = part.withColumn("_rank", rank).filter(F.col("_rank") <= n).drop("_rank", "_piece")
+    placed = df.withColumn("_bucket", time_bucket(df, order) if bucket is None else bucket)
+    counts = placed.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    after = F.sum("_n").over(Window.partitionBy(*keys).orderBy(F.col("_bucket").desc()).rowsBetween(Window.unboundedPreceding, -1))
+    needed = counts.withColumn("_after", F.coalesce(after, F.lit(0))).filter(F.col("_after") < n).select(*keys, "_bucket")
+    few = placed.join(needed, [*keys, "_bucket"], "left_semi").drop("_bucket")
     final = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col(order).desc()))
     return few.withColumn("recency", final).filter(F.col("recency") <= n)
-
