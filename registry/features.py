@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from registry.common import rounded
-from registry.sql import HOURLY, QUOTES, cumulative, div, filled, lag, over, pick, recur, roll, trailing, with_
+from registry.sql import HOURLY, QUOTES, TRADES, bars as bars_sql, cumulative, div, filled, lag, over, pick, recur, roll, trailing, with_
 from tickloom.functions import micro, momentum, price, signals, trend, volatility, volume
 from tickloom.functions.core import Family, compute
 from tickloom.session import cut_lineage
@@ -305,26 +305,36 @@ for n in W4:
     cols[f"range_liquidity_{n}"] = roll("avg", div("volume", "high - low"), n)
 add("range_liquidity", lambda: [micro.range_liquidity()], with_(*HOURLY, x) + pick(cols) + " FROM x")
 
-x = f"""x AS (SELECT symbol, ts, {RET} AS r, row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS pos FROM bars_1h),
-y AS (SELECT *, abs(r) AS a, r * r AS q, abs({lag('r')}) AS pa, {lag('r')} * {lag('r')} AS pq FROM x)"""
-
-
 def auto(a: str, b: str, n: int) -> str:
     both = f"CASE WHEN {b} IS NOT NULL THEN {a} END"
     span = f"{n - 2} PRECEDING AND CURRENT ROW"
     return div(over(f"covar_samp({both}, {b})", span), f"{over(f'stddev_samp({both})', span)} * {over(f'stddev_samp({b})', span)}")
 
 
-cols = {"returns": "r", "abs_returns": "a"}
-for n in W4:
-    cols[f"volatility_clustering_{n}"] = f"CASE WHEN pos >= {2 * n - 1} THEN {auto('a', 'pa', n)} END"
-    cols[f"arch_effect_{n}"] = f"CASE WHEN {filled('q', n)} THEN {auto('q', 'pq', n)} END"
-add("vol_clustering", lambda: [micro.volatility_clustering()], with_(*HOURLY, x) + pick(cols) + " FROM y")
-
-x = f"x AS (SELECT *, {RET} AS r FROM bars_1h)"
-cols = {"price_change": "r"}
-for n in W4:
-    cols[f"price_impact_{n}"] = roll("avg", div("r", "volume"), n)
-    span = f"{n} PRECEDING AND 1 PRECEDING"
-    cols[f"price_impact_coef_{n}"] = f"CASE WHEN {over('count(r)', span)} = {n} THEN {over('covar_pop(r, volume)', span)} / nullif({over('var_pop(volume)', span)}, 0) END"
-add("price_impact", lambda: [micro.price_impact()], with_(*HOURLY, x) + pick(cols, 8) + " FROM x", digits=8)
+def clustering_sql(windows: tuple[int, ...], ctes: tuple[str, ...], source: str) -> str:
+    x = f"""x AS (SELECT symbol, ts, {RET} AS r, row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS pos FROM {source}),
+y AS (SELECT *, abs(r) AS a, r * r AS q, abs({lag('r')}) AS pa, {lag('r')} * {lag('r')} AS pq FROM x)"""
+    cols = {"returns": "r", "abs_returns": "a"}
+    for n in windows:
+        cols[f"volatility_clustering_{n}"] = f"CASE WHEN pos >= {2 * n - 1} THEN {auto('a', 'pa', n)} END"
+        cols[f"arch_effect_{n}"] = f"CASE WHEN {filled('q', n)} THEN {auto('q', 'pq', n)} END"
+    return with_(*ctes, x) + pick(cols) + " FROM y"
+
+
+def impact_sql(windows: tuple[int, ...], ctes: tuple[str, ...], source: str) -> str:
+    cols = {"price_change": "r"}
+    for n in windows:
+        cols[f"price_impact_{n}"] = roll("avg", div("r", "volume"), n)
+        span = f"{n} PRECEDING AND 1 PRECEDING"
+        cols[f"price_impact_coef_{n}"] = f"CASE WHEN {over('count(r)', span)} = {n} THEN {over('covar_pop(r, volume)', span)} / nullif({over('var_pop(volume)', span)}, 0) END"
+    return with_(*ctes, f"x AS (SELECT *, {RET} AS r FROM {source})") + pick(cols, 8) + " FROM x"
+
+
+add("vol_clustering", lambda: [micro.volatility_clustering()], clustering_sql(W4, HOURLY, "bars_1h"))
+add("price_impact", lambda: [micro.price_impact()], impact_sql(W4, HOURLY, "bars_1h"), digits=8)
+
+# Windows of hundreds of rows, over bars of one minute.
+LONG_WINDOWS, MINUTES = (100, 250, 1000), (TRADES, bars_sql("1m"))
+minutes = lambda spark, d: bars(spark, d, "1m")
+add("vol_clustering_of_long_windows", lambda: [micro.volatility_clustering(LONG_WINDOWS)], clustering_sql(LONG_WINDOWS, MINUTES, "bars_1m"), source=minutes)
+add("price_impact_of_long_windows", lambda: [micro.price_impact(LONG_WINDOWS)], impact_sql(LONG_WINDOWS, MINUTES, "bars_1m"), digits=8, source=minutes)

@@ -108,3 +108,18 @@ def test_long_windows_equal_sliding_frames(spark, monkeypatch):
     slow = compute(quoted, *fam()).orderBy("symbol", "ts").toPandas()
     pd.testing.assert_frame_equal(slow, fast[slow.columns], check_exact=False, rtol=1e-8, atol=1e-12)
     assert slow["volatility_clustering_100"].notna().any() and slow["price_impact_coef_130"].notna().any()
+
+
+@pytest.mark.parametrize("rows", [99, 100])
+def test_one_rule_for_windows_that_hardly_vary(spark, rows):
+    """Noise of rounding size is no variance, whether a window is short or long; a real small variance is one."""
+    n = 3 * rows
+    noise = np.where(np.arange(n) % 2, 1.0, 1.0 + 1e-15)
+    real = 1.0 + 1e-6 * np.random.default_rng(4).normal(size=n)
+    for volumes, some in ((1e9 * noise, False), (np.full(n, 7.0), False), (1e9 * real, True)):
+        df = to_bars(spark, bar_frame(walk(n, 3), volumes=volumes))
+        got = compute(df, micro.price_impact((rows,))).toPandas()[f"price_impact_coef_{rows}"]
+        assert got.notna().any() == some
+    steady = to_bars(spark, bar_frame(100 * 1.001 ** np.arange(n)))
+    found = compute(steady, micro.volatility_clustering((rows,))).toPandas()
+    assert found[[f"volatility_clustering_{rows}", f"arch_effect_{rows}"]].isna().all().all()

@@ -35,11 +35,23 @@ def roll(fn: Callable[[Column], Column], value: Column, w: WindowSpec, rows: int
     return F.when(filled(value, w, rows), fn(value).over(trailing(w, rows)))
 
 
+def varied(variance: Column, mean: Column) -> Column:
+    """A variance, NULL where it is nothing or rounding noise of values of that size. The one rule for constant windows of any length."""
+    return F.when(variance > 1e-22 * mean * mean, variance)
+
+
 def correlation(a: Column, b: Column, frame: WindowSpec) -> Column:
     """Pearson correlation over a frame, NULL when either side is constant."""
     both = a.isNotNull() & b.isNotNull()
     x, y = F.when(both, a), F.when(both, b)
-    return div(F.covar_samp(x, y).over(frame), F.stddev_samp(x).over(frame) * F.stddev_samp(y).over(frame))
+    spread = lambda v: F.sqrt(varied(F.var_pop(v).over(frame), F.avg(v).over(frame)))
+    return div(F.covar_pop(x, y).over(frame), spread(x) * spread(y))
+
+
+def slope(y: Column, x: Column, frame: WindowSpec) -> Column:
+    """Slope of ``y`` on ``x`` over a frame, NULL when ``x`` is constant."""
+    x, y = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
+    return div(F.covar_pop(x, y).over(frame), varied(F.var_pop(x).over(frame), F.avg(x).over(frame)))
 
 
 @dataclass(frozen=True)
@@ -97,10 +109,9 @@ def _long_result(i: int, r: Long) -> Column:
         value = mix("mx") * r.rows if r.kind == "sum" else mix("mx")
     else:
         gap = lambda a, b: fa * fb * (big(a) - small(a)) * (big(b) - small(b)) if left else F.lit(0.0)
-        varied = lambda v, m: F.when(v > 1e-22 * mix(m) * mix(m), v)
         vx, vy, c = mix("vx") + gap("mx", "mx"), mix("vy") + gap("my", "my"), mix("c") + gap("mx", "my")
-        vx = varied(vx, "mx")
-        value = div(c, vx) if r.kind == "slope" else div(c, F.sqrt(vx * varied(vy, "my")))
+        vx = varied(vx, mix("mx"))
+        value = div(c, vx) if r.kind == "slope" else div(c, F.sqrt(vx) * F.sqrt(varied(vy, mix("my"))))
     ready = seen == r.rows
     return F.when(ready if r.ready is None else ready & r.ready, value)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tickloom.functions import core
-from tickloom.functions.core import Family, Long, correlation, div, filled, roll
+from tickloom.functions.core import Family, Long, correlation, div, filled, roll, slope
 from tickloom.functions.volatility import returns
 from tickloom.operators.series import POS
 
@@ -156,7 +156,7 @@ def price_impact(windows: tuple[int, ...] = DEFAULT) -> Family:
             out[f"price_impact_{n}"] = roll(F.avg, F.col("_impact"), w, n)
             before = w.rowsBetween(-n, -1)
             complete = F.count(F.when(r.isNotNull() & v.isNotNull(), 1)).over(before) == n
-            out[f"price_impact_coef_{n}"] = F.when(complete, F.regr_slope(r, v).over(before))
+            out[f"price_impact_coef_{n}"] = F.when(complete, slope(r, v, before))
         return out
 
     requests = []
