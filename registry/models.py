@@ -8,14 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from registry import fits
-from registry.analysis import MATRIX, X, matrix, predictions
+from registry.analysis import FSCORE, MATRIX, PEARSON, X, matrix, predictions
 from registry.common import rounded
 from registry.features import TP, without_bar
 from registry.sql import HOURLY, cumulative, div, lag, pick, recur, rnd, roll, with_
 from tickloom.operators import split
 from tickloom.operators.metrics import regression
 from tickloom.operators.series import epoch_seconds
-from tickloom.plans import features, models, selection
+from tickloom.plans import analysis, features, models, selection
 from tickloom.session import cut_lineage, shared_folder
 from tickloom.sources.tables import bars, table
 from tickloom.streaming.bars import replay_bars, stream_ema
@@ -426,6 +426,58 @@ def recursive_elimination(spark, d):
     return selection.recursive_elimination(matrix(spark, d), X, "y", 2, "forest", numTrees=5, maxDepth=3)
 
 
+HALVES = "fo AS (SELECT *, 0 AS k, CASE WHEN i < floor(n * 0.7) THEN 'train' WHEN i < floor(n * 0.85) THEN 'none' ELSE 'test' END AS role FROM po)"
+SCORED = f"SELECT symbol, ts, {rnd('y')} AS y, {rnd(fits.fitted())} AS prediction FROM fo JOIN bi USING (k) WHERE role = 'test'"
+
+
+@query(folded_sql(HALVES, PLAIN) + SCORED)
+def saved_model(spark, d):
+    """A fitted model is written, read again with its columns and used."""
+    train, test = with_split(spark, d)
+    folder = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    models.save(models.fit(train, X, "y", "linear"), folder, X, kind="linear")
+    model, about = models.load(spark, folder)
+    return models.predict(model, test.select("symbol", "ts", "y", *about["features"])).select("symbol", "ts", "y", "prediction")
+
+
+@query(folded_sql(HALVES.replace("'none'", "'train'"), PLAIN) + SCORED)
+def updated_model(spark, d):
+    """The model fitted again once the validation rows have come."""
+    rows = cut_lineage(split.chronological(matrix(spark, d)))
+    model = models.update(rows.filter("split = 'train'"), rows.filter("split = 'validation'"), X, "y", "linear")
+    return models.predict(model, rows.filter("split = 'test'")).select("symbol", "ts", "y", "prediction")
+
+
+# Best F score first; a column goes if one taken before is correlated with it.
+LIMIT = 0.02
+CHOSEN = (
+    f"cr AS ({PEARSON})",
+    f"nb AS (SELECT feature, list(other) AS near FROM (SELECT a AS feature, b AS other FROM cr WHERE abs(r) > {LIMIT} UNION ALL SELECT b, a FROM cr WHERE abs(r) > {LIMIT}) GROUP BY feature)",
+    f"fs AS (SELECT f.feature, coalesce(near, []) AS near, row_number() OVER (ORDER BY score DESC, f.feature) AS o FROM ({FSCORE}) f LEFT JOIN nb USING (feature))",
+    "tk AS (SELECT CAST(0 AS BIGINT) AS o, CAST([] AS VARCHAR[]) AS taken UNION ALL SELECT fs.o, CASE WHEN list_has_any(taken, near) THEN taken ELSE list_append(taken, feature) END FROM tk JOIN fs ON fs.o = tk.o + 1)",
+    "se AS (SELECT unnest(taken) AS feature, unnest(range(1, len(taken) + 1)) AS rank FROM (SELECT arg_max(taken, o) AS taken FROM tk))",
+)
+
+
+@query(with_(*MATRIX, *CHOSEN, recursive=True) + "SELECT CAST(rank AS INTEGER) AS rank, feature FROM se")
+def analysis_selected(spark, d):
+    """What an analysis run writes as its selection."""
+    folder = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    analysis.run(matrix(spark, d), X, "y", folder, threshold=LIMIT)
+    return spark.read.parquet(f"{folder}/selected")
+
+
+@query(with_(*MATRIX, *CHOSEN, recursive=True) + f"SELECT symbol, ts, feature, {rnd('value')} AS value, {rnd('y')} AS y FROM (UNPIVOT m ON {', '.join(X)} INTO NAME feature VALUE value) SEMI JOIN se USING (feature)")
+def selected_dataset(spark, d):
+    """The table of the selected columns and the label, written and read again."""
+    rows = cut_lineage(matrix(spark, d).withColumn("timeframe", F.lit("1h")))
+    chosen = [r["feature"] for r in analysis.analyse(rows, X, "y", threshold=LIMIT)["selected"].orderBy("rank").collect()]
+    folder = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    analysis.write_selected(rows, chosen, folder, ["y"])
+    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("value")) for c in chosen])).alias("e")
+    return spark.read.parquet(folder).select("symbol", "ts", "y", cells).select("symbol", "ts", "e.feature", "e.value", "y")
+
+
 def curve_sql(source: str) -> str:
     """Mean and spread over the folds of each metric by number of columns; ``source`` has k, features, y and p."""
     parts = " UNION ALL ".join(f"SELECT features, k, '{m}' AS metric, {e} AS value FROM {source} GROUP BY features, k" for m, e in fits.METRIC_SQL.items())
@@ -437,9 +489,6 @@ def subset_curve(spark, d):
     return selection.subset_curve(split.time_segments(matrix(spark, d), 2), X, "y", [1, 3, 5])
 
 
-HALVES = "fo AS (SELECT *, 0 AS k, CASE WHEN i < floor(n * 0.7) THEN 'train' WHEN i < floor(n * 0.85) THEN 'none' ELSE 'test' END AS role FROM po)"
-
-
 @query(
     folded_sql(HALVES, fits.EVERY_SUBSET, *fits.eliminations()).replace("WITH ", "WITH RECURSIVE ", 1)
     + f"SELECT count(*) AS rows, {rnd('avg(pow(y - p, 2))')} AS mse, "
