@@ -35,23 +35,26 @@ def roll(fn: Callable[[Column], Column], value: Column, w: WindowSpec, rows: int
     return F.when(filled(value, w, rows), fn(value).over(trailing(w, rows)))
 
 
-def varied(variance: Column, mean: Column) -> Column:
-    """A variance, NULL where it is nothing or rounding noise of values of that size. The one rule for constant windows of any length."""
-    return F.when(variance > 1e-22 * mean * mean, variance)
+def varied(variance: Column, size: Column) -> Column:
+    """A variance, NULL where it is nothing or rounding noise of values of that size: the one rule for constant windows of any length.
+
+    Any value of the window tells the size, since they hardly differ where it matters; an outlier's own share of the variance is far above the bound.
+    """
+    return F.when(variance > 1e-22 * F.coalesce(size * size, F.lit(0.0)), variance)
 
 
 def correlation(a: Column, b: Column, frame: WindowSpec) -> Column:
-    """Pearson correlation over a frame, NULL when either side is constant."""
+    """Pearson correlation over a frame that ends with the row, NULL when either side is constant."""
     both = a.isNotNull() & b.isNotNull()
     x, y = F.when(both, a), F.when(both, b)
-    spread = lambda v: F.sqrt(varied(F.var_pop(v).over(frame), F.avg(v).over(frame)))
+    spread = lambda v: F.sqrt(varied(F.var_pop(v).over(frame), v))
     return div(F.covar_pop(x, y).over(frame), spread(x) * spread(y))
 
 
-def slope(y: Column, x: Column, frame: WindowSpec) -> Column:
-    """Slope of ``y`` on ``x`` over a frame, NULL when ``x`` is constant."""
+def slope(y: Column, x: Column, frame: WindowSpec, size: Column) -> Column:
+    """Slope of ``y`` on ``x`` over a frame, NULL when ``x`` is constant; ``size`` is one of the frame's ``x``."""
     x, y = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
-    return div(F.covar_pop(x, y).over(frame), varied(F.var_pop(x).over(frame), F.avg(x).over(frame)))
+    return div(F.covar_pop(x, y).over(frame), varied(F.var_pop(x).over(frame), size))
 
 
 @dataclass(frozen=True)

@@ -156,7 +156,7 @@ def price_impact(windows: tuple[int, ...] = DEFAULT) -> Family:
             out[f"price_impact_{n}"] = roll(F.avg, F.col("_impact"), w, n)
             before = w.rowsBetween(-n, -1)
             complete = F.count(F.when(r.isNotNull() & v.isNotNull(), 1)).over(before) == n
-            out[f"price_impact_coef_{n}"] = F.when(complete, slope(r, v, before))
+            out[f"price_impact_coef_{n}"] = F.when(complete, slope(r, v, before, F.lag(v).over(w)))
         return out
 
     requests = []
