@@ -10,6 +10,7 @@ CHECKED = [
     "bars_1h", "bars_gap_filled", "dedupe_last", "quality_outliers", "distribution_profile", "asof_available", "labels_forward",
     "price_features", "vwap_pvt", "ema", "rsi", "vol_clustering", "f_regression_scores", "chrono_split", "roc_auc", "smooth_centred", "trade_stats", "param_sweep",
     "ewm_on_ticks", "bars_in_csv_files", "bars_in_klines", "bars_in_parquet_table", "file_checksums", "knn_regress", "spearman_matrix",
+    "cross_validation", "staged_search", "permutation_of_a_linear_model", "kendall_matrix", "stream_upsert",
 ]
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")

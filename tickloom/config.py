@@ -28,6 +28,7 @@ WINDOWS = {"short": [5, 10, 20], "medium": [50, 100, 200], "long": [500, 1000]}
 HORIZON_MINUTES = (60, 240, 1440, 4320, 10080, 20160)
 LAGS = (1, 2, 3, 5, 10)
 
+# The groups of features.
 FEATURE_GROUPS = (
     "price_based",
     "volume_based",
