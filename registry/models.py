@@ -98,7 +98,17 @@ def autoregression(spark, d):
     return models.autoregression(bars(spark, d), "close", 1)
 
 
-@query()
+LAGGED = ("x1", "x2", "x3", "y")
+
+
+@query(
+    with_(
+        *HOURLY,
+        "fo AS (SELECT * FROM (SELECT symbol AS k, 'train' AS role, close AS y, " + ", ".join(f"{lag('close', i)} AS x{i}" for i in (1, 2, 3)) + " FROM bars_1h) WHERE x3 IS NOT NULL)",
+        fits.candidates([(0, 0.0, 7)]), *fits.fits("fo", "", LAGGED),
+    )
+    + " UNION ALL ".join(f"SELECT k AS symbol, '{t}' AS term, {rnd(e)} AS coefficient FROM bi" for t, e in (*((f"close_lag_{i}", f"b{i - 1}") for i in (1, 2, 3)), ("intercept", "a")))
+)
 def autoregression_order_3(spark, d):
     return models.autoregression(bars(spark, d), "close", 3)
 
@@ -430,6 +440,9 @@ HALVES = "fo AS (SELECT *, 0 AS k, CASE WHEN i < floor(n * 0.7) THEN 'train' WHE
 SCORED = f"SELECT symbol, ts, {rnd('y')} AS y, {rnd(fits.fitted())} AS prediction FROM fo JOIN bi USING (k) WHERE role = 'test'"
 
 
+SQL["ridge_fit"] = folded_sql(HALVES, fits.candidates([(0, 0.1, fits.ALL)])) + SCORED
+
+
 @query(folded_sql(HALVES, PLAIN) + SCORED)
 def saved_model(spark, d):
     """A fitted model is written, read again with its columns and used."""
