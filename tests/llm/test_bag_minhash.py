@@ -131,6 +131,35 @@ def test_a_key_of_many_alike_nodes(spark, monkeypatch):
     assert sum(compared) < 2 * len(texts)
 
 
+def paths(count):
+    """Paths of four texts in which only neighbours are similar enough; texts of different paths are unlike."""
+    return [" ".join([f"p{g}_{i}" for i in range(16 * k, 16 * k + 200)]) for g in range(count) for k in range(4)]
+
+
+@pytest.mark.parametrize("most", [2000, 9])
+def test_links_between_nodes_of_different_leaders(spark, monkeypatch, most):
+    """Twelve paths share a key, so two middle nodes may each be linked to an end that leads; with small parts these are dealt over several tasks."""
+    monkeypatch.setattr(bm, "PART_ROWS", most)
+    monkeypatch.setattr(bm, "LEADERS", 2)
+    texts = paths(96)
+    assert jaccard(bag(texts[0]), bag(texts[1])) >= 0.8 > jaccard(bag(texts[0]), bag(texts[2]))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").withColumn("node", bm.text_node(bm.F.col("text")))
+    classes = bm.node_classes(df.selectExpr("doc_id div 48 AS key", "node"), df.select("node", "text"))
+    got = {r.doc_id: bytes(r["class"]) for r in df.join(classes, "node").collect()}
+    assert len(got) == len(texts) and len(set(got.values())) == 96
+    assert all(got[i] == got[i - i % 4] for i in got)
+
+
+def test_common_units_are_the_smaller_counts():
+    bags = [bm.shingle_bag(t) for t in corpus()[:60] + corpus()[-9:]]
+    a, b = bags[:50], bags[30:]
+    common = bm.common_units([bm.units(x) for x in a], [bm.units(y) for y in b])
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            total = x[1].sum() + y[1].sum() - common[i, j]
+            assert (common[i, j] / total if total else 0.0) == bm.weighted_jaccard(x, y)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, 101), (102, 101), (200, 200), (300, 301), (300, 301)] + [(500, 500 + i) for i in range(1, 40)]
     got = {r.node: r["class"] for r in bm.components(spark.createDataFrame(edges, "a int, b int")).collect()}

@@ -6,11 +6,11 @@ again, by the bits of a hash until each point is on one side. Each point also fa
 their earliest time. Two components agree with the probability of the weighted Jaccard similarity. A process stops as
 soon as its time is past the latest component, so long texts cost little more than a point a shingle.
 
-Components are banded; documents that share a band are candidates. Candidates of a band are not paired with each other: some of
-them lead, and each other is compared with these on its exact shingle counts. Those linked to a leader, or of its class by other links, need
-no comparison among themselves. Since the distance 1 - similarity is a metric, two whose distances to a leader differ by more than 1 - threshold are no
-link; all others that no leader is linked to stay, with what may be linked to them, and next leaders are taken until none is left. There is no limit on the
-size or number of candidates.
+Components are banded; documents that share a band are candidates. Candidates of a band are not paired with each other in a table: one of
+them leads, and each other is compared with it on its exact shingle counts. Those of one class need no comparison among themselves; a band that
+then has several classes is compared class with class inside tasks, in parts of bounded size, again on exact counts. So every link that a band holds is
+found, and there is no limit on the size or number of candidates. Tables have a row for each document of a band; only a band of
+over 2,000 documents outside its largest class has copies of them, for each two of its parts that meet.
 
 Words are runs of non-spaces; a text of fewer words than a shingle has one shingle of all its words. Equal texts are one node, null
 being an empty text, so texts without words are a class of their own kind by kind. Rows with one doc_id and different texts are different documents.
@@ -22,6 +22,7 @@ from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -34,8 +35,11 @@ WORDS, SIMILARITY = 5, 0.8
 #: Components of a band and bands: a pair at the similarity 0.8 shares no band with probability 7e-5.
 ROWS, BANDS = 5, 24
 
-#: Rows of a key from which its leaders are few at first.
-MANY = 64
+#: Rows and bytes of text of a key that one task compares with each other.
+PART_ROWS, PART_BYTES = 2000, 8 << 20
+
+#: Most leaders of a key before its classes are compared.
+LEADERS = 6
 
 _MULTIPLY = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 _NO_ID = -(1 << 63)
@@ -189,43 +193,127 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("class")).union(edges.select(F.col("b").alias("node"), F.col("b").alias("class"))).distinct()
 
 
+def units(bag: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """A hash for each shingle and each time it occurs: two bags have as many in common as the smaller counts add up to."""
+    nth = np.arange(int(bag[1].sum())) - np.repeat(np.cumsum(bag[1]) - bag[1], bag[1])
+    return mixed(np.repeat(bag[0], bag[1]) + nth.astype(np.uint64) * _MULTIPLY[0])
+
+
+def common_units(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """How many units each of ``a`` (rows) has in common with each of ``b`` (columns)."""
+    out, sides = np.zeros((len(a), len(b))), []
+    for bags in (a, b):
+        unit, owner = np.concatenate(bags), np.repeat(np.arange(len(bags)), [len(x) for x in bags])
+        order = np.argsort(unit, kind="stable")
+        sides.append((owner[order], *np.unique(unit[order], return_index=True, return_counts=True)))
+    (i, left, i0, ni), (j, right, j0, nj) = sides
+    _, p, q = np.intersect1d(left, right, assume_unique=True, return_indices=True)
+    i0, ni, j0, nj = i0[p], ni[p], j0[q], nj[q]
+    met = ni * nj
+    dense = met * 100 >= out.size  # of many owners: products of matrices; of few: pair by pair
+    some = np.flatnonzero(~dense)
+    for at in np.split(some, np.flatnonzero(np.diff(np.cumsum(met[some]) // (1 << 22))) + 1):
+        column = np.repeat(at, met[at])
+        nth = np.arange(len(column)) - np.repeat(np.cumsum(met[at]) - met[at], met[at])
+        np.add.at(out.reshape(-1), i[i0[column] + nth // nj[column]] * len(b) + j[j0[column] + nth % nj[column]], 1.0)
+    many = np.flatnonzero(dense)
+    for at in (many[k : k + 1024] for k in range(0, len(many), 1024)):
+        both = []
+        for owner, start, n, size in ((i, i0[at], ni[at], len(a)), (j, j0[at], nj[at], len(b))):
+            column = np.repeat(np.arange(len(at)), n)
+            both.append(np.zeros((size, len(at)), np.float32))
+            both[-1][owner[np.repeat(start, n) + np.arange(len(column)) - np.repeat(np.cumsum(n) - n, n)], column] = 1.0
+        out += both[0] @ both[1].T
+    return out
+
+
+def class_links(part: pd.DataFrame, threshold: float, words: int) -> pd.DataFrame:
+    """Classes (a, b) that links between the rows of part i and those of part j of a key join, no more than there are classes; all links inside if i = j."""
+    enter(__name__)
+    names, own = np.unique(np.array([bytes(c) for c in part["class"]], object), return_inverse=True)
+    if part["i"].iloc[0] == part["j"].iloc[0]:  # links within the largest class tell nothing
+        left, right = np.flatnonzero(own != np.bincount(own).argmax()), np.arange(len(own))
+    else:
+        left, right = (np.flatnonzero((part["part"] == part[c]).to_numpy()) for c in "ij")
+    if not len(left) or not len(right):
+        return pd.DataFrame({"a": [], "b": []})
+    bags = [units(shingle_bag(t, words)) for t in part["text"]]
+    total = np.array([len(x) for x in bags])
+    common = common_units([bags[k] for k in left], [bags[k] for k in right])
+    every = np.maximum(total[left][:, None] + total[right][None] - common, 1.0)
+    x, y = np.nonzero((common / every >= threshold) & (own[left][:, None] != own[right][None]))
+    x, y, root = own[left[x]], own[right[y]], np.arange(len(names))
+    while len(x):
+        low = np.minimum(root[x], root[y])
+        before = root.copy()
+        for side in (x, y, before[x], before[y]):
+            np.minimum.at(root, side, low)
+        root = root[root]
+        if (root == before).all():
+            break
+    moved = np.flatnonzero(root != np.arange(len(names)))
+    return pd.DataFrame({"a": names[moved], "b": names[root[moved]]})
+
+
+def links_in_keys(rows: DataFrame, texts: DataFrame, threshold: float = SIMILARITY, words: int = WORDS) -> DataFrame:
+    """Pairs (a, b) of classes that links between rows (key, node, class) of one key join, by the exact similarity of all rows of a key whose classes differ.
+
+    A key of up to ``PART_ROWS`` rows and ``PART_BYTES`` of text is one task's. A larger one is dealt into parts, and two parts at a time meet: those of the
+    largest class meet all others, but not each other.
+    """
+
+    def parts(n, size):
+        return F.greatest(F.ceil(n / PART_ROWS), F.ceil(size / PART_BYTES), F.lit(1)).cast("int")
+
+    sized = rows.join(texts.select("node", F.octet_length("text").cast("bigint").alias("bytes")), "node")
+    by_class = sized.groupBy("key", "class").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
+    by_key = by_class.groupBy("key").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), F.max(F.struct("n", "bytes", "class")).alias("m"))
+    small = parts(F.col("n"), F.col("bytes")) == 1
+    rest = F.when(small, 1).otherwise(parts(F.col("n") - F.col("m.n"), F.col("bytes") - F.col("m.bytes"))).alias("rest")
+    main = F.when(small, 0).otherwise(parts(F.col("m.n"), F.col("m.bytes"))).alias("main")
+    dealt = rows.join(by_key.select("key", rest, main, F.col("m.class").alias("largest")), "key")
+    hashed = F.xxhash64("node")
+    part = F.when(F.col("main") == 0, F.lit(0)).when(F.col("class") == F.col("largest"), F.col("rest") + F.pmod(hashed, "main")).otherwise(F.pmod(hashed, "rest"))
+    dealt = dealt.withColumn("part", part.cast("int"))
+    last = F.when(F.col("part") < F.col("rest"), F.col("rest") + F.col("main") - 1).otherwise(F.col("rest") - 1)
+    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), last)))
+    met = met.select("key", "node", "class", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
+    return met.join(texts, "node").groupBy("key", "i", "j").applyInPandas(lambda part: class_links(part, threshold, words), "a binary, b binary")
+
+
 def node_classes(rows: DataFrame, texts: DataFrame, threshold: float = SIMILARITY, words: int = WORDS) -> DataFrame:
     """node and class of the nodes linked to others; ``rows`` are the candidate rows (key, node) of keys with several nodes.
 
-    Rows are core (still to be compared) or only near one that is. First to lead are nodes that share keys with the most others, such as
-    the origin of many edited copies. In a key of many rows one leads, then 2, 4 ..., and the classes found so far are looked
-    up in between, as most of such rows are of one class; in others 16 and 256 lead after the first.
+    Every two nodes that share a key and are similar enough end in one class. First one node leads each key, that which shares keys with the most
+    others, such as the origin of many edited copies; keys with many rows outside its class get further leaders. Then the rows of keys that still have
+    several classes are compared, class with class.
     """
-    weight = rows.join(rows.groupBy("key").agg(F.count("*").alias("n")), "key").groupBy("node").agg(F.sum("n").alias("weight"))
-    rows = stored(rows.join(weight, "node").select("key", "node", "weight", F.lit(True).alias("core"), F.col("node").alias("class")))
-    links, turn, far = [], 0, 1 - threshold + 1e-9
+    sets = rows.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("y"))
+    sets = sets.groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key", "n")  # keys of the same nodes are one
+    rows = stored(rows.join(sets, "key"))
+    weight = rows.groupBy("node").agg(F.sum("n").alias("weight"))
+    rows = rows.join(weight, "node").select("key", "node", "weight", F.col("node").alias("class"))
+    leading, links, turn = rows, [], 0
     while True:
-        size = rows.groupBy("key").agg((F.count("*") > MANY).alias("many"))
-        slot = F.pmod(F.xxhash64("node"), F.when(F.col("many"), 2**turn).otherwise(16**turn)).alias("slot")
-        leaders = rows.filter("core").join(size, "key").groupBy("key", slot).agg(F.max(F.struct("weight", "node", "class")).alias("l")).select("key", F.col("l.node").alias("leader"), F.col("l.class").alias("leader_class"))
-        pairs = rows.join(leaders, "key").filter(F.col("node") != F.col("leader")).withColumn("same", F.col("class") == F.col("leader_class"))
-        found = stored(similarities(pairs.filter(~F.col("same")).select("leader", "node").distinct(), texts, words))
-        links.append(found.filter(F.col("similarity") >= threshold).select(F.col("leader").alias("a"), F.col("node").alias("b")))
-        leads = leaders.select("key", F.col("leader").alias("node"), F.lit(True).alias("leads"))
-        judged = pairs.join(found.withColumn("away", 1 - F.col("similarity")), ["leader", "node"], "left").join(leads, ["key", "node"], "left")
-        linked = F.col("same") | (F.coalesce("away", F.lit(1.0)) <= far)
-        judged = stored(judged.select("key", "node", "weight", "leader", "away", "core", "class", linked.alias("linked"), F.coalesce("leads", F.lit(False)).alias("leads")))
-        by_row = judged.groupBy("key", "node", "core", "leads").agg(F.max("linked").alias("linked"))
-        open_rows = by_row.filter(F.col("core") & ~F.col("leads") & ~F.col("linked")).select("key", "node", F.lit(True).alias("open"))
-        marked = judged.join(open_rows, ["key", "node"], "left")
-        reach = marked.filter("open").groupBy("key", "leader").agg(F.min("away").alias("low"), F.max("away").alias("high"))
-        within = F.coalesce((F.col("away") >= F.col("low") - far) & (F.col("away") <= F.col("high") + far), F.lit(True))  # unknown distances rule nothing out
-        kept = marked.filter(~F.col("leads")).join(reach, ["key", "leader"]).groupBy("key", "node", "weight", "class").agg(F.min(within).alias("near"), F.coalesce(F.max("open"), F.lit(False)).alias("core"))
-        rows, turn = stored(kept.filter("core OR near").select("key", "node", "weight", "core", "class")), turn + 1
-        every = reduce(DataFrame.union, links)
+        turn += 1
+        first = F.struct("weight", "node", "class") if turn == 1 else F.struct(F.xxhash64(F.lit(turn), "node").alias("weight"), "node", "class")
+        leaders = leading.groupBy("key").agg(F.max(first).alias("l")).select("key", F.col("l.node").alias("leader"), F.col("l.class").alias("leader_class"))
+        pairs = rows.join(leaders, "key").filter(F.col("class") != F.col("leader_class")).select("leader", "node").distinct()
+        found = similarities(pairs, texts, words).filter(F.col("similarity") >= threshold)
+        links.append(stored(found.select(F.col("leader").alias("a"), F.col("node").alias("b"))))
+        classes = components(reduce(DataFrame.union, links))
+        rows = rows.drop("class").join(classes, "node", "left").select("key", "node", "weight", F.coalesce("class", "node").alias("class"))
+        by_class = rows.groupBy("key", "class").agg(F.count("*").alias("n"))
+        by_key = by_class.groupBy("key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "class")).alias("m")).filter("n > m.n AND n > 2")  # others are done
+        rows = stored(rows.join(by_key.select("key", (F.col("n") - F.col("m.n")).alias("rest"), F.col("m.class").alias("largest")), "key"))
         if rows.isEmpty():
-            return components(every)
-        if turn == 1 or not rows.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > MANY).isEmpty():
-            rows = rows.join(components(every).withColumnRenamed("class", "found"), "node", "left").select("key", "node", "weight", "core", F.coalesce("found", "class").alias("class"))
-            varied = rows.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high")).filter("low != high").select("key")
-            rows = stored(rows.join(varied, "key"))  # a key of one class is done
-            if rows.filter("core").isEmpty():
-                return components(every)
+            return classes
+        leading = rows.filter((F.col("rest") > PART_ROWS) & (F.col("class") != F.col("largest")))
+        if turn == LEADERS or leading.isEmpty():
+            break
+        rows = rows.drop("rest", "largest")
+    links.append(stored(links_in_keys(rows.select("key", "node", "class"), texts, threshold, words)))
+    return components(reduce(DataFrame.union, links))
 
 
 def duplicate_classes(docs: DataFrame, threshold: float = SIMILARITY, words: int = WORDS, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
