@@ -88,6 +88,36 @@ def test_neighbours_over_several_blocks(spark):
         assert sorted(r["near"] for r in got.loc[i, "neighbours"]) == sorted(want)
 
 
+def test_neighbours_without_clusters_meet_blocks_not_cells(spark):
+    """Where the triangle inequality leaves all, visits follow the blocks that the rows fill, not the pivots."""
+    rng = np.random.default_rng(8)
+    x = np.repeat(rng.normal(size=(300, 24)), [3] * 100 + [1] * 200, axis=0).astype("f4").astype(float)
+    rows = [(i, v, float(i % 7)) for i, v in enumerate(x.tolist())]
+    df = spark.createDataFrame(rows, "id long, v array<float>, y double").repartition(5)
+    got = models.nearest(df, df, ["v"], "y", "id", 4, block_rows=200).toPandas().set_index("id")
+    assert got["blocks"].max() <= 6 and len(got) == 500
+    for i in range(500):
+        want = np.argsort(np.sqrt(((x - x[i]) ** 2).sum(1)), kind="stable")[:4]
+        assert [(r["near"], r["label"]) for r in got.loc[i, "neighbours"]] == [(j, j % 7) for j in want]
+
+
+def test_best_of_a_block_equals_brute_force():
+    from tickloom.operators import neighbours
+
+    rng = np.random.default_rng(1)
+    spread = np.concatenate([rng.normal(size=(80, 5)), 1e-6 * rng.normal(size=(60, 5)), 1e7 + rng.normal(size=(30, 5)), np.zeros((40, 5)), 1e-25 * rng.normal(size=(20, 5))])
+    for train in (spread, spread[:3], spread[170:210]):
+        order = rng.permutation(len(train))
+        right = pd.DataFrame({"_id": order, "_x": list(train[order]), "_label": order * 1.0})
+        d = np.sqrt(((spread[:, None] - train[None]) ** 2).sum(2))
+        bounds = np.where(np.arange(len(spread)) % 3 == 0, np.sort(d, axis=1)[:, 1], 1e9)
+        left = pd.DataFrame({"_id": np.arange(len(spread)), "_x": list(spread), "_bound": bounds})
+        got = neighbours._best(left, right, 4).groupby("_id")["near"].apply(list)
+        for i in range(len(spread)):
+            want = [j for j in np.argsort(d[i], kind="stable")[:4] if d[i, j] <= bounds[i]]
+            assert got[i] == want
+
+
 def test_importances_find_the_signal(spark, planted):
     model = models.fit(planted, COLS, "y", "linear")
     perm = {r["feature"]: r["score"] for r in selection.permutation_importance(model, planted, COLS, "y", repeats=2).collect()}
