@@ -42,6 +42,39 @@ def test_both_encoders_equal_the_library(text):
     assert blocks.library_encoder(bpe.VOCABULARY).encode_all([text])[0] == data
 
 
+def test_words_of_letters_go_to_the_model_alone(library, monkeypatch):
+    """The library's pre-split takes longer than its merges, so it gets only what may need splitting."""
+    seen = []
+
+    class Counting:
+        def __getattr__(self, name):
+            return getattr(library, name)
+
+        def encode(self, text, **kw):
+            seen.append(text)
+            return library.encode(text, **kw)
+
+    monkeypatch.setattr(Tokenizer, "from_file", lambda path: Counting())
+    letters = ["Straße", "naïve", "Ægir", "λόγος", "слово", "ƀɏ", "thnderhe", "x", "ÿ", "ϵ", "ԧ"]
+    others = ["a1", "x×y", "÷", "µ", "ª", "漢字", "don't", "a_b", "\u0482", "é̀", "϶", "Ա"]
+    encoder = blocks.library_encoder.__wrapped__(bpe.VOCABULARY)
+    seen.clear()
+    text = "start " + " ".join(letters * 3)
+    assert np.frombuffer(encoder.encode_all([text])[0], "<u4").tolist() == ids_of(library, text)
+    assert seen == ["start"]
+    text = " ".join([*others, *letters, *[a + b for a in letters for b in others]])
+    assert np.frombuffer(encoder.encode_all([text])[0], "<u4").tolist() == ids_of(library, text)
+
+
+def test_a_full_memory_keeps_what_is_used(library):
+    encoder = blocks.library_encoder.__wrapped__(bpe.VOCABULARY)
+    encoder.most, asked, encode = 3, [], encoder.encode_pieces
+    encoder.encode_pieces = lambda texts: (asked.extend(texts), encode(texts))[1]
+    for text in ("x one two three four", "x one two five", "x six"):
+        assert np.frombuffer(encoder.encode_all([text])[0], "<u4").tolist() == ids_of(library, text)
+    assert asked.count(" one") == 1 and set(encoder.known) == {"six"}
+
+
 def test_automaton_on_a_small_merge_list():
     labels = [b"a", b"b", b"aa", b"ab", b"aab", b"aaaa"]
     machine = bpe.MergeAutomaton(labels, [(0, 0, 2), (0, 1, 3), (2, 1, 4), (2, 2, 5)])

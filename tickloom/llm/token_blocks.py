@@ -19,6 +19,7 @@ ordered by a hash of their text, equal rows stay apart. An empty table gives no
 from __future__ import annotations
 
 import json
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -41,6 +42,9 @@ from tickloom.session import shared_folder
 VOCABULARY = path("byte_bpe_50k.json")
 BLOCK, COVERED, MAGIC = 128, 0.9, b"PFB1"
 
+#: A space and letters that are letters in every version of Unicode: one word of the pre-split pattern.
+_WORD = re.compile(" [A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f\u0391-\u03a1\u03a3-\u03f5\u0400-\u0481\u048a-\u0527]+").fullmatch
+
 #: Ids after which a segment ends with the document.
 SEGMENT_IDS = 1 << 20
 
@@ -127,7 +131,8 @@ def decode_blocks(data: bytes, start: int = 0, stop: int | None = None) -> np.nd
 
 @lru_cache(2)
 def library_encoder(vocabulary: str) -> TextEncoder:
-    """Encodes unknown words with the tokenizers library, many joined in one call; token lengths tell them apart."""
+    """Encodes unknown words with the tokenizers library: words of letters by its model, as nothing is left to split, others many joined in one
+    call; token lengths tell them apart."""
     from tokenizers import Tokenizer
 
     library, letters = Tokenizer.from_file(vocabulary), byte_letters()
@@ -137,6 +142,12 @@ def library_encoder(vocabulary: str) -> TextEncoder:
     for token, i in library.get_vocab(with_added_tokens=False).items():
         size[i] = sum(c in letters for c in token)
 
+    model, written = library.model, {b: c for c, b in letters.items()}
+    packed = [i.tobytes() for i in np.arange(len(size), dtype="<u4")]
+
+    def word(text: str) -> bytes:
+        return b"".join([packed[t.id] for t in model.tokenize(text.encode().decode("latin-1").translate(written))])
+
     def encode(texts: list[str]) -> list[bytes]:
         if not all(t[0] == " " and not t[-1].isspace() for t in texts):  # joined, these would meet
             return [np.array(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
@@ -150,6 +161,11 @@ def library_encoder(vocabulary: str) -> TextEncoder:
         return out
 
     def encode_pieces(texts: list[str]) -> list[bytes]:
+        out = [word(t) if _WORD(t) else None for t in texts]
+        rest = iter(encode_others([t for t, b in zip(texts, out, strict=True) if b is None]))
+        return [next(rest) if b is None else b for b in out]
+
+    def encode_others(texts: list[str]) -> list[bytes]:
         joined = [t[0] == " " and not t[-1].isspace() for t in texts]
         one, many = iter(encode([t for t, j in zip(texts, joined, strict=True) if not j])), iter(encode([t for t, j in zip(texts, joined, strict=True) if j]))
         return [next(many if j else one) for j in joined]

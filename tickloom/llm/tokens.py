@@ -43,13 +43,13 @@ class TextEncoder:
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """The ids of each text."""
-        if len(self.known) + len(self.heads) > self.most:
-            self.known.clear()
-            self.heads.clear()
         cut = [[p for p in self.at_special.split(t) if p] if self.at_special and self.at_special.search(t) else [t] for t in texts]
         plain = [p for parts in cut for p in parts if p not in self.special]
         pieces = [p.split(" ") for p in plain]
         heads = [p.pop(0) for p in pieces]
+        if len(self.known) + len(self.heads) > self.most:  # only what these texts use again stays
+            self.known = {p: self.known[p] for p in set().union(*pieces).intersection(self.known)}
+            self.heads.clear()
         if odd := self.learn(set().union(*pieces)):
             for i, p in enumerate(pieces):
                 if not odd.isdisjoint(p):
