@@ -112,3 +112,26 @@ def test_quality(tables, spark):
     assert np.mean([quality.get(r.doc_id) == r.predicted for r in got if r.held_out and r.doc_id in quality and r.doc_id]) > 0.9
     assert pq.score_quality(docs.limit(0), labels).count() == 0
     assert {r.score for r in pq.score_quality(docs, labels.limit(0)).collect()} == {0.3}
+
+
+def test_scorer_holds_few_words_at_once(monkeypatch):
+    rng = np.random.default_rng(3)
+    words = ["".join(rng.choice(list("abcdefgh"), 6)) for _ in range(3000)]
+    texts = [" ".join(words[i : i + 60]) for i in range(0, 3000, 30)] + ["", " ".join(words[:500])]
+    net = tox.GatedNet(1)
+    whole = tox.TextScorer(net).scores(texts)
+    monkeypatch.setattr(tox, "KNOWN_WORDS", 300)
+    monkeypatch.setattr(tox, "CHARACTERS", 1000)
+    scorer = tox.TextScorer(net)
+    assert np.allclose(scorer.scores(texts), whole, rtol=1e-5)
+    most = []
+    monkeypatch.setattr(net, "logits", lambda table, words, f=net.logits: (most.append(len(table)), f(table, words))[1])
+    scorer.scores(texts)
+    assert max(most) <= 300 + 500 + 1
+
+
+def test_known_pieces_of_the_automaton_are_bounded():
+    from tickloom.llm import bpe_automaton
+
+    encoder, _ = bpe_automaton._worker(bpe_automaton.VOCABULARY)
+    assert encoder.most + bpe_automaton.KNOWN_WORDS <= 300_000

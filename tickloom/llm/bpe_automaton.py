@@ -33,6 +33,9 @@ VOCABULARY = path("byte_bpe_50k.json")
 #: Transitions that a worker remembers before it starts anew.
 ARCS = 600_000
 
+#: Pieces of texts that a worker remembers, and words of such pieces (most pieces are one word), before it starts anew.
+KNOWN_PIECES, KNOWN_WORDS = 250_000, 50_000
+
 
 def byte_letters() -> dict[str, int]:
     """The letter by which byte-level files write each byte: itself if printable, else the next free one from 256 on."""
@@ -117,8 +120,8 @@ def load(vocabulary: str) -> tuple[MergeAutomaton, dict[str, int]]:
 def text_encoder(vocabulary: str) -> TextEncoder:
     machine, special = load(vocabulary)
     split = regex.compile(PATTERN).findall
-    known = WordCache(lambda word: np.array(machine.encode(word.encode().decode("latin-1")), "<u4").tobytes())
-    return TextEncoder(lambda texts: [b"".join(map(known.__getitem__, split(t))) for t in texts], {s: np.array([i], "<u4").tobytes() for s, i in special.items()})
+    known = WordCache(lambda word: np.array(machine.encode(word.encode().decode("latin-1")), "<u4").tobytes(), KNOWN_WORDS)
+    return TextEncoder(lambda texts: [b"".join(map(known.__getitem__, split(t))) for t in texts], {s: np.array([i], "<u4").tobytes() for s, i in special.items()}, KNOWN_PIECES)
 
 
 def decode(machine: MergeAutomaton, ids: bytes) -> str:

@@ -26,8 +26,8 @@ WINDOW, STRIDE = 32, 20
 BUCKETS, SIZE, STATE = 1 << 15, 6, 8
 EPOCHS, STEPS, BATCH, DROPPED = 6, 180, 128, 0.4
 
-#: Words whose projections a worker remembers before it starts anew, and windows run at once.
-KNOWN_WORDS, TOGETHER = 150_000, 2048
+#: Words whose projections a worker remembers before it starts anew, windows run at once, and characters cut into words at once (a longer text is alone).
+KNOWN_WORDS, TOGETHER, CHARACTERS = 150_000, 2048, 1 << 20
 
 _TRIM = ".,;:!?\"'()[]{}<>|*#$%&_-+=/\\`~^@"
 
@@ -101,9 +101,8 @@ class GatedNet:
         """States (time, window, STATE) of one direction; ``keep`` gets what the gradient needs."""
         h, out = np.zeros((len(words), STATE), np.float32), np.empty((WINDOW, len(words), STATE), np.float32)
         loop, bias, s, own = self.p[f"loop_{d}"], self.p[f"loop_bias_{d}"], STATE, slice(0, 3 * STATE) if d == "f" else slice(3 * STATE, 6 * STATE)
-        part = np.ascontiguousarray(table[:, own])
         for t in range(WINDOW) if d == "f" else range(WINDOW - 1, -1, -1):
-            x, back = part[words[:, t]], h @ loop
+            x, back = table[words[:, t]][:, own], h @ loop
             gates = np.tanh((x[:, : 2 * s] + back[:, : 2 * s]) * np.float32(0.5)) * np.float32(0.5) + np.float32(0.5)
             inner = back[:, 2 * s :] + bias
             new = np.tanh(x[:, 2 * s :] + gates[:, s:] * inner)
@@ -299,6 +298,16 @@ class TextScorer:
         self.table = self.net.projections(self.net.vectors(word_inputs([" "])))
 
     def scores(self, texts: list[str]) -> np.ndarray:
+        """Scores of the texts, some at a time, so that the words held follow neither their number nor their length together."""
+        out, start, held = [], 0, 0
+        for i, text in enumerate(texts):
+            if i > start and held + len(text) > CHARACTERS:
+                out.append(self._scores(texts[start:i]))
+                start, held = i, 0
+            held += len(text)
+        return np.concatenate([*out, self._scores(texts[start:])])
+
+    def _scores(self, texts: list[str]) -> np.ndarray:
         if len(self.number) > KNOWN_WORDS:
             self.forget()
         split = [t.split() for t in texts]
