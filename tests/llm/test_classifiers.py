@@ -114,20 +114,21 @@ def test_quality(tables, spark):
     assert {r.score for r in pq.score_quality(docs, labels.limit(0)).collect()} == {0.3}
 
 
-def test_scorer_holds_few_words_at_once(monkeypatch):
+def test_scorer_holds_the_words_of_one_text():
+    import tracemalloc
+
     rng = np.random.default_rng(3)
     words = ["".join(rng.choice(list("abcdefgh"), 6)) for _ in range(3000)]
-    texts = [" ".join(words[i : i + 60]) for i in range(0, 3000, 30)] + ["", " ".join(words[:500])]
-    net = tox.GatedNet(1)
-    whole = tox.TextScorer(net).scores(texts)
-    monkeypatch.setattr(tox, "KNOWN_WORDS", 300)
-    monkeypatch.setattr(tox, "CHARACTERS", 1000)
-    scorer = tox.TextScorer(net)
-    assert np.allclose(scorer.scores(texts), whole, rtol=1e-5)
-    most = []
-    monkeypatch.setattr(net, "logits", lambda table, words, f=net.logits: (most.append(len(table)), f(table, words))[1])
-    scorer.scores(texts)
-    assert max(most) <= 300 + 500 + 1
+    texts = [" ".join(words[i : i + 300]) for i in range(0, 2700, 10)] * 2 + [""]
+    scorer = tox.TextScorer(tox.GatedNet(1))
+    want = scorer.scores(texts[:270])
+    tracemalloc.start()
+    got = scorer.scores(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.allclose(got[:270], want, rtol=1e-5) and np.allclose(got[270:540], want, rtol=1e-5)
+    print(peak)
+    assert peak < 20e6
 
 
 def test_known_pieces_of_the_automaton_are_bounded():

@@ -26,8 +26,8 @@ WINDOW, STRIDE = 32, 20
 BUCKETS, SIZE, STATE = 1 << 15, 6, 8
 EPOCHS, STEPS, BATCH, DROPPED = 6, 180, 128, 0.4
 
-#: Words whose projections a worker remembers before it starts anew, windows run at once, and characters cut into words at once (a longer text is alone).
-KNOWN_WORDS, TOGETHER, CHARACTERS = 150_000, 2048, 1 << 20
+#: Words whose projections a worker remembers before it starts anew, and windows run at once.
+KNOWN_WORDS, TOGETHER = 150_000, 2048
 
 _TRIM = ".,;:!?\"'()[]{}<>|*#$%&_-+=/\\`~^@"
 
@@ -298,24 +298,25 @@ class TextScorer:
         self.table = self.net.projections(self.net.vectors(word_inputs([" "])))
 
     def scores(self, texts: list[str]) -> np.ndarray:
-        """Scores of the texts, some at a time, so that the words held follow neither their number nor their length together."""
-        out, start, held = [], 0, 0
-        for i, text in enumerate(texts):
-            if i > start and held + len(text) > CHARACTERS:
-                out.append(self._scores(texts[start:i]))
-                start, held = i, 0
-            held += len(text)
-        return np.concatenate([*out, self._scores(texts[start:])])
-
-    def _scores(self, texts: list[str]) -> np.ndarray:
+        """Scores of the texts. One text's words are held at a time; of the others only their numbers."""
         if len(self.number) > KNOWN_WORDS:
             self.forget()
-        split = [t.split() for t in texts]
-        if new := list(set().union(*split).difference(self.number)):
-            self.number.update(zip(new, range(len(self.table), len(self.table) + len(new)), strict=True))
-            self.table = np.concatenate([self.table, *(self.net.projections(self.net.vectors(word_inputs(part))) for part in _split(new))])
-        numbers = np.array([n for x in split for n in map(self.number.__getitem__, x)], np.int64)
-        words, count = window_words(numbers, np.array([len(x) for x in split], np.int64))
+        seen: set[str] = set()
+        for t in texts:
+            seen.update(t.split())
+        new = list(seen.difference(self.number))
+        del seen
+        if new:
+            done = len(self.table)
+            self.number.update(zip(new, range(done, done + len(new)), strict=True))
+            grown = np.empty((done + len(new), 6 * STATE), self.table.dtype)
+            grown[:done], self.table = self.table, grown
+            for part in _split(new):
+                grown[done : done + len(part)] = self.net.projections(self.net.vectors(word_inputs(part)))
+                done += len(part)
+        at = self.number.__getitem__
+        numbers = [np.array(list(map(at, t.split())), np.int64) for t in texts]
+        words, count = window_words(np.concatenate(numbers), np.array([len(x) for x in numbers], np.int64))
         logits = np.maximum.reduceat(self.net.all_logits(self.table, words), np.cumsum(count) - count)
         return 1 / (1 + np.exp(-(logits.astype(float) - self.net.shift)))
 
