@@ -549,22 +549,36 @@ def stream_bars(spark, d):
     return out.drop("timeframe")
 
 
+#: Rows that a file of a stream holds at most, about, and files from which on a batch takes several.
+FILE_ROWS = 2_000_000
+FILES_ONE_BY_ONE = 100
+
+
 def event_batches(spark, d, columns: str, repeated: bool = False) -> DataFrame:
     """All events as a stream of files of eight days, in which an event comes up to a day after its time.
 
     Rows named "end", far ahead, come last and let the watermark pass all others. With ``repeated`` every eleventh event comes twice.
+    Eight days are one file, of many rows several. A batch is one file, of 100 files or more as many as leave about 100 batches.
     """
-    folder = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    base = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    days, folder = f"{base}/days", f"{base}/files"
     events = table(spark, d, "events")
     jitter = F.pmod(F.xxhash64("event_id"), F.lit(86400))
-    rows = cut_lineage(events.withColumn("_b", F.floor((epoch_seconds("ts") + jitter) / (8 * 86400))).selectExpr("event_id", "_b", *columns.split(", ")))
-    if repeated:
-        rows = rows.unionAll(rows.filter("event_id % 11 = 0"))
+    rows = events.withColumn("_b", F.floor((epoch_seconds("ts") + jitter) / (8 * 86400))).selectExpr("event_id", "_b", *columns.split(", "))
+    rows.hint("rebalance", F.col("_b")).write.partitionBy("_b").parquet(days)
     end = events.agg(F.expr("max(ts) + INTERVAL '100' DAY").alias("ts"), F.lit("end").alias("event_type"), F.lit(0.0).alias("value")).selectExpr(*columns.split(", "))
-    for b in sorted(r["_b"] for r in rows.select("_b").distinct().collect()):
-        rows.filter(F.col("_b") == b).drop("_b", "event_id").write.mode("append").parquet(folder)
+    counts = spark.read.schema(rows.schema).parquet(days).groupBy("_b").count().collect()
+    written = 1
+    for b, n in sorted((r["_b"], r["count"]) for r in counts):
+        part = spark.read.schema(rows.drop("_b").schema).parquet(f"{days}/_b={b}")
+        if repeated:
+            part = part.unionAll(part.filter("event_id % 11 = 0"))
+        files = -(-n // FILE_ROWS)
+        part = part.repartition(files) if files > 1 else part.coalesce(1)
+        part.drop("event_id").write.mode("append").parquet(folder)
+        written += files
     end.write.mode("append").parquet(folder)
-    return spark.readStream.schema(end.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    return spark.readStream.schema(end.schema).option("maxFilesPerTrigger", 1 + written // FILES_ONE_BY_ONE).parquet(folder)
 
 
 def run_through(started):

@@ -1,9 +1,11 @@
 import datetime as dt
 
+import numpy as np
 import pandas as pd
 import pytest
 from conftest import ordered
 
+from registry import models
 from tickloom.operators.resample import ticks_to_bars
 from tickloom.streaming import bars as live
 from tickloom.streaming import upsert
@@ -140,3 +142,140 @@ def test_stream_ema_counts_late_rows_and_does_not_use_them(spark, tmp_path):
     got, query = run_ema(spark, tmp_path, [[row(0, 1.0), row(2, 3.0)], [row(20, 5.0)], [row(20.5, 6.0)], [row(1, 100.0), row(21, 7.0)], [row(500, 0.0)]], "1 hour")
     assert got.orderBy("ts").toPandas()["close"].tolist() == [1.0, 3.0, 5.0, 6.0, 7.0]
     assert live.late_rows(query) == 1
+
+
+class CountedStates:
+    """States of one key as plain values, counting calls and the rows that they read."""
+
+    def __init__(self):
+        self.timers, self.calls, self.read = set(), 0, 0
+
+    def registerTimer(self, ms):
+        self.timers.add(ms)
+
+    def _state(self, value, size):
+        states = self
+
+        class State:
+            def exists(self):
+                return bool(value)
+
+            def clear(self):
+                value.clear()
+
+            def get(self):
+                states.calls += 1
+                states.read += size(value)
+                return iter(list(value)) if size is len else value[0]
+
+            def update(self, new):
+                states.calls += 1
+                value[:] = [new]
+
+            def appendList(self, new):
+                states.calls += len(new)
+                value.extend(new)
+
+            def put(self, new):
+                states.calls += len(new)
+                value[:] = new
+
+            def getValue(self, key):
+                states.calls += 1
+                states.read += len(value[key][0]) // 16
+                return value[key]
+
+            def updateValue(self, key, new):
+                states.calls += 1
+                value[key] = new
+
+            def removeKey(self, key):
+                states.calls += 1
+                del value[key]
+
+        return State()
+
+    def getValueState(self, name, schema):
+        return self._state([], lambda v: 0)
+
+    def getListState(self, name, schema):
+        return self._state([], len)
+
+    def getMapState(self, name, key, value):
+        return self._state({}, len)
+
+
+class Watermark:
+    def __init__(self, ms):
+        self.ms = ms
+
+    def getCurrentWatermarkInMs(self):
+        return self.ms
+
+
+@pytest.mark.parametrize("repeats", [1, 30])
+def test_waiting_rows_are_read_about_once(monkeypatch, repeats):
+    """Sixty batches with rows up to three batches out of order, released thirty batches later; with ``repeats`` as many rows of one time."""
+    monkeypatch.setattr(live.EmaState, "PIECE", 10)
+    monkeypatch.setattr(live.EmaState, "RUN", 4, raising=False)
+    rng = np.random.default_rng(5)
+    us = np.repeat(np.sort(rng.choice(6_000_000, 6000 // repeats, replace=False)) - 1_000_000, repeats)
+    close = rng.integers(0, 50, len(us)).astype(float)
+    batch = np.clip((us + 1_000_000) // 100_000 + rng.integers(0, 3, len(us)), 0, 61)
+    states, state = CountedStates(), live.EmaState({"e": 0.2, "f": 0.5})
+    state.init(states)
+    out = []
+    for b in range(100):
+        some = pd.DataFrame({"us": us[batch == b], "close": close[batch == b]}).sample(frac=1.0, random_state=b)
+        list(state.handleInputRows(("A",), iter([some[:37], some[37:]]), None))
+        mark = 100 * (b - 30) - 1000
+        for ms in sorted(t for t in states.timers if t <= mark):
+            states.timers.remove(ms)
+            out += [p.assign(b=b) for p in state.handleExpiredTimer(("A",), Watermark(mark), None)]
+    got = pd.concat(out, ignore_index=True)
+    want = pd.DataFrame({"us": us, "close": close}).sort_values(["us", "close"], ignore_index=True)
+    pd.testing.assert_frame_equal(got[["us", "close"]], want)
+    for name, alpha in (("e", 0.2), ("f", 0.5)):
+        assert got[name].tolist() == pytest.approx(want["close"].ewm(alpha=alpha, adjust=False).mean().tolist(), rel=1e-12)
+    assert (got["us"] < 1000 * (100 * (got["b"] - 30) - 1000)).all() and (got["us"] >= 1000 * (100 * (got["b"] - 31) - 1000)).all()
+    assert states.read < 4 * len(us) and states.calls < 2 * len(us)
+
+
+def write_events(spark, path, rows, files):
+    schema = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
+    spark.createDataFrame(rows, schema).repartition(files).write.parquet(f"{path}/events.parquet")
+    return str(path)
+
+
+def test_files_of_a_stream_follow_the_days_not_the_partitions(spark, tmp_path, monkeypatch):
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [(i, t0 + dt.timedelta(hours=2 * (i % 330)), 1, "ab"[i % 2], float(i % 17), None) for i in range(990)]
+    d = write_events(spark, tmp_path / "t", rows, 6)
+
+    def read(name, **limits):
+        for k, v in limits.items():
+            monkeypatch.setattr(models, k, v)
+        stream = models.event_batches(spark, d, "event_type AS symbol, ts, value AS close", repeated=True)
+        query = stream.writeStream.format("memory").queryName(name).trigger(availableNow=True).start()
+        query.awaitTermination(300)
+        got = sorted((r.symbol, r.ts, r.close) for r in spark.table(name).filter("symbol <> 'end'").collect())
+        assert got == sorted((r[3], r[1], r[4]) for r in rows for _ in range(1 + (r[0] % 11 == 0)))
+        return len(query.recentProgress)
+
+    days = 1 + max(int((r[1] - dt.datetime(1970, 1, 1)).total_seconds() + 86399) // (8 * 86400) for r in rows) - int((t0 - dt.datetime(1970, 1, 1)).total_seconds()) // (8 * 86400)
+    assert days - 1 <= read("one_file") - 1 <= days
+    assert read("many_files", FILE_ROWS=100) > days + 3
+    assert read("files_together", FILES_ONE_BY_ONE=3) < 6
+
+
+def test_stream_average_takes_repeated_rows_one_after_the_other(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(live.EmaState, "PIECE", 16)
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [(i, t0 + dt.timedelta(hours=5 * (i // 3)), 1, "ab"[i % 2], None if i % 29 == 0 else float(i * 7 % 13), None) for i in range(400) for _ in range(1 + (i % 5 == 0))]
+    got = models.QUERIES["stream_average"](spark, write_events(spark, tmp_path / "t", rows, 3)).collect()
+    for s in "ab":
+        want = sorted((r[1], r[4]) for r in rows if r[3] == s and r[4] is not None)
+        ema = pd.Series([c for _, c in want]).ewm(span=9, adjust=False).mean()
+        mine, theirs = sorted((r.ts, r.ema_9) for r in got if r.symbol == s), sorted(zip((t for t, _ in want), ema))
+        assert [t for t, _ in mine] == [t for t, _ in theirs]
+        assert [e for _, e in mine] == pytest.approx([e for _, e in theirs], abs=1e-5)

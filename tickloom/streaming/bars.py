@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,14 +58,50 @@ def replay_bars(ticks: DataFrame, timeframe: str, path: str, late: str = "10 min
     return ticks.sparkSession.read.schema(out.schema).parquet(f"{path}/bars")
 
 
+#: A waiting row, and the name of a piece of them: its first row and its number.
+ROW = np.dtype([("us", "<i8"), ("close", "<f8")])
+NAMED = np.dtype([*ROW.descr, ("number", "<i8")])
+
+
+def in_order(rows: np.ndarray) -> np.ndarray:
+    return rows[np.lexsort((rows["close"], rows["us"]))]
+
+
+def rows_before(rows: np.ndarray, us: int, close: float | None = None) -> int:
+    """How many of the ordered rows come before a time, or before a row of that time and close."""
+    start = np.searchsorted(rows["us"], us)
+    return int(start if close is None else start + np.searchsorted(rows["close"][start : np.searchsorted(rows["us"], us, "right")], close))
+
+
+def next_number(named: np.ndarray) -> int:
+    return int(named["number"].max()) + 1 if len(named) else 0
+
+
+def packed(frames: Iterator[pd.DataFrame], most: int) -> Iterator[np.ndarray]:
+    """Rows of frames, joined until there are ``most`` of them."""
+    run = []
+    for pdf in frames:
+        if len(pdf):
+            run.append(np.empty(len(pdf), ROW))
+            run[-1]["us"], run[-1]["close"] = pdf["us"].astype("int64"), pdf["close"]  # a missing time raises
+        if sum(map(len, run)) >= most:
+            yield np.concatenate(run)
+            run = []
+    if run:
+        yield np.concatenate(run)
+
+
 class EmaState(StatefulProcessor):
     """Exponential averages of one series, from rows that may arrive in any order within the watermark.
 
-    Rows wait in a list until the watermark passes their time; a timer then releases them in order, in pieces of ``PIECE``
-    rows, each folded into the last values. The list holds what arrived within the lateness, not the history.
+    Rows wait until the watermark passes their time; a timer then releases them in order, each folded into the last values. What waits is
+    held as sorted pieces of ``PIECE`` rows packed as bytes, so the state is asked once a piece, not once a row. ``index`` names each piece with its
+    first row: a release reads only pieces that begin before the watermark, merges those that overlap and puts back what they hold after it.
+    So a row is read about once however many batches it waits for. A task sorts ``RUN`` pieces of a batch at a time and holds no more.
     """
 
     PIECE = 10_000
+    RUN = 100
 
     def __init__(self, alphas: dict[str, float]):
         self.alphas = alphas
@@ -72,43 +109,80 @@ class EmaState(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.last = handle.getValueState("last", ", ".join(f"{n} double" for n in self.alphas))
-        self.waiting = handle.getListState("waiting", "us long, close double")
+        self.index = handle.getValueState("index", "pieces binary")
+        self.pieces = handle.getMapState("pieces", "number long", "rows binary")
 
     def _wake(self, us: int) -> None:
         self.handle.registerTimer(us // 1000 + 1)
 
+    def _named(self) -> np.ndarray:
+        """The waiting pieces in order of their first rows."""
+        found = self.index.get() if self.index.exists() else None
+        return np.frombuffer(bytes(found[0]), NAMED) if found is not None else np.empty(0, NAMED)
+
+    def _name(self, named: np.ndarray) -> None:
+        if len(named):
+            self.index.update((in_order(named).tobytes(),))
+        else:
+            self.index.clear()
+
+    def _store(self, rows: np.ndarray, number: int) -> np.ndarray:
+        """Keep ordered rows as pieces with the numbers from ``number`` on."""
+        named = []
+        for at in range(0, len(rows), self.PIECE):
+            piece = rows[at : at + self.PIECE]
+            self.pieces.updateValue((number + len(named),), (piece.tobytes(),))
+            named.append((piece["us"][0], piece["close"][0], number + len(named)))
+        return np.array(named, NAMED)
+
+    def _take(self, number: int) -> np.ndarray:
+        rows = np.frombuffer(bytes(self.pieces.getValue((number,))[0]), ROW)
+        self.pieces.removeKey((number,))
+        return rows
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        first = None
-        for pdf in rows:
-            if len(pdf):
-                self.waiting.appendList(list(zip(pdf["us"].tolist(), pdf["close"].tolist())))
-                first = min(int(pdf["us"].min()), first if first is not None else int(pdf["us"].min()))
-        if first is not None:
-            self._wake(first)
+        named, firsts = self._named(), []
+        for run in packed(rows, self.RUN * self.PIECE):
+            new = self._store(in_order(run), next_number(named))
+            named = np.concatenate([named, new])
+            firsts.append(int(new["us"][0]))
+        if firsts:
+            self._name(named)
+            self._wake(min(firsts))
         return iter(())
 
+    def _release(self, named: np.ndarray, mark: int) -> Iterator[np.ndarray]:
+        """Rows before ``mark`` in order, taken out of the state; a part ends before the first row of the next piece that is not read yet."""
+        due = named[: np.searchsorted(named["us"], mark)]
+        held, left = np.empty(0, ROW), 0
+        for i, piece in enumerate(due):
+            held = np.concatenate([held, self._take(int(piece["number"]))])
+            ended = i + 1 == len(due)
+            if ended or len(held) >= 2 * left + self.PIECE:
+                held = in_order(held)
+                cut = rows_before(held, mark) if ended else rows_before(held, due["us"][i + 1], due["close"][i + 1])
+                yield held[:cut]
+                held, left = held[cut:], len(held) - cut
+        rest = np.concatenate([named[len(due) :], self._store(held, next_number(named))])
+        self._name(rest)
+        if len(rest):
+            self._wake(int(rest["us"].min()))
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         mark = timerValues.getCurrentWatermarkInMs() * 1000
-        ready, later = [], []
-        for us, close in self.waiting.get() if self.waiting.exists() else ():
-            (ready if us < mark else later).append((us, close))
-        if not ready:
+        named = self._named()
+        if not len(named) or named["us"][0] >= mark:
             return
-        ready.sort()
-        if later:
-            self.waiting.put(later)
-            self._wake(min(later)[0])
-        else:
-            self.waiting.clear()
         values = list(self.last.get()) if self.last.exists() else None
-        for at in range(0, len(ready), self.PIECE):
-            piece = pd.DataFrame(ready[at : at + self.PIECE], columns=["us", "close"])
-            out = {"symbol": [key[0]] * len(piece), "us": piece["us"], "close": piece["close"]}
-            for i, (name, alpha) in enumerate(self.alphas.items()):
-                before = [] if values is None else [values[i]]
-                out[name] = pd.Series(before + piece["close"].tolist()).ewm(alpha=alpha, adjust=False).mean().tolist()[len(before) :]
-            values = [out[n][-1] for n in self.alphas]
-            yield pd.DataFrame(out)
+        for ready in self._release(named, mark):
+            for at in range(0, len(ready), self.PIECE):
+                piece = ready[at : at + self.PIECE]
+                out = {"symbol": [key[0]] * len(piece), "us": piece["us"], "close": piece["close"]}
+                for i, (name, alpha) in enumerate(self.alphas.items()):
+                    before = [] if values is None else [values[i]]
+                    out[name] = pd.Series(np.concatenate([before, piece["close"]])).ewm(alpha=alpha, adjust=False).mean().to_numpy()[len(before) :]
+                values = [float(out[n][-1]) for n in self.alphas]
+                yield pd.DataFrame(out)
         self.last.update(tuple(values))
 
     def close(self) -> None:
